@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.functions.numeric import ratio
 from tidepanel.operators.ranks import cumulative
@@ -238,10 +239,14 @@ def delong(
     )
 
 
-@F.pandas_udf("double")
-def two_sided_p(z: pd.Series) -> pd.Series:
+def two_sided_p(z: Column) -> Column:
     """Two-sided normal p-value. Spark has no error function; this sees one row per comparison."""
-    return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2.0)))
+
+    @F.pandas_udf(T.DoubleType())
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2.0)))
+
+    return tail(z)
 
 
 def ensemble_mean(frame: DataFrame, row_keys: list[str], score: str = "score") -> DataFrame:

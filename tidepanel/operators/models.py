@@ -26,6 +26,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.contract import FEATURE_SETS, NESTED_FEATURE_SETS
 from tidepanel.operators.metrics import all_metrics, best_threshold, threshold_curve, thresholds
@@ -126,7 +127,7 @@ def fourier_map(features: list[str], gamma: float, size: int, seed: int) -> Call
     weights = draw.normal(0.0, np.sqrt(2.0 * gamma), (len(features), size))
     shifts = draw.uniform(0.0, 2.0 * np.pi, size)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def project(columns: pd.DataFrame) -> pd.Series:
         z = np.sqrt(2.0 / size) * np.cos(columns.to_numpy(dtype=float) @ weights + shifts)
         return pd.Series(list(z))

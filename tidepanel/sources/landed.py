@@ -53,16 +53,18 @@ def read_daily_csv(
     return frame if numbers is None else coerce_numbers(frame, numbers)
 
 
-def read_ndjson(spark: SparkSession, path: str | list[str], fields: list[str]) -> DataFrame:
-    """Newline-delimited JSON objects, all fields as text.
+def parse_json_lines(
+    lines: DataFrame, column: str, fields: list[str], keep: list[str] = ()
+) -> DataFrame:
+    """Fields of JSON objects held one per row, all as text.
 
     Blank lines, malformed lines and lines that are no object are skipped; bytes that are no UTF-8
     are dropped from the line. A field of another JSON type keeps its raw text.
     """
-    line = F.col("value")
+    line = F.col(column)
     clean = F.trim(
         F.when(F.is_valid_utf8(line), line).otherwise(
-            F.regexp_replace(F.make_valid_utf8(line), "�", "")
+            F.regexp_replace(F.make_valid_utf8(line), "\ufffd", "")
         )
     )
     schema = T.StructType(
@@ -70,18 +72,22 @@ def read_ndjson(spark: SparkSession, path: str | list[str], fields: list[str]) -
         + [T.StructField("_malformed", T.StringType())]
     )
     parsed = F.from_json(
-        clean, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}
+        "_line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}
     )
     return (
-        spark.read.text(path)
-        .select(clean.alias("value"))
-        .filter(F.startswith(F.col("value"), F.lit("{")))
-        .select(parsed.alias("o"))
-        .filter(F.col("o").isNotNull() & F.col("o._malformed").isNull())
-        .select([F.col("o")[name].alias(name) for name in fields])
+        lines.select(*keep, clean.alias("_line"))
+        .filter(F.startswith(F.col("_line"), F.lit("{")))
+        .select(*keep, parsed.alias("_o"))
+        .filter(F.col("_o").isNotNull() & F.col("_o._malformed").isNull())
+        .select(*keep, *[F.col("_o")[name].alias(name) for name in fields])
     )
 
 
+def read_ndjson(spark: SparkSession, path: str | list[str], fields: list[str]) -> DataFrame:
+    """A newline-delimited JSON dump; splittable, one task per block of lines."""
+    return parse_json_lines(spark.read.text(path), "value", fields)
+
+
 def read_metric_payloads(
     spark: SparkSession, path: str | list[str], value_name: str, max_columns: int = 8
 ) -> DataFrame:
@@ -98,7 +104,7 @@ def read_metric_payloads(
         row = F.from_csv(line, F.lit(cells))
         return F.array(*[F.trim(row[f"c{i}"]) for i in range(max_columns)])
 
-    body = F.regexp_replace(F.col("value"), "^﻿?(sep=[^\r\n]*\r?\n?)?﻿?", "")
+    body = F.regexp_replace(F.col("value"), "^\ufeff?(sep=[^\r\n]*\r?\n?)?\ufeff?", "")
     lines = F.filter(F.split(body, r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file_name"), lines.alias("lines")

@@ -70,14 +70,17 @@ def _given(x: Column) -> Column:
 def resolve_profiles(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     """Fill company and query texts: the explicit value, else the profile's, else a default.
 
-    ``requests`` is (ticker, company_name, trends_query, gdelt_query), any of the last three NULL.
+    ``requests`` is (ticker, company_name, trends_query, gdelt_query), any of the last three NULL;
+    further columns are kept.
     An explicit value wins even when blank. A blank search query then falls back to the company, a
     blank news query to ``(company OR ticker)``, or ``(ticker)`` where both are the same.
     """
-    asked = requests.withColumn("ticker", F.upper(F.trim("ticker"))).alias("a")
+    asked = requests.withColumn("ticker", F.upper(F.trim("ticker")))
+    texts = ("company_name", "trends_query", "gdelt_query")
+    rest = [c for c in requests.columns if c not in ("ticker", *texts)]
     known = profiles.select(
         "ticker",
-        *[F.col(c).alias(f"_{c}") for c in ("company_name", "trends_query", "gdelt_query")],
+        *[F.col(c).alias(f"_{c}") for c in texts],
     )
     joined = asked.join(known, "ticker", "left")
     default = F.when(F.col("ticker") == DEFAULT_TICKER, F.lit(DEFAULT_COMPANY)).otherwise(
@@ -88,6 +91,7 @@ def resolve_profiles(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     alone = F.concat(F.lit("("), F.col("ticker"), F.lit(")"))
     return joined.select(
         "ticker",
+        *rest,
         company.alias("company_name"),
         F.coalesce(_given(F.coalesce("trends_query", "_trends_query")), company).alias(
             "trends_query"

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.bindings import features, joins
+from tidepanel.bindings import features, joins, landing, posts, scores
 from tidepanel.bindings.base import Tables
 
-MODULES = [joins, features]
+MODULES = [joins, features, posts, landing, scores]
 
 
 def _bind(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

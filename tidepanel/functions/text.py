@@ -50,7 +50,18 @@ def keyword_pattern(terms: list[str]) -> str:
     return "(?iu)(?:" + "|".join(_bounded(term) for term in wanted) + ")"
 
 
-def term_pattern(term: Column) -> Column:
-    """The same pattern for a term held in a column (terms begin and end with word characters)."""
-    quoted = F.regexp_replace(term, r"([^\p{L}\p{N}_\s])", r"\\$1")
-    return F.concat(F.lit(f"(?iu)(?<!{WORD})"), quoted, F.lit(f"(?!{WORD})"))
+def runs(text: Column) -> Column:
+    """Lower-cased text as alternating runs of word and of other characters; joined they are it."""
+    return F.regexp_extract_all(
+        F.lower(text), F.lit(rf"({TOKEN}|[^\p{{L}}\p{{N}}_]+)"), F.lit(1)
+    )
+
+
+def run_grams(pieces: Column, n: int) -> Column:
+    """Every n consecutive runs, joined, that begin with a word run."""
+    first = F.when(F.get(pieces, F.lit(0)).rlike(f"^{WORD}"), F.lit(1)).otherwise(F.lit(2))
+    last = F.size(pieces) - n + 1
+    starts = F.when(first <= last, F.sequence(first, last, F.lit(2))).otherwise(
+        F.array().cast("array<int>")
+    )
+    return F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, F.lit(n)), ""))

@@ -138,29 +138,49 @@ def best_threshold(curve: DataFrame, by: list[str]) -> DataFrame:
 
 # --- fixed values: P(X <= k) of a Poisson(1) count for k = 0..7, times 65536, rounded ----------
 POISSON_STEPS = [24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535]
+DRAWS_PER_HASH = 8
 
 
-def bootstrap_weights(row_key: Column, replicates: int) -> Column:
-    """Array of (replicate, weight): Poisson(1) counts drawn from a hash of the row key.
-
-    One MD5 gives the 16-bit draws of eight replicates. Weights hang on the key alone, so reruns
-    and retried tasks draw the same sample.
-    """
-
-    def draw(r: int) -> Column:
-        block = F.md5(F.concat(row_key.cast("string"), F.lit(f"#{r // 8}")))
-        u = F.conv(F.substring(block, 4 * (r % 8) + 1, 4), 16, 10).cast("int")
-        return sum(((u >= s).cast("int") for s in POISSON_STEPS), F.lit(0))
-
-    return F.array(*[F.struct(F.lit(r).alias("replicate"), draw(r).alias("w")) for r in range(replicates)])
+def poisson_draw(digits: Column) -> Column:
+    """Poisson(1) count for a uniform draw of four hex digits; they compare like the number."""
+    draw = F.when(digits < f"{POISSON_STEPS[0]:04x}", F.lit(0))
+    for k, step in enumerate(POISSON_STEPS[1:], start=1):
+        draw = draw.when(digits < f"{step:04x}", F.lit(k))
+    return draw.otherwise(F.lit(len(POISSON_STEPS)))
 
 
 def bootstrap_metrics(
     frame: DataFrame, by: list[str], row_key: Column, replicates: int = 200
 ) -> DataFrame:
-    """Class metrics of every replicate. Weights are summed per confusion cell on the map side."""
-    weighted = frame.select(*by, "label", "pred", F.inline(bootstrap_weights(row_key, replicates)))
-    cells = confusion(weighted.filter("w > 0"), [*by, "replicate"], F.col("w"))
+    """Class metrics of every bootstrap replicate.
+
+    A row's weight in a replicate is a Poisson(1) count drawn from a hash of the row key, so reruns
+    and retried tasks draw the same sample. One MD5 serves eight replicates: a row is repeated once
+    per hash, and the eight weights are summed per confusion cell on the map side.
+    """
+    blocks = -(-replicates // DRAWS_PER_HASH)
+    hashed = (
+        frame.select(*by, "label", "pred", row_key.cast("string").alias("_key"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .select(*by, "label", "pred", "_block", F.md5(F.concat("_key", F.lit("#"), "_block")).alias("_h"))
+    )
+    sums = [
+        F.sum(poisson_draw(F.substring("_h", 4 * k + 1, 4))).alias(f"_w{k}")
+        for k in range(DRAWS_PER_HASH)
+    ]
+    per_block = hashed.groupBy(*by, "label", "pred", "_block").agg(*sums)
+    unfolded = F.inline(
+        F.array(
+            *[
+                F.struct(
+                    (F.col("_block") * DRAWS_PER_HASH + k).alias("replicate"),
+                    F.col(f"_w{k}").alias("n"),
+                )
+                for k in range(DRAWS_PER_HASH)
+            ]
+        )
+    )
+    cells = per_block.select(*by, "label", "pred", unfolded).filter(F.col("replicate") < replicates)
     return class_metrics(cells, [*by, "replicate"])
 
 

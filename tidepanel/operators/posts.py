@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 from tidepanel.contract import POST_COLUMNS, POST_LOOKBACK_DAYS, POST_METRICS, SCORER_BATCH
 from tidepanel.functions.clock import epoch_seconds, iso, utc_date
 from tidepanel.functions.numeric import as_number, engagement_weight, known, ratio
-from tidepanel.functions.text import keyword_pattern, or_empty, term_pattern, title_and_body, tokens
+from tidepanel.functions.text import (
+    WORD,
+    keyword_pattern,
+    or_empty,
+    run_grams,
+    runs,
+    title_and_body,
+    tokens,
+)
 from tidepanel.operators.calendar import align_posts, fill_calendar
 from tidepanel.session import checked_broadcast
 
@@ -96,25 +104,28 @@ def match_keyword_table(
 ) -> DataFrame:
     """The same match for any number of keys, given as (ticker, term) rows.
 
-    Distinct words of each text meet the first word of each term in an equi-join; only such
-    candidates run the pattern. The keyword side is broadcast if its counted size allows, else the
-    join is shuffled and adaptive execution splits hot words. Matches are made unique per
-    (id, text hash, key) before they join back, so copies of an id keep their own rows.
+    Text and terms are cut into runs of word and other characters. A term of n runs matches where
+    n runs of the text, joined again, equal it in lower case: an equi-join on short strings that is
+    exact, boundaries included, and never carries the text along. The keyword side is broadcast if
+    its counted size allows, else the join is shuffled and adaptive execution splits hot words.
+    Terms begin and end with a word character. Matches are made unique per (id, text hash, key)
+    before they join back, so copies of an id keep their own rows.
     """
     text = title_and_body(F.col("title"), F.col("selftext")) if text is None else text
     on = [*id_columns, "_hash"]
     hashed = posts.withColumn("_hash", F.xxhash64(text))
     terms = keywords.select(
-        "ticker",
-        term_pattern(F.col("term")).alias("_pattern"),
-        F.get(tokens(F.col("term")), F.lit(0)).alias("_word"),
-    )
-    words = hashed.select(*on, text.alias("_text")).withColumn(
-        "_word", F.explode(F.array_distinct(tokens(F.col("_text"))))
-    )
+        "ticker", F.lower("term").alias("_gram"), F.size(runs(F.col("term"))).alias("_length")
+    ).filter(F.col("_gram").rlike(f"^{WORD}(?s:.*){WORD}$|^{WORD}$"))
+    # One number per distinct term length.
+    lengths = sorted(row[0] for row in terms.select("_length").distinct().collect())
+    if not lengths:
+        return posts.withColumn("ticker", F.lit(None).cast("string")).filter(F.lit(False))
+    grams = F.flatten(F.array(*[run_grams(F.col("_runs"), n) for n in lengths]))
     found = (
-        words.join(checked_broadcast(terms, row_bytes=256), "_word")
-        .filter(F.expr("_text rlike _pattern"))
+        hashed.select(*on, runs(text).alias("_runs"))
+        .select(*on, F.explode(F.array_distinct(grams)).alias("_gram"))
+        .join(checked_broadcast(terms.select("ticker", "_gram").distinct(), row_bytes=256), "_gram")
         .select(*on, "ticker")
         .distinct()
     )

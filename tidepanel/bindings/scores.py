@@ -49,8 +49,8 @@ def text_scores(t: Tables) -> DataFrame:
     size = F.col("n_chars").cast("double")
     letters = size - F.length(F.regexp_replace("text", "e", ""))
     models = F.array(
-        F.struct(F.lit("a").alias("model"), F.round(size / (size + 1500.0), 4).alias("score")),
-        F.struct(F.lit("b").alias("model"), F.round(letters * 4.0 / size, 4).alias("score")),
+        F.struct(F.lit("a").alias("model"), (size / (size + 1500.0)).alias("score")),
+        F.struct(F.lit("b").alias("model"), (letters * 4.0 / size).alias("score")),
     )
     return t.labels.join(t.documents, "doc_id").select(
         "doc_id", F.col("quality").alias("label"), F.inline(models)
@@ -144,7 +144,7 @@ def ensemble(t: Tables) -> DataFrame:
 def leaderboard_query(t: Tables) -> DataFrame:
     rows = durable(predictions(t))
     base = rows.filter("model = 'price'").select(
-        F.when(F.col("stage") == "test", "test").otherwise("train").alias("split")
+        F.when(F.col("stage") == "test", "test").otherwise("train").alias("split"), "label"
     )
     wide = leaderboard(wide_results(rows, base, {"price": 1, "discount": 1}, ["validation", "test"]))
     kinds = dict(wide.dtypes)
@@ -193,8 +193,8 @@ WITH base AS (
          CAST(n_chars AS DOUBLE) - length(replace(text, 'e', '')) AS e FROM labels JOIN documents USING (doc_id)),
 p AS (
   SELECT *, CAST(score >= CAST(0.5 AS DOUBLE) AS INTEGER) AS pred FROM (
-    SELECT doc_id, label, 'a' AS model, ROUND(n / (n + CAST(1500 AS DOUBLE)), 4) AS score FROM base
-    UNION ALL SELECT doc_id, label, 'b', ROUND(e * CAST(4 AS DOUBLE) / n, 4) FROM base))"""
+    SELECT doc_id, label, 'a' AS model, n / (n + CAST(1500 AS DOUBLE)) AS score FROM base
+    UNION ALL SELECT doc_id, label, 'b', e * CAST(4 AS DOUBLE) / n FROM base))"""
 
 
 def recall_sql(w: str = "1") -> str:

@@ -24,7 +24,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,7 +70,7 @@ def fit_logit(frame: DataFrame, features: list[str], settings: dict) -> Fitted:
     total = frame.agg(F.sum("weight")).first()[0]
     model = LogisticRegression(
         regParam=1.0 / (settings.get("C", 1.0) * total), elasticNetParam=0.0, standardization=False,
-        weightCol="weight", maxIter=settings.get("max_iter", 5000), tol=settings.get("tol", 1e-9),
+        weightCol="weight", maxIter=settings.get("max_iter", 5000), tol=settings.get("tol", 1e-7),
     ).fit(_assemble(frame, features))
     return Fitted(
         lambda rows: _scored(model, _assemble(rows, features), ["features"]),
@@ -187,12 +187,12 @@ def prepare(frame: DataFrame, fit_where: Column, features: list[str], scale: boo
     return filled
 
 
-def _in_parallel(jobs: list[Callable], parallelism: int) -> list:
+def _in_parallel(spark: SparkSession, jobs: list[Callable], parallelism: int) -> list:
     """Run independent Spark jobs from a few driver threads."""
     if parallelism <= 1 or len(jobs) <= 1:
         return [job() for job in jobs]
     with ThreadPool(min(parallelism, len(jobs))) as pool:
-        return pool.map(lambda job: inheritable_thread_target(job)(), jobs)
+        return pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs)
 
 
 @dataclass
@@ -244,7 +244,7 @@ def benchmark(
     for stage in stages:
         prepared = prepare(base, F.col("split").isin(STAGES[stage]), features, family in SCALED)
         jobs += [lambda n=name, s=stage, p=prepared: one(n, s, p) for name in sets]
-    done = _in_parallel(jobs, parallelism)
+    done = _in_parallel(frame.sparkSession, jobs, parallelism)
 
     predictions = durable(reduce(DataFrame.unionByName, [scored for *_, scored in done]))
     per_feature = [
@@ -258,7 +258,7 @@ def benchmark(
         for key, value in fitted.diagnostics.items()
     ]
     return Benchmark(
-        wide_results(predictions, base, {n: len(f) for n, f in sets.items()}, list(stages)),
+        wide_results(predictions, base, {n: len(f) for n, f in sets.items()}, list(stages), family == "mlp"),
         predictions,
         spark.createDataFrame(per_feature, "model string, feature string, value double"),
         spark.createDataFrame(diagnostics, "model string, name string, value double"),
@@ -266,30 +266,51 @@ def benchmark(
 
 
 def wide_results(
-    predictions: DataFrame, base: DataFrame, sizes: dict[str, int], stages: list[str]
+    predictions: DataFrame, base: DataFrame, sizes: dict[str, int], stages: list[str],
+    with_dummy: bool = False,
 ) -> DataFrame:
-    """One row per model: row counts and the four metrics of each stage."""
+    """One row per model: row counts and the four metrics of each stage.
+
+    ``base`` holds ``split`` and ``label``; with ``with_dummy`` the majority baseline is added.
+    """
     metrics = all_metrics(predictions, ["model", "stage"])
     columns = []
     for stage in stages:
         for m in ("accuracy", "balanced_accuracy", "auc", "positive_rate"):
             columns.append(F.max(F.when(F.col("stage") == stage, F.col(m))).alias(f"{stage}_{m}"))
-    split = F.col("split")
-    rows = base.agg(
-        F.count_if(split == "train").alias("train_rows"),
-        F.count_if(split == "validation").alias("validation_rows"),
-        F.count_if(split.isin("train", "validation")).alias("train_plus_validation_rows"),
-        F.count_if(split == "test").alias("test_rows"),
-    ).first()
-    named = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    # Rows per split and label: a handful of counts.
+    counts = {(r["split"], r["label"]): r["count"] for r in base.groupBy("split", "label").count().collect()}
+
+    def rows(*splits: str) -> Column:
+        return F.lit(sum(n for (s, _), n in counts.items() if s in splits)).cast("bigint")
+
+    sized = [
+        F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("model")].alias("n_features"),
+        rows("train").alias("train_rows"),
+        rows("validation").alias("validation_rows"),
+        rows("train", "validation").alias("train_plus_validation_rows"),
+        rows("test").alias("test_rows"),
+    ]
+    if with_dummy:
+        # The majority label of train (the smaller one on a tie), scored on validation.
+        top = min(
+            ((-n, label) for (s, label), n in counts.items() if s == "train"), default=(0, None)
+        )[1]
+        found = sum(n for (s, _), n in counts.items() if s == "validation")
+        hits = counts.get(("validation", top), 0)
+        sized.append(F.lit(hits / found if found else None).cast("double").alias("dummy_validation_accuracy"))
     return metrics.groupBy("model").agg(*columns).select(
-        "model",
-        named[F.col("model")].alias("n_features"),
-        *[F.lit(rows[c]).cast("bigint").alias(c) for c in rows.asDict()],
+        "model", *sized,
         *[f"{s}_{m}" for s in stages for m in ("accuracy", "balanced_accuracy", "auc", "positive_rate")],
     )
 
 
+def with_diagnostics(done: Benchmark, names: list[str]) -> DataFrame:
+    """Results with fit diagnostics as further columns; both sides hold one row per model."""
+    wide = done.diagnostics.groupBy("model").pivot("name", names).agg(F.first("value"))
+    return done.results.join(wide, "model", "left")
+
+
 # --- documented variants: loops over the benchmark --------------------------------------------
 
 
@@ -339,7 +360,7 @@ def grid_search(
         return scored.select(F.lit(text).alias("settings"), "label", "pred", "score")
 
     jobs = [lambda v=values: one(v) for values in itertools.product(*grid.values())]
-    scored = durable(reduce(DataFrame.unionByName, _in_parallel(jobs, parallelism)))
+    scored = durable(reduce(DataFrame.unionByName, _in_parallel(frame.sparkSession, jobs, parallelism)))
     return all_metrics(scored, ["settings"]).orderBy(
         F.desc_nulls_last("balanced_accuracy"), F.desc_nulls_last("accuracy"), "settings"
     )
@@ -381,7 +402,7 @@ def out_of_fold(
         rows = base.filter(F.col("fold") == fold).drop("fold")
         prepared = prepare(rows, F.col("role") == "train", features, True)
         jobs += [lambda k=fold, n=name, p=prepared: one(k, n, p) for name in sets]
-    return durable(reduce(DataFrame.unionByName, _in_parallel(jobs, parallelism)))
+    return durable(reduce(DataFrame.unionByName, _in_parallel(frame.sparkSession, jobs, parallelism)))
 
 
 def stack(
@@ -419,9 +440,9 @@ def fit_per_key(
     Keys are independent, so each is one group of a grouped map; a key holds one row per session.
     Newton steps on a matrix of ``features`` columns; a key with one class gets NULLs.
     """
-    schema = frame.select(key).schema.add("n", "bigint").add("intercept", "double")
+    schema = frame.select(key).schema.add("n", T.LongType()).add("intercept", T.DoubleType())
     for f in features:
-        schema = schema.add(f, "double")
+        schema = schema.add(f, T.DoubleType())
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         y = group[label].to_numpy(dtype=float)

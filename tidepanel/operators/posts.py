@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.contract import POST_COLUMNS, POST_LOOKBACK_DAYS, POST_METRICS, SCORER_BATCH
 from tidepanel.functions.clock import epoch_seconds, iso, utc_date
@@ -194,7 +195,7 @@ def classifier_scores(
     """
     schema = posts.select(*keep).schema
     for name in ("p_pos", "p_neg", output):
-        schema = schema.add(name, "double")
+        schema = schema.add(name, T.DoubleType())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = factory()

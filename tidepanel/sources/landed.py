@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,35 +110,25 @@ def read_metric_payloads(
         F.col("_metadata.file_name").alias("file_name"), lines.alias("lines")
     )
     header = fields(F.get("lines", F.lit(0)))
-    fault = F.when(
+    # Both checks sit in expressions every row depends on, so they cannot be pruned away.
+    data = F.when(
         F.size("lines") == 0,
-        F.raise_error(F.concat(F.lit("empty metric payload: "), F.col("file_name"))),
-    ).when(
-        (F.size("lines") > 1) & ~F.array_contains(header, "Date"),
-        F.raise_error(F.concat(F.lit("metric payload without Date: "), F.col("file_name"))),
+        F.raise_error(F.concat(F.lit("empty metric payload: "), F.col("file_name"))).cast("array<string>"),
+    ).otherwise(F.slice("lines", F.lit(2), F.size("lines")))
+    date_at = F.when(F.array_position("header", "Date") > 0, F.array_position("header", "Date")).otherwise(
+        F.raise_error(F.concat(F.lit("metric payload without Date: "), F.col("file_name"))).cast("bigint")
     )
-    rows = files.select(
-        "file_name",
-        fault.cast("string").alias("fault"),
-        header.alias("header"),
-        F.explode(F.slice("lines", F.lit(2), F.greatest(F.size("lines"), F.lit(1)))).alias("line"),
-        F.array_position(header, "Date").cast("int").alias("at"),
-        F.array_position(header, "Value").cast("int").alias("value_at"),
-    )
-    # The fault column is filtered on, so that the check cannot be pruned away.
-    checked = files.select(fault.cast("string").alias("fault")).filter("fault is not null")
-    data = rows.filter(F.col("fault").isNull()).select(
-        parse_date(F.get(fields(F.col("line")), F.col("at") - 1)).alias("date"),
-        F.when(
-            F.col("value_at") > 0, as_number(F.get(fields(F.col("line")), F.col("value_at") - 1))
-        ).alias(value_name),
+    rows = files.select("file_name", header.alias("header"), F.explode(data).alias("line"))
+    value_at = F.array_position("header", "Value")
+
+    def cell(at: Column) -> Column:
+        return F.get(fields(F.col("line")), at.cast("int") - 1)
+
+    return rows.select(
+        parse_date(cell(date_at)).alias("date"),
+        F.when(value_at > 0, as_number(cell(value_at))).alias(value_name),
         "file_name",
-    )
-    empty = checked.select(
-        F.lit(None).cast("date").alias("date"), missing().alias(value_name),
-        F.col("fault").alias("file_name"),
-    )
-    return data.unionByName(empty).filter(F.col("date").isNotNull())
+    ).filter(F.col("date").isNotNull())
 
 
 def read_window_files(

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.session import spread
+
 
 class Tables:
     """Lazy access to the Parquet tables of one folder."""
@@ -19,7 +21,9 @@ class Tables:
         self._spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        table = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        # The long texts are the heavy rows; a folder of many files is left as it is.
+        return spread(table) if name == "documents" else table
 
 
 def with_ctes(names: list[str], body: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +25,19 @@ from tidepanel.operators.metrics import (
 )
 from tidepanel.operators.models import wide_results
 from tidepanel.operators.stats import class_weights, with_class_weights
-from tidepanel.session import durable
+from tidepanel.session import durable, spread
 
 D = 10
 REPLICATES = 24
 
 
-def predictions(t: Tables) -> DataFrame:
+def predictions(t: Tables, layout: Callable[[DataFrame], DataFrame] = lambda table: table) -> DataFrame:
     """Two scores for every line item against its return flag: one near-continuous, one with ties."""
     models = F.array(
         F.struct(F.lit("price").alias("model"), (F.col("l_extendedprice") / 131072.0).alias("score")),
         F.struct(F.lit("discount").alias("model"), (F.col("l_discount") * 9.0).alias("score")),
     )
-    lines = t.lineitem.select(
+    lines = layout(t.lineitem).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
         F.when(F.pmod("l_orderkey", F.lit(3)) == 0, "test").otherwise("validation").alias("stage"),
@@ -109,7 +111,7 @@ def _row_key():
 
 
 def bootstrap(t: Tables) -> DataFrame:
-    made = bootstrap_metrics(predictions(t), ["model"], _row_key(), REPLICATES)
+    made = bootstrap_metrics(predictions(t, spread), ["model"], _row_key(), REPLICATES)
     return made.select(
         "model", "replicate", F.col("n").cast("bigint").alias("n"),
         F.round("accuracy", D).alias("accuracy"), F.round("balanced_accuracy", D).alias("balanced_accuracy"),
@@ -117,7 +119,7 @@ def bootstrap(t: Tables) -> DataFrame:
 
 
 def bootstrap_ci(t: Tables) -> DataFrame:
-    made = bootstrap_interval(predictions(t), ["model"], _row_key(), replicates=REPLICATES)
+    made = bootstrap_interval(predictions(t, spread), ["model"], _row_key(), replicates=REPLICATES)
     return made.select("model", *[F.round(c, D).alias(c) for c in ("mean", "low", "high")])
 
 

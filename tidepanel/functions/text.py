@@ -34,6 +34,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def fold(text: Column) -> Column:
+    """Lower case by way of upper case: equal for all texts that differ in case alone."""
+    return F.lower(F.upper(text))
+
+
 def _bounded(term: str) -> str:
     """A literal term that must sit on word boundaries at both ends."""
     inside = re.compile(r"\w")

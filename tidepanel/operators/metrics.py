@@ -214,7 +214,7 @@ def delong(
 
     def components(name: str) -> DataFrame:
         counts = pairs.groupBy(*by, name).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        ranked = cumulative(counts, by, name, ["pos", "neg"])
+        ranked = cumulative(counts, by, name, ["pos", "neg"], lineage_cut=False)
         return ranked.select(
             *by,
             name,

@@ -19,9 +19,8 @@ MOST_RANGES = 1000
 
 def _cuts(counts: DataFrame, value: str) -> list[float]:
     """Range bounds from approximate quantiles of all distinct values: a few numbers, on the driver."""
-    wanted = min(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
-    if wanted < 2:
-        return []
+    # Several ranges per shuffle partition even out how they hash.
+    wanted = min(4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
     probabilities = [k / wanted for k in range(1, wanted)]
     found = counts.stat.approxQuantile(value, probabilities, 0.25 / wanted)
     return sorted(set(found))

@@ -56,3 +56,13 @@ def checked_broadcast(side: DataFrame, row_bytes: int = 64) -> DataFrame:
     """
     most = BROADCAST_BYTES // row_bytes
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Even out a scan that has fewer input splits than the cluster has cores.
+
+    For heavy work per row on a table of few files or row groups. A scan with a split per core or
+    more, as any large table has, is returned as it is: no shuffle is added at scale.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -42,6 +42,8 @@ def test_keyword_table_agrees_with_inline(spark):
     inline = sorted((r.id, r.title, r.ticker) for r in px.match_keywords(data, words).collect())
     joined = sorted((r.id, r.title, r.ticker) for r in px.match_keyword_table(data, table, ["id"]).collect())
     assert inline == joined and len(inline) > 10
+    many = words | {f"K{i}": [f"k{i}"] for i in range(5)}
+    assert sorted((r.id, r.title, r.ticker) for r in px.match_keywords(data, many).collect()) == inline
 
 
 def test_terms_with_outer_symbols_need_a_word_next_to_them(spark):

@@ -34,25 +34,26 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def fold(text: Column) -> Column:
-    """Lower case by way of upper case: equal for all texts that differ in case alone."""
-    return F.lower(F.upper(text))
-
-
-def _bounded(term: str) -> str:
-    """A literal term that must sit on word boundaries at both ends."""
-    inside = re.compile(r"\w")
-    head = rf"(?<!{WORD})" if inside.match(term[0]) else rf"(?<={WORD})"
-    tail = rf"(?!{WORD})" if inside.match(term[-1]) else rf"(?={WORD})"
-    return head + re.escape(term) + tail
+def _edge(letter: str, before: bool) -> str:
+    """A word boundary next to a term's outer character: the neighbour is of the other kind."""
+    look = ("?<" if before else "?") + ("!" if re.match(r"\w", letter) else "=")
+    return f"({look}{WORD})"
 
 
 def keyword_pattern(terms: list[str]) -> str:
-    """Case-insensitive pattern for any of the terms as whole words."""
-    wanted = [term for term in terms if term]
-    if not wanted:
+    """Case-insensitive pattern for any of the terms as whole words.
+
+    Terms with the same kind of edges share them, so most positions of a text fail at once.
+    """
+    edges: dict[tuple[str, str], list[str]] = {}
+    for term in terms:
+        if term:
+            edges.setdefault((_edge(term[0], True), _edge(term[-1], False)), []).append(re.escape(term))
+    if not edges:
         raise ValueError("no keyword given")
-    return "(?iu)(?:" + "|".join(_bounded(term) for term in wanted) + ")"
+    return "(?iu)(?:" + "|".join(
+        f"{head}(?:{'|'.join(quoted)}){tail}" for (head, tail), quoted in edges.items()
+    ) + ")"
 
 
 def runs(text: Column) -> Column:

@@ -224,7 +224,7 @@ def delong(
 
     joined = pairs
     for name in ("a", "b"):
-        joined = joined.join(checked_broadcast(components(name)), [*by, name])
+        joined = joined.join(checked_broadcast(durable(components(name)), row_bytes=256), [*by, name])
 
     def mean(x: Column, w: str) -> Column:
         return ratio(F.sum(x * F.col(w)), F.sum(w))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +14,6 @@ from tidepanel.functions.clock import epoch_seconds, iso, utc_date
 from tidepanel.functions.numeric import as_number, engagement_weight, known, ratio
 from tidepanel.functions.text import (
     WORD,
-    fold,
     keyword_pattern,
     or_empty,
     run_grams,
@@ -29,6 +26,8 @@ from tidepanel.session import checked_broadcast
 
 # Above this many keys the in-row match gives way to the token join.
 INLINE_KEYS = 48
+# Above this many keys a pattern of all terms is tried before the single ones.
+GATED_KEYS = 4
 
 
 def submissions(raw: DataFrame) -> DataFrame:
@@ -92,21 +91,22 @@ def match_keywords(
 ) -> DataFrame:
     """Posts that name a key, once per key: whole-word, case-insensitive, ticker or company.
 
-    All keys are tested in one pass over the posts inside one projection: no join, no shuffle. The
-    pattern only runs on texts that hold one of the terms at all, which a plain byte search finds.
+    All keys are tested in one pass over the posts inside one projection: no join, no shuffle. With
+    more than a few keys one pattern of all terms goes first, and only texts it finds are tested
+    per key.
     """
     if len(keywords) > INLINE_KEYS:
         raise ValueError("use match_keyword_table for this many keys")
     text = title_and_body(F.col("title"), F.col("selftext")) if text is None else text
-    folded = F.col("_folded")
-    hits = []
-    for name, terms in keywords.items():
-        held = [folded.contains(fold(F.lit(term))) for term in terms if term]
-        hits.append(F.when(reduce(or_, held) & text.rlike(keyword_pattern(terms)), F.lit(name)))
-    named = posts.withColumn("_folded", fold(text)).withColumn(
-        "_keys", F.array_compact(F.array(*hits))
+    hits = F.array_compact(
+        F.array(
+            *[F.when(text.rlike(keyword_pattern(terms)), F.lit(name)) for name, terms in keywords.items()]
+        )
     )
-    return named.withColumn(key, F.explode("_keys")).drop("_folded", "_keys")
+    if len(keywords) > GATED_KEYS:
+        every = [term for terms in keywords.values() for term in terms]
+        hits = F.when(text.rlike(keyword_pattern(every)), hits)
+    return posts.withColumn(key, F.explode(hits))
 
 
 def match_keyword_table(

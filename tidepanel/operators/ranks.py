@@ -38,6 +38,7 @@ def cumulative(
     cuts = _cuts(counts, value)
     splits = [-float("inf"), *cuts, float("inf")]
     ranged = Bucketizer(splits=splits, inputCol=value, outputCol="_range").transform(counts)
+    ranged = ranged.withColumn("_range", F.col("_range").cast("int"))
 
     whole = Window.partitionBy(*by)
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +53,8 @@ def cumulative(
         Window.partitionBy(*by, "_range").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return ranged.join(offsets, [*by, "_range"]).select(
+    # A hash join on the window's own keys: values are shuffled once and sorted once.
+    return ranged.join(offsets.hint("shuffle_hash"), [*by, "_range"]).select(
         *counts.columns,
         *[
             (F.col(f"_{m}_offset") + F.coalesce(F.sum(m).over(inside), F.lit(0))).alias(f"{m}_below")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.session import spread
+from tidepanel.session import checked_broadcast, spread
 
 
 class Tables:
@@ -50,7 +50,11 @@ def whole(x: Column) -> Column:
 
 
 def customer_regions(t: Tables) -> DataFrame:
-    return (
+    """Region of every customer, broadcast while the counted customers allow it.
+
+    The planner multiplies the sizes of joined tables and would not broadcast it by itself.
+    """
+    return checked_broadcast(
         t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select("c_custkey", F.col("r_name").alias("ticker"))
@@ -80,7 +84,7 @@ def prices(t: Tables) -> DataFrame:
 
 def day_rows(t: Tables) -> DataFrame:
     """Calendar-day rows of several sources, many per (region, ship date), with missing values."""
-    suppliers = (
+    suppliers = checked_broadcast(
         t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select("s_suppkey", F.col("r_name").alias("ticker"))

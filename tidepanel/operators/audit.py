@@ -91,8 +91,7 @@ def metadata_document(
 
     The document holds audit records, not data rows; their number is checked first.
     """
-    held = sources.limit(DOCUMENT_RECORDS + 1).count() + coverage.limit(DOCUMENT_RECORDS + 1).count()
-    if held > DOCUMENT_RECORDS:
+    if sources.count() + coverage.count() > DOCUMENT_RECORDS:
         raise ValueError("too many audit records for one document; use metadata_records")
 
     def nested(audit: DataFrame) -> Column:

@@ -51,11 +51,11 @@ def durable(frame: DataFrame) -> DataFrame:
 def checked_broadcast(side: DataFrame, row_bytes: int = 64) -> DataFrame:
     """Hint a broadcast only after counting the side; beyond the bound leave it to the planner.
 
-    The count reads at most one row more than the bound. Larger sides become a shuffled join,
+    The count is an aggregate (a limit before it would send rows to one task), so the side should
+    be cheap to read twice: a dimension, or a durable frame. Larger sides become a shuffled join,
     where adaptive execution splits hot keys.
     """
-    most = BROADCAST_BYTES // row_bytes
-    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+    return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
 
 
 def spread(scan: DataFrame) -> DataFrame:

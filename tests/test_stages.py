@@ -90,6 +90,15 @@ def test_searches(rows):
     }
 
 
+def test_constant_features_get_no_weight(rows):
+    flat = rows.withColumns({"c": F.lit(2.0), "n": F.lit(None).cast("double")})
+    done = models.benchmark(flat, "logit", {"some": ["x1", "c"], "none": ["c", "n"]})
+    values = {(r.model, r.feature): r.value for r in done.per_feature.collect()}
+    assert values["some", "c"] == values["none", "c"] == values["none", "n"] == 0.0 != values["some", "x1"]
+    got = {r.model: r.test_auc for r in done.results.collect()}
+    assert got["none"] == 0.5 < got["some"]
+
+
 def test_stacking_uses_only_earlier_folds(rows):
     folds = walk_forward(rows, 3)
     oof = models.out_of_fold(rows, folds, 3, {"a": ("logit", ["x1"], {}), "b": ("logit", ["x2"], {})})

@@ -7,6 +7,7 @@ feature columns, ``label`` and ``weight``.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -65,16 +66,29 @@ def _scored(model, frame: DataFrame, drop: list[str], column: str = "probability
 def fit_logit(frame: DataFrame, features: list[str], settings: dict) -> Fitted:
     """L2 logistic regression with inverse strength C and balanced weights.
 
-    Spark divides the loss by the weight sum, so the penalty is 1 / (C * sum of weights).
+    Spark divides the loss by the weight sum, so the penalty is 1 / (C * sum of weights). Features
+    that are constant on the fit rows cannot be told from the intercept: they get coefficient 0 and
+    stay out of the solver.
     """
-    total = frame.agg(F.sum("weight")).first()[0]
+    parts = [F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("label")).alias("up")]
+    for k, f in enumerate(features):
+        parts += [F.min(f).alias(f"a{k}"), F.max(f).alias(f"b{k}")]
+    seen = frame.agg(*parts).first()
+    used = [f for k, f in enumerate(features) if seen[f"a{k}"] != seen[f"b{k}"]]
+    zeros = dict.fromkeys(features, 0.0)
+    if not used:
+        share = seen["up"] / seen["w"]
+        return Fitted(
+            lambda rows: rows.withColumns({"score": F.lit(share), "pred": F.lit(int(share > 0.5))}),
+            zeros, {"iterations_used": 0, "intercept": math.log(share / (1 - share)) if 0 < share < 1 else math.inf},
+        )
     model = LogisticRegression(
-        regParam=1.0 / (settings.get("C", 1.0) * total), elasticNetParam=0.0, standardization=False,
-        weightCol="weight", maxIter=settings.get("max_iter", 5000), tol=settings.get("tol", 1e-7),
-    ).fit(_assemble(frame, features))
+        regParam=1.0 / (settings.get("C", 1.0) * seen["w"]), elasticNetParam=0.0, standardization=False,
+        weightCol="weight", maxIter=settings.get("max_iter", 5000), tol=settings.get("tol", 1e-6),
+    ).fit(_assemble(frame, used))
     return Fitted(
-        lambda rows: _scored(model, _assemble(rows, features), ["features"]),
-        dict(zip(features, (float(x) for x in model.coefficients.toArray()))),
+        lambda rows: _scored(model, _assemble(rows, used), ["features"]),
+        zeros | dict(zip(used, (float(x) for x in model.coefficients.toArray()))),
         {"iterations_used": model.summary.totalIterations, "intercept": float(model.intercept)},
     )
 
@@ -414,9 +428,10 @@ def stack(
         *[F.max(F.when(F.col("model") == m, F.col("score"))).alias(f"s{k}") for k, m in enumerate(models)],
     )
     names = [f"s{k}" for k in range(len(models))]
-    fit_rows = with_class_weights(wide.filter(F.col("fold") < last_fold))
-    fitted = fit_logit(fit_rows, names, {})
-    return fitted.score(wide.filter(F.col("fold") == last_fold)).select(*keys, "label", "score", "pred")
+    # Scores may hardly vary; the solver needs them on one scale.
+    scaled = prepare(wide, F.col("fold") < last_fold, names, True)
+    fitted = fit_logit(with_class_weights(scaled.filter(F.col("fold") < last_fold)), names, {})
+    return fitted.score(scaled.filter(F.col("fold") == last_fold)).select(*keys, "label", "score", "pred")
 
 
 def lag_grid_sets(base: list[str], first: str, second: str, lags: list[int]) -> dict[str, list[str]]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, extract, warc
+from tidepanel.llm import bitslice, bpe, extract, hnsw, neardup, ppm, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,13 +21,33 @@ def op2_extract(spark: SparkSession, folder: str) -> DataFrame:
     return extract.page_texts(_table(spark, folder, "pages"))
 
 
+def op4_hnsw(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.near_vectors(_table(spark, folder, "embeddings"))
+
+
+def op7_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, folder, "documents"))
+
+
+def op8_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm.score_documents(_table(spark, folder, "documents"))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_table(spark, folder, "documents"))
 
 
+def op10_bitslice(spark: SparkSession, folder: str) -> DataFrame:
+    return bitslice.neighbours(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_extract": op2_extract,
+    "op4_hnsw": op4_hnsw,
+    "op7_neardup": op7_neardup,
+    "op8_ppm": op8_ppm,
     "op9_bpe": op9_bpe,
+    "op10_bitslice": op10_bitslice,
 }
 ORACLE: dict[str, str] = {}

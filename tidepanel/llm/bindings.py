@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bitslice, bpe, extract, hnsw, neardup, ppm, warc
+from tidepanel.llm import bitslice, bpe, extract, hnsw, mixing, neardup, ppm, secrets, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,10 +21,22 @@ def op2_extract(spark: SparkSession, folder: str) -> DataFrame:
     return extract.page_texts(_table(spark, folder, "pages"))
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, folder, "documents"))
+
+
 def op4_hnsw(spark: SparkSession, folder: str) -> DataFrame:
     return hnsw.near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_documents(_table(spark, folder, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.grade_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op7_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"))
 
@@ -44,7 +56,10 @@ def op10_bitslice(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_extract": op2_extract,
+    "op3_secrets": op3_secrets,
     "op4_hnsw": op4_hnsw,
+    "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_neardup": op7_neardup,
     "op8_ppm": op8_ppm,
     "op9_bpe": op9_bpe,

@@ -93,7 +93,7 @@ def signatures_of(sets: list[np.ndarray], positions: int = POSITIONS) -> np.ndar
 
 
 SIGNED = {
-    "doc_id": pa.int64(), "n_shingles": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "sig": pa.binary(),
+    "doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "sig": pa.binary(),
 }
 
 
@@ -119,7 +119,7 @@ def _groups(batch: pa.RecordBatch, text: str, size: int) -> Iterator[tuple[int,
 
 
 def signatures(documents: DataFrame, size: int = WORDS, positions: int = POSITIONS) -> DataFrame:
-    """doc_id, set size, a 128-bit hash of the set and the signature of every whole text."""
+    """doc_id, hash of the text, set size, a 128-bit hash of the set and the signature of every whole text."""
     shared.prepare(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,13 +129,14 @@ def signatures(documents: DataFrame, size: int = WORDS, positions: int = POSITIO
                 keys = [_set_hash(s) for s in sets]
                 yield shared.arrow_of(SIGNED, {
                     "doc_id": batch.column("doc_id").slice(first, len(sets)),
+                    "text_hash": batch.column("text_hash").slice(first, len(sets)),
                     "n_shingles": [len(s) for s in sets], "h1": [k[0] for k in keys], "h2": [k[1] for k in keys],
                     "sig": [row.tobytes() for row in signed],
                 })
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig binary"
-    )
+    return documents.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"
+    ).mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, h1 bigint, h2 bigint, sig binary")
 
 
 def shingle_sets(documents: DataFrame, size: int = WORDS) -> DataFrame:
@@ -345,18 +346,11 @@ def near_links(
     return links.union(rest)
 
 
-def near_duplicates(
+def resolved(
     documents: DataFrame, similarity: int = SIMILARITY, size: int = WORDS, positions: int = POSITIONS,
     chunks: int = CHUNKS, errors: int = ERRORS, block: int = BLOCK,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``documents`` (doc_id, text).
-
-    ``component_id`` is the smallest doc_id reachable by links of ``similarity`` per cent or more of the
-    shingle sets' union, the document's own included. Documents without words (NULL, empty, white space)
-    have an empty set and stand alone. Rows that repeat an id count as documents of their own and share
-    it as their name. A NULL doc_id links with nothing: its component is NULL, and it is kept. Other
-    columns are passed over.
-    """
+    """As ``near_duplicates``, with the hash of the text beside the id."""
     signed = shared.stored(
         signatures(documents, size, positions).withColumn("row", F.monotonically_increasing_id()), "signatures"
     )
@@ -373,13 +367,54 @@ def near_duplicates(
     names = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = shared.stored(linked.join(names, "component").select(*same, "component_id"), "named-classes")
     single = classes.select(*same, F.col("doc_id").alias("_own"))
-    resolved = single.join(named, same, "left").select(*same, F.coalesce("component_id", "_own").alias("component_id"))
+    placed = single.join(named, same, "left").select(*same, F.coalesce("component_id", "_own").alias("component_id"))
     return (
-        signed.select("doc_id", *same).join(resolved, same, "left")
+        signed.select("doc_id", "text_hash", *same).join(placed, same, "left")
         .select(
-            "doc_id", "n_shingles",
+            "doc_id", "text_hash", "n_shingles",
             F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
             .otherwise(F.col("doc_id")).alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def near_duplicates(documents: DataFrame, **options: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``documents`` (doc_id, text).
+
+    ``component_id`` is the smallest doc_id reachable by links of ``similarity`` per cent or more of the
+    shingle sets' union, the document's own included. Documents without words (NULL, empty, white space)
+    have an empty set and stand alone. Rows that repeat an id count as documents of their own and share
+    it as their name. A NULL doc_id links with nothing: its component is NULL, and it is kept. Other
+    columns are passed over. Options are those of ``resolved``.
+    """
+    return resolved(documents, **options).drop("text_hash")
+
+
+def deduplicated(documents: DataFrame, **options: int) -> DataFrame:
+    """The documents without those that a near duplicate with a smaller id stands for; columns stay.
+
+    Of rows that share the id which names a component one stays, that with the smallest hash of its text.
+    Documents without words and those without an id all stay.
+    """
+    own = shared.free_prefix(documents.columns)
+    found = shared.stored(resolved(documents, **options), "resolved")
+    numbered = found.filter("n_shingles > 0 and doc_id is not null")
+    gone = numbered.filter("not kept").select("doc_id", "text_hash")
+    again = (
+        numbered.filter("kept").groupBy("doc_id").agg(F.min("text_hash").alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+    )
+    twice = numbered.filter("kept").join(again, "doc_id")
+    gone = gone.union(twice.filter("text_hash <> first").select("doc_id", "text_hash")).distinct()
+    gone = shared.stored(gone.withColumn("repeats", F.lit(False)).union(
+        twice.filter("text_hash = first").select("doc_id", "text_hash", F.lit(True).alias("repeats")).distinct()
+    ).select(F.col("doc_id").alias(f"{own}id"), F.col("text_hash").alias(f"{own}hash"), F.col("repeats").alias(f"{own}repeats")), "gone")
+    hashed = documents.withColumn(f"{own}text", F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col(f"{own}id")) & (F.col(f"{own}text") == F.col(f"{own}hash"))
+    marked = hashed.join(checked_broadcast(gone, 32), same, "left")
+    once = marked.filter(F.col(f"{own}repeats").isNull()).select(*documents.columns)
+    if gone.filter(f"{own}repeats").isEmpty():
+        return once
+    repeats = marked.filter(f"{own}repeats").dropDuplicates(["doc_id"]).select(*documents.columns)
+    return once.union(repeats)

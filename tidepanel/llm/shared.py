@@ -46,6 +46,14 @@ def stored(frame: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def free_prefix(columns: list[str], start: str = "_own_") -> str:
+    """A prefix that no column has, upper and lower case alike, for helper columns beside given ones."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(start) for c in taken):
+        start = "_" + start
+    return start
+
+
 def digest_words(text: Column) -> Column:
     """Words of a text by the contracts: runs without space, tab, line feed to carriage return."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint")

@@ -4,9 +4,10 @@ P(grade >= k) = sigmoid(w.x - threshold_k): one set of weights for all grades, a
 The output is the expected severity, the sum of these probabilities, and the most likely grade.
 
 The model is fitted to a bounded sample of labelled documents, at most ``FIT_ROWS``; every document is
-scored, whole. Features are the words of a vocabulary, chosen by how far a word's share of toxic
-documents is from the average; a feature's value grows slowly with the word's share of the text, from
-a constant for any occurrence, so that a long text counts as well. Copies and near copies in the
+scored, whole. Features are words and beginnings of words, so that inflected forms count together, from
+a vocabulary chosen by how surely a feature's share of toxic documents differs from the average; its
+value grows slowly with its share of the text, from a constant for any occurrence, so that a long text
+counts as well. Copies and near copies in the
 sample count once, else the words of an often copied document would pass for signs.
 """
 
@@ -20,20 +21,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.llm import shared
 
 FIT_ROWS = 20_000
+SKETCHES, SKETCH_WORDS = 4, 4
+PREFIXES = (4, 5, 6, 7)
 VOCABULARY = 4096
-LEAST_DOCUMENTS, LEAST_Z = 5, 3.0
-#: A word is typical of toxic texts beyond this z; a toxic text's grade rises with its share of such words.
-TYPICAL_Z = 5.0
-GRADE_SHARES = (0.05, 0.12)
-PENALTY = 1e-3
-PRIOR = 0.5
+#: Least documents of a word, and least log-likelihood ratio: by itself and as a part of the strongest word's.
+LEAST_DOCUMENTS, LEAST_RATIO, LEAST_PART = 5, 12.0, 0.05
+#: A toxic text's grade rises where it has more than so many different words that are typical of toxic texts.
+GRADE_WORDS = (3, 6)
+PENALTY = 1e-4
 LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -42,20 +44,26 @@ def letter_words(text: str | None) -> list[bytes]:
     return [] if text is None else LETTERS.findall(text.encode().translate(shared.LOWER))
 
 
+def features_of(word: bytes) -> list[bytes]:
+    """The word, and its beginnings of ``PREFIXES`` bytes with a mark in front."""
+    return [word, *(b"^" + word[:k] for k in PREFIXES if len(word) > k)]
+
+
 def value(count: int, total: int) -> float:
     """Feature value of a word that occurs ``count`` times in a text of ``total`` words."""
-    return 0.5 + 0.5 * math.log1p(200.0 * count / total)
+    return 1.0 + 0.25 * math.log1p(200.0 * count / total)
 
 
 # --- the sample -----------------------------------------------------------------------------------
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, toxic, words, counts, total) of at most ``rows`` labelled documents.
+    """(doc_id, toxic, words, counts, features, total) of at most ``rows`` labelled documents.
 
     They are those with the smallest hash of their id. Of several labels for an id the largest counts;
-    NULL ids and labels are passed over. Of documents with the same smallest pair of words (copies and
-    most near copies) one stays.
+    NULL ids and labels are passed over. A document that shares one of its ``SKETCHES`` smallest hashed
+    runs of words (under as many hash functions) with one of a smaller id is passed over: that is so for
+    copies and nearly all near copies, and for hardly any others.
     """
     ids = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -64,69 +72,85 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows
     )
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     schema = {
-        "doc_id": pa.int64(), "toxic": pa.int32(), "sketch": pa.int64(), "words": pa.list_(pa.binary()),
-        "counts": pa.list_(pa.int32()), "total": pa.int64(),
+        "doc_id": pa.int64(), "toxic": pa.int32(), "sketch": pa.list_(pa.int64()), "words": pa.list_(pa.binary()),
+        "counts": pa.list_(pa.int32()), "features": pa.list_(pa.binary()), "total": pa.int64(),
     }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: dict[str, list] = {n: [] for n in ("sketch", "words", "counts", "total")}
+            made: dict[str, list] = {n: [] for n in ("sketch", "words", "counts", "features", "total")}
             for text in shared.texts_of(batch, "text"):
                 words = letter_words(text)
                 counted = Counter(words)
-                pairs = set(zip(words, words[1:]))
-                least = min((xxhash.xxh3_64_intdigest(b" ".join(p)) for p in pairs), default=len(words))
-                made["sketch"].append(least - (1 << 63))
+                runs = [b" ".join(words[i : i + SKETCH_WORDS]) for i in range(max(1, len(words) - SKETCH_WORDS + 1))]
+                made["sketch"].append([
+                    min(xxhash.xxh3_64_intdigest(r, seed) for r in runs) - (1 << 63) for seed in range(SKETCHES)
+                ])
                 made["words"].append(list(counted))
+                made["features"].append(list({f for w in counted for f in features_of(w)}))
                 made["counts"].append(list(counted.values()))
                 made["total"].append(len(words))
             yield shared.arrow_of(schema, {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), **made})
 
-    rows_ = texts.select("doc_id", "toxic", "text").mapInArrow(
-        run, "doc_id bigint, toxic int, sketch bigint, words array<binary>, counts array<int>, total bigint"
+    made_rows = shared.stored(
+        texts.select("doc_id", "toxic", "text").mapInArrow(
+            run, "doc_id bigint, toxic int, sketch array<bigint>, words array<binary>, counts array<int>, "
+            "features array<binary>, total bigint",
+        ), "sketched",
     )
-    first = rows_.groupBy("sketch").agg(F.min(F.struct("doc_id", "toxic", "words", "counts", "total")).alias("r"))
-    return shared.stored(first.select("r.*"), "labelled")
+    sketched = made_rows.select("doc_id", F.posexplode("sketch"))
+    leaders = sketched.groupBy("pos", "col").agg(F.min("doc_id").alias("leader"))
+    copies = sketched.join(leaders, ["pos", "col"]).filter("leader < doc_id").select("doc_id").distinct()
+    return shared.stored(made_rows.drop("sketch").join(copies, "doc_id", "left_anti"), "labelled")
 
 
 def vocabulary(sample: DataFrame, size: int = VOCABULARY) -> dict[bytes, float]:
-    """z of the words that tell most: log odds of toxic against clean documents over their deviation."""
-    facts = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rows, toxic = facts
+    """Log-likelihood ratios of the words that tell most, negative for words of clean documents.
+
+    The ratio compares one share of toxic documents for the word with the share among all.
+    """
+    rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == rows:
         return {}
-    clean = rows - toxic
-    t, c = F.col("toxic"), F.col("n") - F.col("toxic")
-    odds = F.log((t + PRIOR) / (toxic - t + PRIOR)) - F.log((c + PRIOR) / (clean - c + PRIOR))
-    spread = F.sqrt(1 / (t + PRIOR) + 1 / (c + PRIOR) + 1 / (toxic - t + PRIOR) + 1 / (clean - c + PRIOR))
-    top = (
-        sample.select("toxic", F.explode("words").alias("word")).groupBy("word")
-        .agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= LEAST_DOCUMENTS).withColumn("z", odds / spread).filter(F.abs("z") >= LEAST_Z)
-        .orderBy(F.desc(F.abs("z")), "word").limit(size)
+    share = toxic / rows
+    t, n = F.col("toxic"), F.col("n")
+
+    def term(count: Column, part: float) -> Column:
+        return F.when(count > 0, count * F.log(count / (n * part))).otherwise(0.0)
+
+    counted = (
+        sample.select("toxic", F.explode("features").alias("word")).groupBy("word")
+        .agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).filter(n >= LEAST_DOCUMENTS)
+        .withColumn("ratio", 2 * (term(t, share) + term(n - t, 1 - share)))
+        .select("word", "ratio", F.signum(t - n * share).alias("side"))
     )
-    return {bytes(r.word): r.z for r in top.collect()}  # at most ``size`` words
+    top = counted.filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "word").limit(size).collect()
+    least = LEAST_PART * max((r.ratio for r in top), default=0.0)
+    return {bytes(r.word): r.side * r.ratio for r in top if r.ratio >= least}  # at most ``size`` words
 
 
-def graded(sample: DataFrame, words: dict[bytes, float], shares: tuple[float, ...] = GRADE_SHARES) -> DataFrame:
+def graded(sample: DataFrame, words: dict[bytes, float], steps: tuple[int, ...] = GRADE_WORDS) -> DataFrame:
     """(grade, at, x): sparse features, and grade 0 for clean documents, else 1 and up by typical words.
 
-    Labels only say toxic or not; a toxic document's grade is 1, and one more for every one of ``shares``
-    that its typical words' share of the text passes.
+    Labels only say toxic or not; a toxic document's grade is 1, and one more for every one of ``steps``
+    that the number of its different typical words passes.
     """
     place = {word: i for i, word in enumerate(words)}
-    typical = {word for word, z in words.items() if z >= TYPICAL_Z}
     schema = {"grade": pa.int32(), "at": pa.list_(pa.int32()), "x": pa.list_(pa.float64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grades, ats, xs = [], [], []
             for toxic, found, counts, total in zip(*(batch.column(n).to_pylist() for n in ("toxic", "words", "counts", "total"))):
-                share = sum(n for w, n in zip(found, counts) if w in typical) / max(1, total)
-                grades.append(0 if toxic <= 0 else 1 + sum(share > s for s in shares))
-                kept = [(place[w], value(n, total)) for w, n in zip(found, counts) if w in place]
-                ats.append([k[0] for k in kept])
-                xs.append([k[1] for k in kept])
+                times: Counter = Counter()
+                typical = 0
+                for word, n in zip(found, counts):
+                    known = [f for f in features_of(word) if f in place]
+                    times.update(dict.fromkeys(known, n))
+                    typical += any(words[f] > 0 for f in known)
+                grades.append(0 if toxic <= 0 else 1 + sum(typical > s for s in steps))
+                ats.append([place[f] for f in times])
+                xs.append([value(n, total) for n in times.values()])
             yield shared.arrow_of(schema, {"grade": grades, "at": ats, "x": xs})
 
     return shared.stored(sample.mapInArrow(run, "grade int, at array<int>, x array<double>"), "graded")
@@ -200,17 +224,33 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndar
     return x
 
 
+class Known(dict):
+    """Features with a weight of every word met, at most ``limit`` words at a time."""
+
+    def __init__(self, weights: dict[bytes, float], limit: int = 400_000):
+        super().__init__()
+        self.weights, self.limit = weights, limit
+
+    def __missing__(self, word: bytes) -> tuple[bytes, ...]:
+        if len(self) >= self.limit:
+            self.clear()
+        made = self[word] = tuple(f for f in features_of(word) if f in self.weights)
+        return made
+
+
 class Model:
-    """Weights of words and ordered thresholds."""
+    """Weights of features and ordered thresholds."""
 
     def __init__(self, weights: dict[bytes, float], thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
 
-    def exceed(self, text: str | None) -> np.ndarray:
+    def exceed(self, text: str | None, known: Known) -> np.ndarray:
         """P(grade >= k) for k from 1."""
         words = letter_words(text)
-        counts = Counter(w for w in words if w in self.weights)
-        score = sum(self.weights[w] * value(n, len(words)) for w, n in sorted(counts.items()))
+        times: Counter = Counter()
+        for found in filter(None, map(known.__getitem__, words)):
+            times.update(found)
+        score = sum(self.weights[f] * value(n, len(words)) for f, n in sorted(times.items()))
         return _sigmoid(score - self.thresholds)
 
 
@@ -276,8 +316,9 @@ def score(documents: DataFrame, model: Model, text: str = "text", least: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
+        known = Known(own.weights)
         for batch in batches:
-            exceed = np.array([own.exceed(t) for t in shared.texts_of(batch, text)]).reshape(batch.num_rows, -1)
+            exceed = np.array([own.exceed(t, known) for t in shared.texts_of(batch, text)]).reshape(batch.num_rows, -1)
             each = -np.diff(np.concatenate([np.ones((len(exceed), 1)), exceed, np.zeros((len(exceed), 1))], axis=1), axis=1)
             made = shared.arrow_of(OUT, {
                 "severity": exceed.sum(axis=1), "grade": each.argmax(axis=1).astype(np.int32),

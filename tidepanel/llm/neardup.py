@@ -15,9 +15,12 @@ Work per bucket stays small without leaving pairs out:
 
 1. Documents with equal sets are one class; from here on classes are compared.
 2. Every class meets the smallest class of its buckets. Pairs within the threshold are confirmed on
-   the full sets, and links found are joined into components. Groups of near copies collapse here.
-3. In buckets that still hold several components, all pairs across components are compared, in blocks
-   of bounded size when a bucket is large, and the survivors are confirmed on the full sets.
+   the full sets, and links found are joined into components.
+3. In buckets with several components, every class meets the closest class of another component in its
+   block of the bucket. Groups of near copies collapse here at the latest.
+4. In buckets that still hold several components, every class outside the largest one meets all classes
+   of other components, in blocks of bounded size; a longer signature screens the pairs, and those left
+   are confirmed on the full sets.
 
 Pairs inside one component need no comparison, as only reachability is asked for.
 """
@@ -41,6 +44,9 @@ SIMILARITY = 75  # per cent
 POSITIONS, CHUNKS, ERRORS = 72, 18, 1
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 BLOCK = 1024
+#: A longer signature screens the pairs of the last step: at the similarity 128 of its positions differ on
+#: average, with a deviation of 9.8.
+LONG_POSITIONS, LONG_THRESHOLD = 512, 180
 SLICE = 1 << 18
 
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -171,6 +177,28 @@ def left_out(positions: int = POSITIONS, chunks: int = CHUNKS, errors: int = ERR
     ]
 
 
+def _key(signed: np.ndarray, number: int, kept: list[int]) -> np.ndarray:
+    """Bucket keys of signatures under one choice of positions."""
+    key = np.full(len(signed), number + 1, np.uint64)
+    for p in kept:
+        key = mix(key * _MIX1 + signed[:, p])
+    return key
+
+
+def first_keys(one: np.ndarray, two: np.ndarray, holds: list[list[int]]) -> np.ndarray:
+    """The first bucket key that each pair of signatures shares; 0 where there is none."""
+    same = one == two
+    out = np.zeros(len(one), np.uint64)
+    left = np.arange(len(one))
+    for k, kept in enumerate(holds):
+        hit = left[same[left][:, kept].all(axis=1)]
+        out[hit] = _key(one[hit].astype(np.uint64), k, kept)
+        left = left[~same[left][:, kept].all(axis=1)]
+        if not len(left):
+            break
+    return out.view(np.int64)
+
+
 def bucket_keys(
     classes: DataFrame, positions: int = POSITIONS, chunks: int = CHUNKS, errors: int = ERRORS
 ) -> DataFrame:
@@ -182,10 +210,7 @@ def bucket_keys(
             signed = symbols(batch.column("sig"), positions).astype(np.uint64)
             keys = np.empty((len(signed), len(holds)), np.uint64)
             for k, kept in enumerate(holds):
-                key = np.full(len(signed), k + 1, np.uint64)
-                for p in kept:
-                    key = mix(key * _MIX1 + signed[:, p])
-                keys[:, k] = key
+                keys[:, k] = _key(signed, k, kept)
             ids = np.repeat(batch.column("class").to_numpy(), len(holds))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "class"])
 
@@ -223,22 +248,22 @@ def _near_signatures(pairs: DataFrame, classes: DataFrame, threshold: int, simil
     )
 
 
-def _confirmed(near: DataFrame, classes: DataFrame, documents: DataFrame, similarity: int, size: int) -> DataFrame:
-    """Pairs of classes whose full sets reach the similarity.
+def _sets_of(wanted: DataFrame, classes: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """(class, shingles): full sets of the wanted classes, built anew from the documents that stand for them.
 
-    Sets are built anew for the documents that stand for the classes concerned; the list of these is
-    broadcast only while its counted rows allow it.
+    The list of these documents is broadcast only while its counted rows allow it.
     """
+    named = shared.stored(wanted.join(classes.select("class", "doc_id", "h1", "h2"), "class"), "named")
+    ids = checked_broadcast(named.select("doc_id").distinct(), 32)
+    sets = shingle_sets(documents.select("doc_id", "text").join(ids, "doc_id", "left_semi"), size)
+    return named.join(sets, ["doc_id", "h1", "h2"]).select("class", "shingles").dropDuplicates(["class"])
+
+
+def _confirmed(near: DataFrame, classes: DataFrame, documents: DataFrame, similarity: int, size: int) -> DataFrame:
+    """Pairs of classes whose full sets reach the similarity."""
     near = shared.stored(near, "near")
-    named = shared.stored(
-        near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
-        .join(classes.select("class", "doc_id", "h1", "h2"), "class"), "named",
-    )
-    wanted = checked_broadcast(named.select("doc_id").distinct(), 32)
-    sets = shingle_sets(documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), size)
-    sets = shared.stored(
-        named.join(sets, ["doc_id", "h1", "h2"]).select("class", "shingles").dropDuplicates(["class"]), "sets"
-    )
+    named = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
+    sets = shared.stored(_sets_of(named, classes, documents, size), "sets")
     common = F.size(F.array_intersect("sa", "sb"))
     return shared.stored(
         near.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -248,47 +273,33 @@ def _confirmed(near: DataFrame, classes: DataFrame, documents: DataFrame, simila
     )
 
 
-RESIDUAL = ["key", "low", "high", "block", "leader", "class", "component", "n_shingles", "sig"]
+Rows = dict[str, np.ndarray]
 
 
-def _across(rows: DataFrame, threshold: int, similarity: int, positions: int) -> DataFrame:
-    """Pairs of different components within a (key, low, high) group, their signatures within the threshold.
+def _by_group(rows: DataFrame, group: list[str], columns: list[str], binary: dict[str, type], compare) -> DataFrame:
+    """Pairs (a, b) that ``compare`` finds in the groups of ``rows``; a group must be of bounded size.
 
-    Rows come sorted by group; a group has at most two blocks of rows, and the last one of a batch is
-    carried into the next. All groups of a batch are compared at once, row i with row i + d.
+    Rows come sorted by group, and the last group of a batch is carried into the next. ``compare`` gets
+    arrays of whole groups, with the number of the group as ``group``; ``binary`` names columns that hold
+    symbols, with their type.
     """
 
-    def compare(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        group, found = rows["group"], []
-        signed = rows["sig"]
-        at, shift = np.arange(len(group)), 0
-        while len(at):
-            shift += 1
-            at = at[at + shift < len(group)]
-            at = at[group[at] == group[at + shift]]
-            to = at + shift
-            keep = (rows["component"][at] != rows["component"][to]) & (
-                (rows["low"][at] == rows["high"][at]) | (rows["block"][at] != rows["block"][to])
-            ) & (rows["class"][at] != rows["leader"][at]) & (rows["class"][to] != rows["leader"][to]) & sizes_allow(
-                rows["n_shingles"][at], rows["n_shingles"][to], similarity
-            )
-            i, j = at[keep], to[keep]
-            for cut in range(0, len(i), 1 << 16):
-                one, two = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
-                near = within(signed[one], signed[two], threshold)
-                a, b = rows["class"][one[near]], rows["class"][two[near]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    def arrays(table: pa.Table) -> Rows:
+        made = {n: table.column(n).to_numpy() for n in [*group, *columns] if n not in binary}
+        for name, kind in binary.items():
+            made[name] = np.frombuffer(b"".join(table.column(name).to_pylist()), kind).reshape(table.num_rows, -1)
+        ends = np.zeros(max(0, table.num_rows - 1), bool)
+        for name in group:
+            ends |= made[name][1:] != made[name][:-1]
+        return made | {"group": np.concatenate(([0], np.cumsum(ends)))}
+
+    def pairs(made: Rows) -> pa.RecordBatch:
+        a, b = compare(made)
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: pa.Table | None = None
-
-        def arrays(table: pa.Table) -> dict[str, np.ndarray]:
-            made = {n: table.column(n).to_numpy() for n in RESIDUAL if n != "sig"}
-            made["sig"] = symbols(table.column("sig"), positions)
-            return made
-
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if carried is not None:
@@ -296,19 +307,112 @@ def _across(rows: DataFrame, threshold: int, similarity: int, positions: int) ->
             if not table.num_rows:
                 continue
             made = arrays(table)
-            ends = (made["key"][1:] != made["key"][:-1]) | (made["low"][1:] != made["low"][:-1]) | (
-                made["high"][1:] != made["high"][:-1]
-            )
-            made["group"] = np.concatenate(([0], np.cumsum(ends)))
             last = int(np.searchsorted(made["group"], made["group"][-1]))
             carried = table.slice(last).combine_chunks()
             if last:
-                yield compare({n: v[:last] for n, v in made.items()})
+                yield pairs({n: v[:last] for n, v in made.items()})
         if carried is not None and carried.num_rows:
-            made = arrays(carried)
-            yield compare(made | {"group": np.zeros(carried.num_rows, np.int64)})
+            yield pairs(arrays(carried))
+
+    dealt = rows.select(*group, *columns).repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
-    return rows.select(*RESIDUAL).mapInArrow(run, "a bigint, b bigint").distinct()
+
+def _shifted(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, i + d) within groups, for d from 1 on: every pair of a group once."""
+    at, shift = np.arange(len(group)), 0
+    while len(at):
+        shift += 1
+        at = at[at + shift < len(group)]
+        at = at[group[at] == group[at + shift]]
+        yield at, at + shift
+
+
+def _parts(i: np.ndarray, j: np.ndarray, size: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for cut in range(0, len(i), size):
+        yield i[cut : cut + size], j[cut : cut + size]
+
+
+def _nearest(rows: DataFrame, threshold: int, similarity: int) -> DataFrame:
+    """For every class of a (key, block) group the closest class of another component within the threshold."""
+
+    def compare(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+        best = np.full(len(rows["class"]), threshold + 1)
+        to = np.full(len(best), -1)
+        for i, j in _shifted(rows["group"]):
+            keep = (rows["component"][i] != rows["component"][j]) & sizes_allow(
+                rows["n_shingles"][i], rows["n_shingles"][j], similarity
+            )
+            for one, two in _parts(i[keep], j[keep]):
+                apart = (rows["sig"][one] != rows["sig"][two]).sum(axis=1)
+                for x, y in ((one, two), (two, one)):
+                    closer = apart < best[x]
+                    best[x[closer]], to[x[closer]] = apart[closer], y[closer]
+        found = np.flatnonzero(to >= 0)
+        return rows["class"][found], rows["class"][to[found]]
+
+    return _by_group(
+        rows, ["key", "block"], ["class", "component", "n_shingles", "sig"], {"sig": np.uint16}, compare
+    )
+
+
+def _across(rows: DataFrame, threshold: int, similarity: int, holds: list[list[int]]) -> DataFrame:
+    """Pairs of an outlying class with one of another component in a (key, block, chunk) group.
+
+    Both signatures have to be within their thresholds. A pair that shares several keys is taken under
+    the first of them, which its bucket has tested as well.
+    Both signatures have to be within their thresholds. A pair that meets under several keys is taken
+    under the first of them only.
+    """
+    def compare(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+        found_a, found_b = [rows["class"][:0]], [rows["class"][:0]]
+        for i, j in _shifted(rows["group"]):
+            swap = rows["outlying"][i] < rows["outlying"][j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)  # the outlying role first
+            keep = (rows["role"][i] != rows["role"][j]) & (rows["component"][i] != rows["component"][j])
+            keep &= sizes_allow(rows["n_shingles"][i], rows["n_shingles"][j], similarity)
+            both = rows["outlying"][i] & rows["outlying"][j]
+            first = np.where(rows["role"][i] == 0, rows["class"][i], rows["class"][j])
+            second = np.where(rows["role"][i] == 0, rows["class"][j], rows["class"][i])
+            keep &= ~both.astype(bool) | (first < second)
+            for one, two in _parts(i[keep], j[keep]):
+                near = (rows["sig"][one] != rows["sig"][two]).sum(axis=1) <= threshold
+                one, two = one[near], two[near]
+                near = (rows["long"][one] != rows["long"][two]).sum(axis=1) <= LONG_THRESHOLD
+                one, two = one[near], two[near]
+                near = first_keys(rows["sig"][one], rows["sig"][two], holds) == rows["key"][one]
+                one, two = one[near], two[near]
+                found_a.append(rows["class"][one])
+                found_b.append(rows["class"][two])
+        return np.concatenate(found_a), np.concatenate(found_b)
+
+    return _by_group(
+        rows, ["key", "block", "chunk"], ["role", "outlying", "class", "component", "n_shingles", "sig", "long"],
+        {"sig": np.uint16, "long": np.uint8}, compare,
+    )
+
+
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Bucket members with the component that the links give them."""
+    joined = shared.stored(components(links, "a", "b").withColumnRenamed("node", "class"), "joined")
+    return members.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def _long_signatures(classes: DataFrame, wanted: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """(class, long): signatures of ``LONG_POSITIONS`` 8-bit symbols for the wanted classes."""
+    sets = _sets_of(wanted, classes, documents, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = [np.array(s.as_py(), np.int64).view(np.uint64) for s in part.column("shingles")]
+                signed = (signatures_of(sets, LONG_POSITIONS) & 0xFF).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("class"), pa.array([row.tobytes() for row in signed], pa.binary())], names=["class", "long"]
+                )
+
+    return sets.mapInArrow(run, "class bigint, long binary")
 
 
 def near_links(
@@ -317,33 +421,54 @@ def near_links(
 ) -> DataFrame:
     """Confirmed links (a, b) between classes that suffice to join every component."""
     threshold = chunks * (errors + 1) - 1
+    signed = classes.select("class", "n_shingles", "sig")
     keys = bucket_keys(classes, positions, chunks, errors)
     buckets = keys.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    members = shared.stored(keys.join(buckets.drop("_n"), "key"), "members")
+    members = shared.stored(keys.join(buckets, "key"), "members")
+
+    # Everyone with the smallest class of the bucket.
     star = members.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
     links = _confirmed(
         _near_signatures(star, classes, threshold, similarity, positions), classes, documents, similarity, size
     )
-    joined = shared.stored(components(links, "a", "b"), "joined")
-    placed = members.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn(
-        "component", F.coalesce("component", "class")
+
+    # Everyone with the closest class of another component in its block of the bucket.
+    many = members.filter("_n > 2").select("key", "class", "_n")
+    placed = _placed(many, links)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h").select("key")
+    blocks = F.pmod(F.xxhash64("class"), F.ceil(F.col("_n") / block)).cast("int")
+    close = _nearest(
+        placed.join(mixed, "key").withColumn("block", blocks).join(signed, "class"), threshold, similarity
+    )
+    links = links.union(_confirmed(close, classes, documents, similarity, size))
+
+    # Whoever is still outside its bucket's largest component, with everyone of another component.
+    placed = shared.stored(_placed(many, links), "placed")
+    shares = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = (
+        shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("_all"))
+        .withColumn("_out", F.col("_all") - F.col("most.n")).filter("_out > 0")
+        .select("key", F.col("most.component").alias("_largest"), F.ceil(F.col("_all") / block).cast("int").alias("_blocks"),
+                F.ceil(F.col("_out") / block).cast("int").alias("_chunks"))
+    )
+    rest = shared.stored(
+        placed.select("key", "class", "component").join(largest, "key")
+        .withColumn("outlying", (F.col("component") != F.col("_largest")).cast("int")), "rest",
     )
-    mixed = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n"))
-        .filter("_low < _high and _n > 2")
-        .select("key", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    long = shared.stored(_long_signatures(classes, rest.select("class").distinct(), documents, size), "long")
+    hashed = F.xxhash64("class")
+    asking = rest.filter("outlying = 1").withColumns(
+        {"role": F.lit(0), "chunk": F.pmod(hashed, F.col("_chunks")).cast("int"),
+         "block": F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))}
     )
-    own = F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int")
-    residual = (
-        placed.join(mixed, "key").withColumn("block", own)
-        .join(classes.select("class", "n_shingles", "sig"), "class")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        .select(*RESIDUAL).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    asked = rest.withColumns(
+        {"role": F.lit(1), "block": F.pmod(hashed, F.col("_blocks")).cast("int"),
+         "chunk": F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))}
     )
-    rest = _confirmed(_across(residual, threshold, similarity, positions), classes, documents, similarity, size)
-    return links.union(rest)
+    both = asking.unionByName(asked).join(signed, "class").join(long, "class")
+    return links.union(_confirmed(
+        _across(both, threshold, similarity, left_out(positions, chunks, errors)), classes, documents, similarity, size
+    ))
 
 
 def resolved(

@@ -156,3 +156,11 @@ def test_walk_forward_has_gaps_and_covers_the_end(spark):
         test = [r.date for r in folds if r.fold == k and r.role == "test"]
         assert (min(test) - max(train)).days == 3
     assert max(r.date for r in folds) == START + dt.timedelta(49)
+
+
+def test_rank_over_known_values(spark):
+    from tidepanel.operators.features import rank_within_date
+
+    data = spark.createDataFrame([(1, None), (1, 1.0), (1, 2.0), (2, None)], "date int, x double")
+    got = sorted((r.date, r.x, r.x_rank) for r in rank_within_date(data, "x").filter("x is not null").collect())
+    assert got == [(1, 1.0, 0.0), (1, 2.0, 1.0)]

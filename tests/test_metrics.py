@@ -180,3 +180,12 @@ def test_ensemble(spark):
     data = spark.createDataFrame(rows, "model string, id int, label int, score double")
     got = {r.id: (round(r.score, 9), r.pred) for r in metrics.ensemble_mean(data, ["id"]).collect()}
     assert got == {1: (0.6, 1), 2: (0.3, 0)}
+
+
+def test_three_classes_and_missing_scores(spark):
+    cells = [("m", 0, 0, 2), ("m", 1, 1, 2), ("m", 2, 0, 1), ("m", 2, 1, 1)]
+    r = metrics.class_metrics(spark.createDataFrame(cells, "model string, label int, pred int, n bigint"), ["model"]).first()
+    assert r.n == 6 and r.balanced_accuracy == pytest.approx(2 / 3) and r.macro_f1 == pytest.approx((0.8 + 0.8 + 0) / 3)
+    rows = [("m", 1, 0.1), ("m", 0, None), ("m", 0, 0.2), ("k", 1, 0.3), ("k", 1, None), ("k", 0, 0.2)]
+    data = spark.createDataFrame(rows, "model string, label int, score double")
+    assert {x.model: x.auc for x in metrics.auc(data, ["model"]).collect()} == {"m": 0.0, "k": 1.0}

@@ -51,6 +51,22 @@ def test_terms_with_outer_symbols_need_a_word_next_to_them(spark):
     assert [r.title for r in got] == ["C++x"]
 
 
+def test_number_of_keys_does_not_matter(spark):
+    texts = ["x$TSLA now", "$TSLA now", "x$TSLA", "a k7 b", "C++x", "C++ x", "K48. Then", "k48.Then"]
+    data = text_posts(spark, texts)
+    words = {f"K{i}": [f"k{i}"] for i in range(60)} | {"T": ["$TSLA"], "C": ["C++"], "D": ["k48. then"]}
+    seen = []
+    for n in (46, 47, 60):  # with the three others 49, 50 and 63 keys
+        own = {k: v for k, v in words.items() if not k[1:].isdigit() or int(k[1:]) < n}
+        table = spark.createDataFrame([(k, t) for k, ts in own.items() for t in ts], "ticker string, term string")
+        inline = sorted((r.title, r.ticker) for r in px.match_keywords(data, own).collect())
+        assert inline == sorted((r.title, r.ticker) for r in px.match_keyword_table(data, table, ["id"]).collect())
+        seen.append([x for x in inline if x[1] in ("T", "C", "D", "K7")])
+    assert seen[0] == seen[1] == seen[2] == [
+        ("C++x", "C"), ("K48. Then", "D"), ("a k7 b", "K7"), ("x$TSLA", "T"), ("x$TSLA now", "T")
+    ]
+
+
 def test_projection_and_window(spark):
     day = 86400
     start = 1704067200  # 2024-01-01

@@ -32,6 +32,16 @@ def test_daily_csv(spark, tmp_path):
         landed.read_daily_csv(spark, write(tmp_path, "none.csv", "day,x\n2024-01-01,1\n"))
 
 
+def test_daily_csv_of_mixed_headers(spark, tmp_path):
+    write(tmp_path, "p_aapl.csv", "Date,stock_price,stock_volume\n2024-01-05,1,2\n")
+    write(tmp_path, "p_tsla.csv", "stock_volume,date,stock_price\n20,2024-01-05,10\n")
+    write(tmp_path, "p_amd.csv", "date,note\n2024-01-06,x\n")
+    write(tmp_path, "p_nil.csv", "")
+    frame = landed.read_daily_csv(spark, str(tmp_path), ["stock_price", "stock_volume"], r"_(\w+)\.csv$")
+    got = sorted(tuple(r) for r in frame.select("ticker", "date", "stock_price", "stock_volume").collect())
+    assert got == [("AAPL", D(2024, 1, 5), 1.0, 2.0), ("AMD", D(2024, 1, 6), None, None), ("TSLA", D(2024, 1, 5), 10.0, 20.0)]
+
+
 def test_numbers(spark):
     frame = spark.createDataFrame([(" 5 ",), ("1e3",), ("1d",), ("nan",), ("",), ("abc",), ("-2.5",)], "x string")
     assert [r.x for r in landed.coerce_numbers(frame, ["x"]).collect()] == [5.0, 1000.0, None, None, None, None, -2.5]
@@ -60,6 +70,12 @@ def test_metric_payloads(spark, tmp_path):
     assert got == [(1, 0.5), (2, None), (3, 3.0), (4, None)]
 
 
+def test_metric_payload_of_many_columns(spark, tmp_path):
+    names = ",".join(f"c{i}" for i in range(12))
+    path = write(tmp_path, "wide.csv", f'{names},Value,Date\n{"x," * 11}"a ""q"", b",7.5,2024-01-09\n')
+    assert [tuple(r)[:2] for r in landed.read_metric_payloads(spark, path, "v").collect()] == [(D(2024, 1, 9), 7.5)]
+
+
 @pytest.mark.parametrize("text", ["", "sep=,\n", "Day,Value\n2024-01-01,2\n"])
 def test_bad_payload_fails(spark, tmp_path, text):
     path = write(tmp_path, "x.csv", text + "\n" if text else "\n")
@@ -76,6 +92,33 @@ def test_window_files(spark, tmp_path):
     assert rows == [(1, 1, 2, 1.0), (2, 1, 2, 2.0), (2, 2, 3, 3.0), (3, 2, 3, 4.0)]
 
 
+def test_window_files_go_by_name(spark, tmp_path):
+    write(tmp_path, "2024-01-01_2024-01-01.csv", "Date,a,b\n2024-01-01,1,2\n")
+    write(tmp_path, "2024-01-02_2024-01-02.csv", "b,a,date\n2,1,2024-01-02\n")
+    rows = landed.read_window_files(spark, str(tmp_path), ["a", "b"]).orderBy("date").collect()
+    assert [(r.a, r.b, r.window_start) for r in rows] == [(1.0, 2.0, D(2024, 1, 1)), (1.0, 2.0, D(2024, 1, 2))]
+
+
+def test_panel_goes_by_name(spark, tmp_path):
+    write(tmp_path, "panel.csv", "stock_volume,date,ticker,stock_price,extra\n999,2024-01-05,A,10,x\n")
+    row = landed.read_panel(spark, str(tmp_path / "panel.csv")).first()
+    assert row.__fields__ == list(contract.PANEL_COLUMNS)
+    assert (row.date, row.ticker, row.stock_price, row.stock_volume, row.company_name) == (D(2024, 1, 5), "A", 10.0, 999.0, None)
+
+
+def test_present_files_keep_their_folder(spark, tmp_path):
+    (tmp_path / "news").mkdir()
+    (tmp_path / "forum").mkdir()
+    write(tmp_path / "news", "A.csv", "date\n")
+    present = landed.present_files(spark, str(tmp_path))
+    assert [r.path for r in present.collect()] == ["news/A.csv"]
+    manifest = spark.createDataFrame(
+        [("T", "news", 0, "news/A.csv"), ("T", "forum", 0, "forum/A.csv")], "ticker string, source_name string, priority int, path string"
+    )
+    chosen = {r.source_name: r.selected_file for r in landed.choose_sources(manifest, present).collect()}
+    assert chosen == {"news": "news/A.csv", "forum": None}
+
+
 def test_prices(spark):
     raw = spark.createDataFrame(
         [(D(2024, 1, d), float(d), 9.0, 1.0) for d in (1, 2, 3)], "date date, Close double, Volume double, Open double"

@@ -188,7 +188,8 @@ def prior_filled(t):
 
 
 def date_rank(t):
-    return out(fx.rank_within_date(panel(t), "stock_volume"), "stock_volume_rank")
+    ranked = fx.rank_within_date(fx.rank_within_date(panel(t), "stock_volume"), "sparse")
+    return out(ranked, "stock_volume_rank", "sparse_rank")
 
 
 def topk_features(t):
@@ -429,7 +430,10 @@ SELECT ticker, date, p AS sparse_present, CAST(sparse IS NULL AS INTEGER) AS spa
             "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)", "filled",
         )
     ),
-    "date_rank": over_panel(r("PERCENT_RANK() OVER (PARTITION BY date ORDER BY stock_volume)", "stock_volume_rank")),
+    "date_rank": over_panel(
+        r("PERCENT_RANK() OVER (PARTITION BY date ORDER BY stock_volume)", "stock_volume_rank") + ", "
+        + r("CASE WHEN sparse IS NOT NULL THEN PERCENT_RANK() OVER (PARTITION BY date, sparse IS NULL ORDER BY sparse) END", "sparse_rank")
+    ),
     "topk_features": with_ctes(
         ["panel"],
         FEATURED_SQL + ", c AS (" + CORR_ROWS.format(key="", group="") + f"""),

@@ -16,14 +16,12 @@ from tidepanel.bindings.base import (
 from tidepanel.bindings.joins import METRIC_DIGITS, aligned_posts
 from tidepanel.functions.clock import local_date, local_second_of_day, seconds_of, utc_date
 from tidepanel.functions.numeric import count_or_zero, engagement_weight
-from tidepanel.functions.text import title_and_body
-from tidepanel.operators.calendar import align_posts
+from tidepanel.functions.text import WORD, keyword_hits, run_grams, runs, title_and_body
 from tidepanel.operators.posts import (
-    add_lexicon_score,
-    add_weights,
     classifier_scores,
     comments,
     daily_metrics,
+    enrich_posts,
     in_window,
     lexicon_scores,
     match_keyword_table,
@@ -55,11 +53,29 @@ def keyword_match(t: Tables) -> DataFrame:
     return match_keywords(unified(t), KEYWORDS).select("ticker", "kind", "id")
 
 
+#: Sixty keys; a third of the terms begin or end with other characters than a word's.
+MANY = {
+    f"K{i}": [term]
+    for i, term in enumerate(
+        [a + b for a in ("er", "on", "th", "st") for b in ("", "en", "er", "es", "in", "ing", "on", "re", "st", "the")]
+        + [f". {w}" for w in ("The", "Er", "Die", "La", "Le", "In", "On", "De", "Que", "Of")]
+        + [f"{w}, th" for w in ("er", "on", "the", "and", "st", "in", "of", "en", "es", "re")]
+    )
+}
+PASSAGE_RUNS = 9  # five words and what stands between them
+
+
+def keyword_match_many(t: Tables) -> DataFrame:
+    return match_keywords(unified(t), MANY).select("ticker", "kind", "id")
+
+
 def keyword_match_table(t: Tables) -> DataFrame:
-    head = F.regexp_extract("text", r"^(\p{L}+ \p{L}+)", 1)
-    terms = t.benchmark.select(
-        F.concat(F.lit("B"), F.col("item_id")).alias("ticker"), head.alias("term")
-    ).filter(F.length("term") > 0)
+    """Every five consecutive words of every whole benchmark text, found in the posts."""
+    passages = run_grams(runs(F.col("text")), PASSAGE_RUNS)
+    terms = (
+        t.benchmark.select(F.concat(F.lit("B"), F.col("item_id")).alias("ticker"), F.explode(passages).alias("term"))
+        .filter(F.col("term").rlike(f"^{WORD}"))
+    )
     return match_keyword_table(unified(t), terms, ["kind", "id"]).select("ticker", "kind", "id")
 
 
@@ -80,38 +96,35 @@ def lexicon_sentiment(t: Tables) -> DataFrame:
     )
 
 
-def scored_posts(t: Tables) -> DataFrame:
+def letter_classifier():
     """A stand-in for a sentiment model: softmax over per-text shares of three letters."""
+    import numpy as np
 
-    def factory():
-        import numpy as np
+    def score(texts: list[str]) -> list[tuple[float, float]]:
+        sizes = np.array([max(len(x), 1) for x in texts], dtype=float)
+        logits = np.array([[x.count("a"), x.count("e"), x.count("o")] for x in texts]) * 10.0
+        e = np.exp(logits / sizes[:, None])
+        p = e / e.sum(axis=1, keepdims=True)
+        return list(zip(p[:, 0].tolist(), p[:, 1].tolist()))
 
-        def score(texts: list[str]) -> list[tuple[float, float]]:
-            sizes = np.array([max(len(x), 1) for x in texts], dtype=float)
-            logits = np.array([[x.count("a"), x.count("e"), x.count("o")] for x in texts]) * 10.0
-            e = np.exp(logits / sizes[:, None])
-            p = e / e.sum(axis=1, keepdims=True)
-            return list(zip(p[:, 0].tolist(), p[:, 1].tolist()))
+    return score
 
-        return score
 
-    scored = classifier_scores(t.documents, factory, ["doc_id"])
+def scored_posts(t: Tables) -> DataFrame:
+    scored = classifier_scores(t.documents, letter_classifier, ["doc_id"])
     return scored.select(
         "doc_id", *[F.round(c, 8).alias(c) for c in ("p_pos", "p_neg", "finbert_sentiment")]
     )
 
 
 def enriched_daily(t: Tables) -> DataFrame:
-    """Match, align, score, weigh, aggregate: the whole chain over both kinds of text post."""
-    matched = match_keywords(unified(t), KEYWORDS)
+    """Match, score twice, align, weigh, aggregate: the whole chain over both kinds of text post."""
+    text = title_and_body(F.col("title"), F.col("selftext"))
+    named = unified(t).withColumn("_keys", keyword_hits(text, KEYWORDS)).filter(F.size("_keys") > 0)
     sessions = weekdays(t._spark, "2023-12-22", "2024-02-09")
-    aligned = align_posts(matched, sessions, key=None).withColumn(
-        "text", title_and_body(F.col("title"), F.col("selftext"))
+    daily = daily_metrics(
+        enrich_posts(named, sessions, lexicon(t), letter_classifier, required=True, key=None, keys="_keys")
     )
-    scored = add_lexicon_score(aligned, lexicon(t), ["ticker", "kind", "id"]).withColumn(
-        "finbert_sentiment", F.lit(None).cast("double")
-    )
-    daily = daily_metrics(add_weights(scored))
     return daily.select(
         "ticker", "kind", "date", "reddit_posts",
         *[
@@ -154,6 +167,7 @@ def engagement(t: Tables) -> DataFrame:
 QUERIES = {
     "post_union": post_union,
     "keyword_match": keyword_match,
+    "keyword_match_many": keyword_match_many,
     "keyword_match_table": keyword_match_table,
     "lookback_filter": lookback_filter,
     "lexicon_sentiment": lexicon_sentiment,
@@ -167,8 +181,8 @@ QUERIES = {
 EDGE = r"[^\p{L}\p{N}_]"
 
 
-def matches_sql(text: str, term: str) -> str:
-    return f"regexp_matches({text}, '(^|{EDGE})({term})($|{EDGE})', 'i')"
+def matches_sql(text: str, term: str, before: str = f"(^|{EDGE})", after: str = f"($|{EDGE})") -> str:
+    return f"regexp_matches({text}, '{before}({term}){after}', 'i')"
 
 
 KEYWORDS_SQL = " UNION ALL ".join(
@@ -176,14 +190,24 @@ KEYWORDS_SQL = " UNION ALL ".join(
     + matches_sql("title || chr(10) || selftext", "|".join(terms))
     for name, terms in KEYWORDS.items()
 )
+MANY_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS ticker, kind, id FROM texts WHERE "
+    + (matches_sql("t", "[.] " + terms[0][2:], before=r"[\p{L}\p{N}_]") if terms[0][0] == "." else matches_sql("t", terms[0]))
+    for name, terms in MANY.items()
+)
 LEXICON_SQL = "lexicon(token, valence) AS (VALUES " + ", ".join(
     f"('{token}', CAST({valence} AS DOUBLE))" for token, valence in LEXICON
 ) + ")"
 TOKENS = r"unnest(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 
 
-def letter(x: str) -> str:
-    return f"exp(10 * CAST(length(text) - length(replace(text, '{x}', '')) AS DOUBLE) / greatest(length(text), 1))"
+def letter(x: str, text: str = "text") -> str:
+    return f"exp(10 * CAST(length({text}) - length(replace({text}, '{x}', '')) AS DOUBLE) / greatest(length({text}), 1))"
+
+
+def letter_difference(text: str) -> str:
+    a, e, o = (letter(x, text) for x in "aeo")
+    return f"({a} - {e}) / ({a} + {e} + {o})"
 
 
 ORACLE = {
@@ -194,15 +218,21 @@ ORACLE = {
 FROM unified""",
     ),
     "keyword_match": with_ctes(["unified"], f"SELECT ticker, kind, id FROM ({KEYWORDS_SQL})"),
+    "keyword_match_many": with_ctes(
+        ["unified"], ", texts AS (SELECT kind, id, title || chr(10) || selftext AS t FROM unified) " + MANY_SQL
+    ),
     "keyword_match_table": with_ctes(
         ["unified"],
-        r""", k AS (
-  SELECT 'B' || item_id AS ticker, regexp_extract(text, '^(\p{L}+ \p{L}+)', 1) AS term FROM benchmark),
+        r""", r AS (
+  SELECT 'B' || item_id AS ticker, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS runs FROM benchmark),
+k AS (
+  SELECT DISTINCT ticker, array_to_string(list_slice(runs, i, i + 8), '') AS term
+  FROM (SELECT ticker, runs, unnest(generate_series(1, len(runs) - 8)) AS i FROM r)
+  WHERE regexp_matches(runs[i], '^[\p{L}\p{N}_]')),
 x AS (SELECT kind, id, lower(title || chr(10) || selftext) AS t FROM unified),
-c AS MATERIALIZED (SELECT ticker, kind, id, t, lower(term) AS term FROM x, k
-  WHERE length(term) > 0 AND contains(t, lower(term)))
-SELECT ticker, kind, id FROM c
-WHERE regexp_matches(t, '(^|[^\p{L}\p{N}_])' || term || '($|[^\p{L}\p{N}_])')""",
+c AS MATERIALIZED (SELECT ticker, kind, id, t, term FROM x, k WHERE contains(t, term))
+SELECT DISTINCT ticker, kind, id FROM c
+WHERE regexp_matches(t, '(^|[^\p{L}\p{N}_])' || regexp_replace(term, '([^\p{L}\p{N}_])', '[\1]', 'g') || '($|[^\p{L}\p{N}_])')""",
     ),
     "lookback_filter": with_ctes(
         ["posts"],
@@ -225,13 +255,13 @@ p AS (SELECT *, timezone('America/New_York', to_timestamp(created_utc)) AS local
 al AS (SELECT p.*, s.session_date FROM p ASOF JOIN calendar s ON p.probe <= s.session_date),
 w AS (SELECT kind, id, """ + TOKENS.format("title || chr(10) || selftext") + """ AS token FROM unified),
 sc AS (SELECT kind, id, SUM(valence) AS s FROM w JOIN lexicon USING (token) GROUP BY 1, 2),
-f AS (SELECT al.*, COALESCE(s / sqrt(s * s + 15), 0) AS v,
+f AS (SELECT al.*, """ + letter_difference("(title || chr(10) || selftext)") + """ AS fb, COALESCE(s / sqrt(s * s + 15), 0) AS v,
         CAST(1 AS DOUBLE) + ln(1 + greatest(coalesce(score, 0), 0)) + ln(1 + greatest(coalesce(num_comments, 0), 0)) AS w
       FROM al LEFT JOIN sc USING (kind, id))
 SELECT ticker, kind, session_date AS date, COUNT(id) AS reddit_posts, ROUND(SUM(w), 8) AS reddit_weight_sum,
   ROUND(AVG(v), 8) AS reddit_vader_mean, ROUND(STDDEV_SAMP(v), 8) AS reddit_vader_std,
   ROUND(SUM(v * w) / SUM(w), 8) AS reddit_vader_weighted_mean,
-  CAST(NULL AS DOUBLE) AS reddit_finbert_mean, CAST(0 AS DOUBLE) AS reddit_finbert_sum
+  ROUND(AVG(fb), 8) AS reddit_finbert_mean, ROUND(SUM(fb), 8) AS reddit_finbert_sum
 FROM f GROUP BY 1, 2, 3""",
     ),
     "combined_kinds": with_ctes(

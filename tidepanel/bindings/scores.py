@@ -82,6 +82,17 @@ def majority(t: Tables) -> DataFrame:
     )
 
 
+def three_class_metrics(t: Tables) -> DataFrame:
+    """Lines whose return flag stands for one of three classes, predicted from the line's number."""
+    label = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(0)
+    rows = t.lineitem.select(
+        F.col("l_linestatus").alias("model"), label.alias("label"), F.pmod("l_linenumber", F.lit(3)).cast("int").alias("pred")
+    )
+    names = ["accuracy", "balanced_accuracy", "positive_rate", "macro_f1"]
+    made = class_metrics(confusion(rows, ["model"]), ["model"])
+    return made.select("model", "n", *[F.round(c, D).alias(c) for c in names])
+
+
 def weights(t: Tables) -> DataFrame:
     lines = t.lineitem.select(F.col("l_returnflag").alias("label"), F.pmod("l_orderkey", F.lit(10)).alias("k"))
     skewed = lines.withColumn("label", F.when(F.col("k") < 4, "N").otherwise(F.col("label")))
@@ -169,6 +180,7 @@ QUERIES = {
     "positive_rate": _metric("positive_rate"),
     "macro_f1": _metric("macro_f1"),
     "auc": auc_query,
+    "three_class_metrics": three_class_metrics,
     "text_metrics": text_metrics,
     "majority_baseline": majority,
     "class_weights": weights,
@@ -249,6 +261,17 @@ b AS (
   FROM w GROUP BY 1, 2)"""
 
 ORACLE = {
+    "three_class_metrics": """
+WITH r AS (
+  SELECT l_linestatus AS model, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 0 END AS label, l_linenumber % 3 AS pred
+  FROM lineitem),
+k AS (SELECT model, c, COUNT(*) FILTER (label = c) AS lab, COUNT(*) FILTER (pred = c) AS pre, COUNT(*) FILTER (label = c AND pred = c) AS hit
+  FROM r, (VALUES (0), (1), (2)) v(c) GROUP BY 1, 2)
+SELECT model, CAST(SUM(lab) AS BIGINT) AS n, ROUND(CAST(SUM(hit) AS DOUBLE) / SUM(lab), 10) AS accuracy,
+  ROUND(AVG(CASE WHEN lab > 0 THEN CAST(hit AS DOUBLE) / lab END), 10) AS balanced_accuracy,
+  ROUND(CAST(SUM(pre) FILTER (c = 1) AS DOUBLE) / SUM(lab), 10) AS positive_rate,
+  ROUND(AVG(CASE WHEN lab + pre > 0 THEN CAST(2 * hit AS DOUBLE) / (lab + pre) END), 10) AS macro_f1
+FROM k GROUP BY 1""",
     "accuracy": PREDICTIONS_SQL + f" SELECT model, COUNT(*) AS n, ROUND({ACC}, 10) AS accuracy FROM p GROUP BY 1",
     "balanced_accuracy": PREDICTIONS_SQL
     + f" SELECT model, ROUND({recall_sql()}, 10) AS balanced_accuracy FROM p GROUP BY 1",

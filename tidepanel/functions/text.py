@@ -1,8 +1,8 @@
-"""Text joins, slugs, tokens and keyword patterns."""
+"""Text joins, slugs, tokens and keywords."""
 
 from __future__ import annotations
 
-import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,28 +34,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def _edge(letter: str, before: bool) -> str:
-    """A word boundary next to a term's outer character: the neighbour is of the other kind."""
-    look = ("?<" if before else "?") + ("!" if re.match(r"\w", letter) else "=")
-    return f"({look}{WORD})"
-
-
-def keyword_pattern(terms: list[str]) -> str:
-    """Case-insensitive pattern for any of the terms as whole words.
-
-    Terms with the same kind of edges share them, so most positions of a text fail at once.
-    """
-    edges: dict[tuple[str, str], list[str]] = {}
-    for term in terms:
-        if term:
-            edges.setdefault((_edge(term[0], True), _edge(term[-1], False)), []).append(re.escape(term))
-    if not edges:
-        raise ValueError("no keyword given")
-    return "(?iu)(?:" + "|".join(
-        f"{head}(?:{'|'.join(quoted)}){tail}" for (head, tail), quoted in edges.items()
-    ) + ")"
-
-
 def runs(text: Column) -> Column:
     """Lower-cased text as alternating runs of word and of other characters; joined they are it."""
     return F.regexp_extract_all(
@@ -64,10 +42,49 @@ def runs(text: Column) -> Column:
 
 
 def run_grams(pieces: Column, n: int) -> Column:
-    """Every n consecutive runs, joined, that begin with a word run."""
-    first = F.when(F.get(pieces, F.lit(0)).rlike(f"^{WORD}"), F.lit(1)).otherwise(F.lit(2))
-    last = F.size(pieces) - n + 1
-    starts = F.when(first <= last, F.sequence(first, last, F.lit(2))).otherwise(
-        F.array().cast("array<int>")
-    )
+    """Every n consecutive runs, joined, that are bounded as a whole word is.
+
+    At an outer word character the neighbour is no word character, or the text ends; at any other
+    outer character a word character follows. As runs are maximal, that only rules out a non-word run
+    at either end of the text.
+    """
+    size = F.size(pieces)
+
+    def spare(at: Column) -> Column:
+        return F.when(F.get(pieces, at).rlike(f"^{WORD}"), F.lit(0)).otherwise(F.lit(1))
+
+    first, last = spare(F.lit(0)) + 1, size - n + 1 - spare(size - 1)
+    starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, F.lit(n)), ""))
+
+
+def run_count(term: str) -> int:
+    """Number of runs of a term."""
+    kinds = [c == "_" or unicodedata.category(c)[0] in "LN" for c in term]
+    return sum(i == 0 or kinds[i] != kinds[i - 1] for i in range(len(kinds)))
+
+
+def keyword_hits(text: Column, keywords: dict[str, list[str]]) -> Column:
+    """Names of the keys that a text names: whole words, case-insensitive, any number of keys and terms.
+
+    Runs of the text as long as the terms are intersected with them inside the row.
+    """
+    names: dict[str, list[str]] = {}
+    for name, terms in keywords.items():
+        for term in filter(None, terms):
+            names.setdefault(term.lower(), []).append(name)
+    if not names:
+        raise ValueError("no keyword given")
+    lengths = sorted({run_count(t) for t in names})
+    terms = F.array(*[F.lower(F.lit(t)) for t in names])
+    owners = F.create_map(
+        *[x for t, own in names.items() for x in (F.lower(F.lit(t)), F.array(*map(F.lit, own)))]
+    )
+
+    def hits(pieces: Column) -> Column:
+        grams = F.flatten(F.array(*[run_grams(pieces, n) for n in lengths]))
+        found = F.transform(F.array_intersect(grams, terms), lambda t: F.element_at(owners, t))
+        return F.array_distinct(F.flatten(found))
+
+    # As an argument the runs are cut once per text, however often they are used.
+    return F.get(F.transform(F.array(runs(text)), hits), F.lit(0))

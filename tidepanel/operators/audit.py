@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from tidepanel.contract import ALIGNMENT_POLICY
 from tidepanel.functions.clock import iso
 
-# A metadata document nests one record per key and source; past this many, write records instead.
-DOCUMENT_RECORDS = 50_000
-
 
 def source_audit(chosen: DataFrame, rows: DataFrame) -> DataFrame:
     """Per (ticker, source): chosen file, fallback flag, rows, first and last date.
@@ -89,10 +86,9 @@ def metadata_document(
 ) -> DataFrame:
     """One row: policy, counts, sorted keys, paths, notes and the nested audit records.
 
-    The document holds audit records, not data rows; their number is checked first.
+    The document holds audit records, a row per key and source, not data rows. ``metadata_records``
+    gives the same records one per row.
     """
-    if sources.count() + coverage.count() > DOCUMENT_RECORDS:
-        raise ValueError("too many audit records for one document; use metadata_records")
 
     def nested(audit: DataFrame) -> Column:
         return audit.agg(F.array_sort(F.collect_list(F.struct(*audit.columns)))).scalar()

@@ -185,8 +185,8 @@ def band_sweep(frame: DataFrame, bands: list[float], r: str = "future_return_1d"
 
 
 def rank_within_date(frame: DataFrame, column: str, date: str = "date") -> DataFrame:
-    """Share of the date's keys that rank below, 0 to 1; a date holds one row per key."""
-    w = Window.partitionBy(date).orderBy(column)
+    """Share of the date's other known values that rank below, 0 to 1; a date holds one row per key."""
+    w = Window.partitionBy(date, F.col(column).isNull()).orderBy(column)
     return frame.withColumn(
         f"{column}_rank", F.when(F.col(column).isNotNull(), F.percent_rank().over(w))
     )

@@ -21,46 +21,33 @@ def confusion(frame: DataFrame, by: list[str], weight: Column | None = None) ->
 
 
 def class_metrics(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Rows, accuracy, balanced accuracy, positive rate, macro F1 from confusion counts.
+    """Rows, accuracy, balanced accuracy, positive rate, macro F1 from confusion counts, for any classes.
 
     Recall is averaged over the classes present among the labels, F1 over those present among
-    labels or predictions; a class without hits scores 0.
+    labels or predictions; a class without hits scores 0. The positive rate is that of class 1.
     """
-    n, hit = F.col("n"), F.col("label") == F.col("pred")
-
-    def count(flag: Column) -> Column:
-        return F.sum(F.when(flag, n).otherwise(F.lit(0)))
-
-    def recall(c: int) -> Column:
-        return ratio(F.col(f"hit{c}"), F.col(f"lab{c}"))
-
-    def f1(c: int) -> Column:
-        return ratio(2 * F.col(f"hit{c}"), F.col(f"lab{c}") + F.col(f"pre{c}"))
-
-    def mean(a: Column, b: Column) -> Column:
-        known = a.isNotNull().cast("int") + b.isNotNull().cast("int")
-        return ratio(F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)), known)
-
-    sums = [F.sum("n").alias("n"), count(hit).alias("hits")]
-    for c in (0, 1):
-        sums += [
-            count(F.col("label") == c).alias(f"lab{c}"),
-            count(F.col("pred") == c).alias(f"pre{c}"),
-            count(hit & (F.col("label") == c)).alias(f"hit{c}"),
-        ]
-    return cells.groupBy(*by).agg(*sums).select(
-        *by,
-        "n",
-        ratio(F.col("hits"), F.col("n")).alias("accuracy"),
-        mean(recall(0), recall(1)).alias("balanced_accuracy"),
-        ratio(F.col("pre1"), F.col("n")).alias("positive_rate"),
-        mean(f1(0), f1(1)).alias("macro_f1"),
+    n, zero = F.col("n"), F.lit(0).cast(cells.schema["n"].dataType)
+    hit = F.when(F.col("label") == F.col("pred"), n).otherwise(zero)
+    sides = F.array(
+        F.struct(F.col("label").alias("_class"), n.alias("_lab"), zero.alias("_pre"), hit.alias("_hit")),
+        F.struct(F.col("pred").alias("_class"), zero.alias("_lab"), n.alias("_pre"), zero.alias("_hit")),
+    )
+    classes = cells.select(*by, F.inline(sides)).groupBy(*by, "_class").agg(
+        *[F.sum(c).alias(c) for c in ("_lab", "_pre", "_hit")]
+    )
+    recall = F.when(F.col("_lab") > 0, ratio(F.col("_hit"), F.col("_lab")))
+    return classes.groupBy(*by).agg(
+        F.sum("_lab").alias("n"),
+        ratio(F.sum("_hit"), F.sum("_lab")).alias("accuracy"),
+        F.avg(recall).alias("balanced_accuracy"),
+        ratio(F.sum(F.when(F.col("_class") == 1, F.col("_pre")).otherwise(zero)), F.sum("_lab")).alias("positive_rate"),
+        F.avg(ratio(2 * F.col("_hit"), F.col("_lab") + F.col("_pre"))).alias("macro_f1"),
     )
 
 
 def score_counts(frame: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Positives and negatives per distinct score."""
-    return frame.groupBy(*by, F.col(score).cast("double").alias(score)).agg(
+    """Positives and negatives per distinct score; rows without a score are left out on both sides."""
+    return frame.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(*by, F.col(score).cast("double").alias(score)).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
 

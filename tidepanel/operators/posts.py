@@ -13,8 +13,7 @@ from tidepanel.contract import POST_COLUMNS, POST_LOOKBACK_DAYS, POST_METRICS, S
 from tidepanel.functions.clock import epoch_seconds, iso, utc_date
 from tidepanel.functions.numeric import as_number, engagement_weight, known, ratio
 from tidepanel.functions.text import (
-    WORD,
-    keyword_pattern,
+    keyword_hits,
     or_empty,
     run_grams,
     runs,
@@ -24,11 +23,6 @@ from tidepanel.functions.text import (
 from tidepanel.operators.calendar import align_posts, fill_calendar
 from tidepanel.session import checked_broadcast
 
-# Above this many keys the in-row match gives way to the token join.
-INLINE_KEYS = 48
-# Above this many keys a pattern of all terms is tried before the single ones.
-GATED_KEYS = 4
-
 
 def submissions(raw: DataFrame) -> DataFrame:
     """Raw submission fields (text) as unified posts."""
@@ -91,42 +85,30 @@ def match_keywords(
 ) -> DataFrame:
     """Posts that name a key, once per key: whole-word, case-insensitive, ticker or company.
 
-    All keys are tested in one pass over the posts inside one projection: no join, no shuffle. With
-    more than a few keys one pattern of all terms goes first, and only texts it finds are tested
-    per key.
+    All keys are found inside one projection, however many there are: no join, no shuffle.
     """
-    if len(keywords) > INLINE_KEYS:
-        raise ValueError("use match_keyword_table for this many keys")
     text = title_and_body(F.col("title"), F.col("selftext")) if text is None else text
-    hits = F.array_compact(
-        F.array(
-            *[F.when(text.rlike(keyword_pattern(terms)), F.lit(name)) for name, terms in keywords.items()]
-        )
-    )
-    if len(keywords) > GATED_KEYS:
-        every = [term for terms in keywords.values() for term in terms]
-        hits = F.when(text.rlike(keyword_pattern(every)), hits)
-    return posts.withColumn(key, F.explode(hits))
+    return posts.withColumn(key, F.explode(keyword_hits(text, keywords)))
 
 
 def match_keyword_table(
     posts: DataFrame, keywords: DataFrame, id_columns: list[str], text: Column | None = None
 ) -> DataFrame:
-    """The same match for any number of keys, given as (ticker, term) rows.
+    """The same match with the keys in a table of (ticker, term) rows.
 
     Text and terms are cut into runs of word and other characters. A term of n runs matches where
     n runs of the text, joined again, equal it in lower case: an equi-join on short strings that is
     exact, boundaries included, and never carries the text along. The keyword side is broadcast if
     its counted size allows, else the join is shuffled and adaptive execution splits hot words.
-    Terms begin and end with a word character. Matches are made unique per (id, text hash, key)
-    before they join back, so copies of an id keep their own rows.
+    Matches are made unique per (id, text hash, key) before they join back, so copies of an id keep
+    their own rows.
     """
     text = title_and_body(F.col("title"), F.col("selftext")) if text is None else text
     on = [*id_columns, "_hash"]
     hashed = posts.withColumn("_hash", F.xxhash64(text))
     terms = keywords.select(
         "ticker", F.lower("term").alias("_gram"), F.size(runs(F.col("term"))).alias("_length")
-    ).filter(F.col("_gram").rlike(f"^{WORD}(?s:.*){WORD}$|^{WORD}$"))
+    ).filter("_length > 0")
     # One number per distinct term length.
     lengths = sorted(row[0] for row in terms.select("_length").distinct().collect())
     if not lengths:
@@ -265,14 +247,18 @@ def enrich_posts(
     required: bool = False,
     key: str | None = "ticker",
     id_columns: list[str] = ("kind", "id"),
+    keys: str | None = None,
 ) -> DataFrame:
-    """Align to sessions, build the text, score it twice, weigh it. Empty in, empty out."""
-    aligned = align_posts(posts, sessions, key=key).withColumn(
-        "text", title_and_body(F.col("title"), F.col("selftext"))
-    )
-    # A post that names several keys is scored once: the score hangs on the id, not on the key.
-    scored = add_lexicon_score(aligned, lexicon, list(id_columns))
-    return add_weights(optional_score(scored, factory, required))
+    """Build the text, score it twice, align to sessions, weigh it. Empty in, empty out.
+
+    Scores hang on the post. With ``keys``, an array column of the keys that a post names, posts become
+    a row per key (``ticker``) only after they are scored.
+    """
+    texts = posts.withColumn("text", title_and_body(F.col("title"), F.col("selftext")))
+    scored = optional_score(add_lexicon_score(texts, lexicon, list(id_columns)), factory, required)
+    if keys is not None:
+        scored = scored.withColumn("ticker", F.explode(keys)).drop(keys)
+    return add_weights(align_posts(scored, sessions, key=key))
 
 
 def daily_metrics(posts: DataFrame, by: list[str] = ("ticker", "kind"), date: str = "aligned_date") -> DataFrame:

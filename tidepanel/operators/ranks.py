@@ -1,7 +1,7 @@
 """Cumulative counts and exact quantiles over any number of values, without a global window.
 
 Values are first reduced to distinct values with counts, so ties and hot values cost one row. The
-value range is then cut at a few hundred approximate quantiles; each (group, range) is one window
+value range is then cut at approximate quantiles, as many as the rows need; each (group, range) is one window
 partition, and the sums of the ranges before it - a table of groups x ranges rows - are added.
 Cut points only spread the work: any cuts give the same result.
 """
@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 
 from tidepanel.session import durable
 
-MOST_RANGES = 1000
+#: Distinct values that one range should hold at most.
+RANGE_ROWS = 1_000_000
 
 
 def _cuts(counts: DataFrame, value: str) -> list[float]:
     """Range bounds from approximate quantiles of all distinct values: a few numbers, on the driver."""
     # Several ranges per shuffle partition even out how they hash.
-    wanted = min(4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    wanted = max(
+        4 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // RANGE_ROWS)
+    )
     probabilities = [k / wanted for k in range(1, wanted)]
     found = counts.stat.approxQuantile(value, probabilities, 0.25 / wanted)
     return sorted(set(found))

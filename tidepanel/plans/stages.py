@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.contract import NEUTRAL_BAND, PANEL_COLUMNS, VALIDATION_FRACTION, ZSCORES
+from tidepanel.functions.text import keyword_hits, title_and_body
 from tidepanel.operators import models
 from tidepanel.operators.calendar import sessions_of
 from tidepanel.operators.features import feature_frame, labelled
@@ -21,13 +22,10 @@ from tidepanel.operators.panel import (
     session_rollup,
 )
 from tidepanel.operators.posts import (
-    INLINE_KEYS,
     daily_metrics,
     enrich_posts,
     fill_daily,
     in_window,
-    match_keyword_table,
-    match_keywords,
     union_kinds,
 )
 from tidepanel.operators.split import date_split
@@ -52,13 +50,9 @@ def import_posts(
     """
     spark = subm.sparkSession
     posts = in_window(union_kinds(subm, comm), start, end)
-    if len(keywords) <= INLINE_KEYS:
-        matched = match_keywords(posts, keywords)
-    else:
-        terms = [(key, term) for key, names in keywords.items() for term in names]
-        table = spark.createDataFrame(terms, "ticker string, term string")
-        matched = match_keyword_table(posts, table, ["kind", "id"])
-    enriched = enrich_posts(matched, sessions, lexicon, factory, required, session_key)
+    text = title_and_body(F.col("title"), F.col("selftext"))
+    named = posts.withColumn("_keys", keyword_hits(text, keywords)).filter(F.size("_keys") > 0)
+    enriched = enrich_posts(named, sessions, lexicon, factory, required, session_key, keys="_keys")
     wanted = spark.createDataFrame(
         [(key, kind) for key in keywords for kind in ("subm", "comm")], "ticker string, kind string"
     )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +36,27 @@ def coerce_numbers(frame: DataFrame, columns: list[str]) -> DataFrame:
     return frame.withColumns(made)
 
 
+def csv_by_header(spark: SparkSession, path: str | list[str], shape) -> DataFrame:
+    """CSV files of any headers: one scan per header, ``shape`` on each, united by name.
+
+    Columns are read as text under the names of the file's own header. First lines come from one scan
+    of the lines; what reaches the driver is a name and a first line per file. A file without lines
+    gives no rows.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
+        F.monotonically_increasing_id().alias("n"),
+    )
+    groups: dict[str, list[str]] = {}
+    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    for row in first.toLocalIterator():
+        groups.setdefault(row.header, []).append(unquote(row.file))
+    if not groups:
+        raise KeyError(f"no header among {path}")
+    frames = [shape(spark.read.csv(sorted(files), header=True, inferSchema=False)) for _, files in sorted(groups.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def read_daily_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -39,17 +64,19 @@ def read_daily_csv(
     key_pattern: str | None = None,
     key: str = "ticker",
 ) -> DataFrame:
-    """Daily CSV files, many keys at once.
+    """Daily CSV files, many keys at once, each read by its own header.
 
     Every column is read as text and coerced afterwards, so a bad cell costs only itself. With
     ``key_pattern`` the key is the first group matched in the file name.
     """
-    frame = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
-    if key_pattern is not None:
-        frame = frame.withColumn(
-            key, F.upper(F.regexp_extract(F.col("_metadata.file_name"), key_pattern, 1))
-        )
-    frame = standard_date(frame)
+
+    def shape(frame: DataFrame) -> DataFrame:
+        if key_pattern is not None:
+            name = F.col("_metadata.file_name")
+            frame = frame.withColumn(key, F.upper(F.regexp_extract(name, key_pattern, 1)))
+        return standard_date(frame)
+
+    frame = csv_by_header(spark, path, shape)
     return frame if numbers is None else coerce_numbers(frame, numbers)
 
 
@@ -89,7 +116,7 @@ def read_ndjson(spark: SparkSession, path: str | list[str], fields: list[str]) -
 
 
 def read_metric_payloads(
-    spark: SparkSession, path: str | list[str], value_name: str, max_columns: int = 8
+    spark: SparkSession, path: str | list[str], value_name: str
 ) -> DataFrame:
     """Metric payloads, one request window per file: ``Date``, perhaps ``Series``, ``Value``.
 
@@ -98,11 +125,12 @@ def read_metric_payloads(
     without ``Date`` fail the job; one with nothing but a header gives no rows. A file holds one
     window of days, so reading it whole is bounded by the window.
     """
-    cells = ", ".join(f"c{i} string" for i in range(max_columns))
 
-    def fields(line):
-        row = F.from_csv(line, F.lit(cells))
-        return F.array(*[F.trim(row[f"c{i}"]) for i in range(max_columns)])
+    def fields(line: Column) -> Column:
+        """Cells of a line, quoted ones without their quotes. With a comma in front every cell has one."""
+        cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+        bare = lambda x: F.regexp_replace(F.regexp_extract(x, r'(?s)^"(.*)"$', 1), '""', '"')
+        return F.transform(cells, lambda x: F.trim(F.when(x.startswith('"'), bare(x)).otherwise(x)))
 
     body = F.regexp_replace(F.col("value"), "^\ufeff?(sep=[^\r\n]*\r?\n?)?\ufeff?", "")
     lines = F.filter(F.split(body, r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
@@ -136,7 +164,7 @@ def read_window_files(
 ) -> DataFrame:
     """Window files named ``[mode_]start_end.csv``, with the bounds as columns.
 
-    All files are one scan; overlapping windows are resolved by ``dedupe_dates``.
+    Columns go by the names in each file's header; overlapping windows are resolved by ``dedupe_dates``.
     """
     day = r"(\d{4}-\d{2}-\d{2})"
     name = F.col("_metadata.file_name")
@@ -146,8 +174,8 @@ def read_window_files(
     }
     if with_mode:
         bounds["mode"] = F.regexp_extract(name, rf"^(.+)_{day}_{day}\.csv$", 1)
-    frame = spark.read.csv(path, header=True, inferSchema=False).withColumns(bounds)
-    return coerce_numbers(standard_date(frame), numbers)
+    frame = csv_by_header(spark, path, lambda part: standard_date(part.withColumns(bounds)))
+    return coerce_numbers(frame, numbers)
 
 
 def price_columns(
@@ -179,19 +207,23 @@ def panel_schema() -> T.StructType:
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    """The panel with its contract as the schema: Parquet if the path says so, else CSV."""
-    reader = spark.read.schema(panel_schema())
-    return reader.parquet(path) if path.rstrip("/").endswith(".parquet") else reader.csv(
-        path, header=True
+    """The panel under its contract: Parquet if the path says so, else CSV by the names in the header."""
+    schema = panel_schema()
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.schema(schema).parquet(path)
+    text = csv_by_header(spark, path, lambda part: part)
+    return text.select(
+        *[(F.col(f.name) if f.name in text.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in schema]
     )
 
 
 def present_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
-    """Files that exist, listed by Spark; the content column is never read."""
+    """Files that exist, as paths below the folder, listed by Spark; the content column is never read."""
+    inside = re.escape(re.sub(r"^[A-Za-z][\w+.-]*:/*", "/", folder).rstrip("/"))
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true").load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("path"), "length")
+        .select(F.regexp_replace("path", rf"^.*?{inside}/", "").alias("path"), "length")
     )
 
 

@@ -28,7 +28,7 @@ from tidepanel.operators.stats import class_weights, with_class_weights
 from tidepanel.session import durable, spread
 
 D = 10
-REPLICATES = 24
+REPLICATES = 200
 
 
 def predictions(t: Tables, layout: Callable[[DataFrame], DataFrame] = lambda table: table) -> DataFrame:

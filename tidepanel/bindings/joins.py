@@ -68,6 +68,34 @@ def panel_join(t: Tables) -> DataFrame:
     )
 
 
+#: Weeks between the events and the middle of the order dates: posts keep their weekday.
+SHIFT_DAYS = 10_500
+
+
+def panel_contract(t: Tables) -> DataFrame:
+    """The 39-column panel by the stage that builds it: both kinds of post, search, news, all regions."""
+    from tidepanel.operators.posts import add_weights
+    from tidepanel.plans.stages import build_panel
+
+    regions = t.region.select("r_regionkey", F.col("r_name").alias("ticker"))
+    posts = event_posts(t).drop("ticker").join(
+        regions, F.pmod("event_id", F.lit(5)) == F.col("r_regionkey")
+    )
+    aligned = align_posts(posts, weekdays(t._spark, "2023-12-22", "2024-02-09"), key=None)
+    daily_posts = daily_metrics(add_weights(aligned)).withColumn("date", F.date_sub("date", SHIFT_DAYS))
+    days = day_rows(t)
+    search = days.select("ticker", "date", F.col("interest").alias("trends_score"))
+    news = days.select(
+        "ticker", "date", F.col("articles").alias("gdelt_articles"), F.col("robust").alias("gdelt_robust"),
+        F.col("tone").alias("gdelt_sentiment_score"),
+    )
+    companies = regions.select("ticker", F.concat(F.lit("Region "), F.col("ticker")).alias("company_name"))
+    made = build_panel(prices(t), companies, daily_posts, search, news)
+    return made.select(
+        *[F.round(f.name, 6).alias(f.name) if f.dataType.simpleString() == "double" else f.name for f in made.schema]
+    )
+
+
 def _volume_tone(t: Tables) -> tuple[DataFrame, DataFrame]:
     days = day_rows(t).groupBy("ticker", "date").agg(
         F.coalesce(F.sum("articles"), F.lit(0.0)).alias("articles"),
@@ -171,6 +199,7 @@ QUERIES = {
     "asof_forward": asof_forward,
     "cutoff_align": cutoff_align,
     "panel_join": panel_join,
+    "panel_contract": panel_contract,
     "volume_tone_join": volume_tone_join,
     "calendar_fill": calendar_fill,
     "anti_exclude": anti_exclude,
@@ -215,7 +244,37 @@ WITH w AS (
 SELECT ticker, date, window_start, orders, first_order FROM w
 QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker, date ORDER BY window_start {dir}) = 1"""
 
+POST_SQL = {
+    "reddit_posts": "COUNT(id)", "reddit_weight_sum": "COALESCE(SUM(w), 0)", "reddit_score_sum": "COALESCE(SUM(score), 0)",
+    "reddit_comments_sum": "COALESCE(SUM(num_comments), 0)",
+} | {
+    f"reddit_{name}_{part}": sql.format(column)
+    for name, column in (("vader", "vader_sentiment"), ("finbert", "finbert_sentiment"), ("sent", "vader_sentiment"))
+    for part, sql in (("mean", "AVG({})"), ("sum", "COALESCE(SUM({}), 0)"), ("std", "STDDEV_SAMP({})"))
+} | {
+    f"reddit_{name}_weighted_mean": f"SUM({name}_sentiment * w) / SUM(w)" for name in ("vader", "finbert")
+}
+PANEL_SQL = (
+    ", g AS (SELECT r_name AS ticker, kind, aligned_date - " + str(SHIFT_DAYS) + " AS date, "
+    + ", ".join(f"{sql} AS {name}" for name, sql in POST_SQL.items())
+    + """ FROM weighted w JOIN region ON event_id % 5 = r_regionkey GROUP BY 1, 2, 3),
+once AS (SELECT ticker, date, AVG(articles) AS a, AVG(robust) AS b, AVG(tone) AS c FROM days GROUP BY 1, 2),
+news AS (SELECT o.ticker, s.session_date AS date, COALESCE(SUM(a), 0) AS a, AVG(b) AS b, AVG(c) AS c
+  FROM once o ASOF JOIN sessions s ON o.ticker = s.ticker AND o.date <= s.session_date GROUP BY 1, 2)
+SELECT p.date, p.ticker, 'Region ' || p.ticker AS company_name, ROUND(p.stock_price, 6) AS stock_price, ROUND(p.stock_volume, 6) AS stock_volume, """
+    + ", ".join(
+        (f"{k}.{m} AS {k}_{m}" if m == "reddit_posts" else f"ROUND({k}.{m}, 6) AS {k}_{m}")
+        for k in ("subm", "comm") for m in POST_SQL
+    )
+    + """, ROUND(r.interest, 6) AS google_trends_score, ROUND(n.a, 6) AS gdelt_articles, ROUND(n.b, 6) AS gdelt_robust,
+  ROUND(n.c, 6) AS gdelt_sentiment_score
+FROM prices p LEFT JOIN g subm ON subm.kind = 'subm' AND subm.ticker = p.ticker AND subm.date = p.date
+  LEFT JOIN g comm ON comm.kind = 'comm' AND comm.ticker = p.ticker AND comm.date = p.date
+  LEFT JOIN rolled r ON r.ticker = p.ticker AND r.date = p.date LEFT JOIN news n ON n.ticker = p.ticker AND n.date = p.date"""
+)
+
 ORACLE = {
+    "panel_contract": with_ctes(["prices", "rolled", "weighted"], PANEL_SQL),
     "asof_forward": with_ctes(
         ["mapped"], "SELECT l_orderkey, l_linenumber, ticker, date, session_date FROM mapped"
     ),

@@ -15,6 +15,7 @@ from tidepanel.bindings.base import (
 )
 from tidepanel.bindings.joins import GRID_SQL, DAILY_SQL, aligned_posts, panel
 from tidepanel.functions.text import slug
+from tidepanel.contract import ALIGNMENT_POLICY
 from tidepanel.operators.audit import coverage_audit, metadata_document, panel_summary, source_audit
 from tidepanel.operators.posts import daily_metrics, fill_daily
 from tidepanel.session import durable
@@ -172,7 +173,13 @@ def summary(t: Tables) -> DataFrame:
 
 
 def metadata(t: Tables) -> DataFrame:
-    return metadata_document(panel(t), durable(_audit(t)), durable(_coverage(t)))
+    """The document's own fields beside each of its nested source records."""
+    document = metadata_document(panel(t), durable(_audit(t)), durable(_coverage(t)), notes=["n1", "n2"])
+    return document.select(
+        "alignment_policy", F.col("rows").alias("panel_rows"), F.array_join("tickers_included", ",").alias("tickers"),
+        F.array_join("notes", ",").alias("notes"), F.size("coverage_rows").alias("coverage_records"),
+        F.inline("raw_source_rows"),
+    )
 
 
 def exchange_share(t: Tables) -> DataFrame:
@@ -315,3 +322,10 @@ WITH v AS (
 SELECT ticker, kind, ROUND(turnover / CAST(1000000 AS DOUBLE), 8) AS millions,
        ROUND(turnover / SUM(turnover) OVER (), 10) AS share FROM v""",
 }
+
+ORACLE["metadata_doc"] = (
+    f"WITH a AS ({ORACLE['source_audit']}), q AS (" + with_ctes(["panel"], "SELECT ticker FROM panel") + f""")
+SELECT '{ALIGNMENT_POLICY}' AS alignment_policy, (SELECT COUNT(*) FROM q) AS panel_rows,
+  (SELECT string_agg(DISTINCT ticker, ',' ORDER BY ticker) FROM q) AS tickers, 'n1,n2' AS notes,
+  (SELECT CAST(COUNT(DISTINCT event_type) AS INTEGER) FROM events) AS coverage_records, a.* FROM a"""
+)

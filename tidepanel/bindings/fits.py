@@ -46,7 +46,7 @@ def logit_benchmark(t):
 
 
 def logit_coefficients(t):
-    done = models.benchmark(rows(t), "logit", TWO, stages=["test"])
+    done = models.benchmark(rows(t), "logit", SETS, stages=["test"])
     table = done.per_feature.withColumnRenamed("value", "coefficient")
     ranked = rank_by_size(table.withColumn("abs_coefficient", F.abs("coefficient")), "coefficient")
     return rounded(ranked)
@@ -89,7 +89,7 @@ def key_models(t):
 
 
 def tuned_thresholds(t):
-    return rounded(models.tuned_threshold(models.benchmark(rows(t), "logit", TWO).predictions))
+    return rounded(models.tuned_threshold(models.benchmark(rows(t), "logit", SETS).predictions))
 
 
 def backward_selection(t):

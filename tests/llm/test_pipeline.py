@@ -9,7 +9,7 @@ import numpy as np
 import corpus_pipeline
 from tidepanel.llm import mixing, shared
 
-WORDS = [f"term{chr(97 + i % 26)}{i}" for i in range(500)]
+WORDS = [a + b + c for a in "bdfgklmnpr" for b in "aeiou" for c in "stlnrmpk"]
 BAD = "vile nasty rotten foul grim".split()
 KEY = "token = 0123456789abcdef0123456789abcdef01234567"
 

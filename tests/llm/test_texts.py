@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from tidepanel.llm import bpe, components, neardup, ppm, secrets, shared, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-WORDS = [f"w{i}" for i in range(400)]
+WORDS = [a + b + c for a in "bdfgklmnpr" for b in "aeiou" for c in "stlnrmpk"]
 
 
 def documents(spark, texts, extra=False):

@@ -29,6 +29,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 MINIMUM_RATIO, MINIMUM_MEAN = 14.0, 0.5
 SAMPLE_DOCUMENTS = 2000
 FIRST, SYMBOLS = 32, 95
+LEAN = 10.0
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
@@ -127,8 +128,9 @@ def fit(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of every character pair, as a table of ``SYMBOLS`` squared numbers.
 
     ``samples`` is (value, label). Pair counts are summed by Spark; what reaches the driver is at most one
-    count per label and pair. Every pair counts once more than seen, so that an unseen one has a finite ratio;
-    without samples of a label its model is uniform.
+    count per label and pair. A pair's probability leans on that of its second character with ``LEAN``
+    pseudo-counts, and a character counts half once more than seen; without samples of a label its model is
+    uniform.
     """
     at = F.explode(F.sequence(F.lit(1), F.char_length("value") - 1))
     pairs = (
@@ -140,13 +142,17 @@ def fit(samples: DataFrame) -> list[float]:
         .filter(F.col("a").between(FIRST, FIRST + SYMBOLS - 1) & F.col("b").between(FIRST, FIRST + SYMBOLS - 1))
         .groupBy("label", "a", "b").count()
     )
-    counts = [[[1.0] * SYMBOLS for _ in range(SYMBOLS)] for _ in range(2)]
+    counts = [[[0.0] * SYMBOLS for _ in range(SYMBOLS)] for _ in range(2)]
     for row in pairs.collect():
         counts[int(row.label == 1)][row.a - FIRST][row.b - FIRST] += row["count"]
-    return [
-        math.log(counts[1][a][b] / sum(counts[1][a])) - math.log(counts[0][a][b] / sum(counts[0][a]))
-        for a in range(SYMBOLS) for b in range(SYMBOLS)
-    ]
+    logs = []
+    for table in counts:
+        single = [sum(row[b] for row in table) + 0.5 for b in range(SYMBOLS)]
+        whole = sum(single)
+        logs.append([
+            math.log((row[b] + LEAN * single[b] / whole) / (sum(row) + LEAN)) for row in table for b in range(SYMBOLS)
+        ])
+    return [random - ordinary for ordinary, random in zip(*logs, strict=True)]
 
 
 def ratio(value: Column, table: list[float]) -> Column:

@@ -65,4 +65,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_bitslice": op10_bitslice,
 }
-ORACLE: dict[str, str] = {}
+REACH = """
+reach(a, c) AS (SELECT id, id FROM nodes UNION SELECT e.a, r.c FROM edges e JOIN reach r ON e.b = r.a),
+least AS (SELECT a, MIN(c) AS c FROM reach GROUP BY 1)"""
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE32 = " || ".join(
+    f"substr('{ALPHABET}', 1 + ((CAST('0x' || substr(x, {5 * i + 1}, 5) AS INTEGER) >> {shift}) & 31), 1)"
+    for i in range(8) for shift in (15, 10, 5, 0)
+)
+
+ORACLE: dict[str, str] = {
+    "op1_warc": f"""
+WITH d AS (SELECT page_id, strlen(COALESCE(html, '')) AS payload_bytes, sha1(COALESCE(html, '')) AS x FROM pages),
+m AS (SELECT x, MAX(page_id) AS top FROM d GROUP BY 1)
+SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d JOIN m USING (x)""",
+    "op4_hnsw": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND {FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+nodes AS (SELECT vec_id AS id FROM embeddings),
+edges AS (
+  SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.id <> b.id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),{REACH},
+n AS (SELECT a, COUNT(*) AS n FROM edges GROUP BY 1)
+SELECT id AS vec_id, COALESCE(n, 0) AS n_links, c AS component_id, id = c AS kept
+FROM nodes JOIN least l ON id = l.a LEFT JOIN n ON id = n.a""",
+    "op7_neardup": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+nodes AS (SELECT doc_id AS id FROM documents),
+edges AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),{REACH}
+SELECT id AS doc_id, COALESCE(n, 0) AS n_shingles, c AS component_id, id = c AS kept
+FROM nodes JOIN least l ON id = l.a LEFT JOIN n ON id = n.doc_id""",
+    "op10_bitslice": f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND {FINITE}),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5""",
+}

@@ -69,6 +69,7 @@ def _map(frame: DataFrame, column: str, out: str, made) -> DataFrame:
         raise ValueError(f"column {out} is there already")
     shared.prepare(frame.sparkSession)
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = made()
         for batch in batches:

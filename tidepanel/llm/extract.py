@@ -308,6 +308,7 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
         raise ValueError(f"column {out} is there already")
     shared.prepare(pages.sparkSession)
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.array([main_text(v) for v in shared.texts_of(batch, html)], pa.string())

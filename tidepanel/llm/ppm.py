@@ -93,6 +93,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         codes, counts = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
         return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], names=["code", "n"])
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
@@ -119,6 +120,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def batch_of(counts: Counter) -> pa.RecordBatch:
         return shared.arrow_of(schema, {"word": list(counts), "n": list(counts.values())})
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
@@ -301,6 +303,7 @@ def _scored(texts: DataFrame, trie: Trie, shard: int, number: int) -> DataFrame:
     """Add ``score``, the sum over the positions that the shard owns."""
     model = texts.sparkSession.sparkContext.broadcast(trie)
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [text_scores(model.value, part, shard, number) for part in slices(shared.texts_of(batch, "text"))]
@@ -362,6 +365,7 @@ def base_scores(documents: DataFrame, counts: DataFrame, tokens: int, distinct:
     end_score, end_known = math.log10(ends + 1) - below, int(ends > 0)
     names = ["n_tokens", "n_known", "base_score"]
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = {word: math.log10(n + 1) - below for word, n in known.value.items()}
         for batch in batches:

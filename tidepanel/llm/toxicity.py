@@ -57,6 +57,11 @@ def value(count: int, total: int) -> float:
 # --- the sample -----------------------------------------------------------------------------------
 
 
+def cut(batch: pa.RecordBatch, rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of a few rows, as features take many times a text's memory."""
+    return (batch.slice(start, rows) for start in range(0, batch.num_rows, rows))
+
+
 def labelled(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, toxic, words, counts, features, total) of at most ``rows`` labelled documents.
 
@@ -76,8 +81,9 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows
         "counts": pa.list_(pa.int32()), "features": pa.list_(pa.binary()), "total": pa.int64(),
     }
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in cut(whole)):
             made: dict[str, list] = {n: [] for n in ("sketch", "words", "counts", "features", "total")}
             for text in shared.texts_of(batch, "text"):
                 words = letter_words(text)
@@ -138,8 +144,9 @@ def graded(sample: DataFrame, words: dict[bytes, float], steps: tuple[int, ...]
     place = {word: i for i, word in enumerate(words)}
     schema = {"grade": pa.int32(), "at": pa.list_(pa.int32()), "x": pa.list_(pa.float64())}
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in cut(whole)):
             grades, ats, xs = [], [], []
             for toxic, found, counts, total in zip(*(batch.column(n).to_pylist() for n in ("toxic", "words", "counts", "total"))):
                 times: Counter = Counter()
@@ -227,7 +234,7 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndar
 class Known(dict):
     """Features with a weight of every word met, at most ``limit`` words at a time."""
 
-    def __init__(self, weights: dict[bytes, float], limit: int = 400_000):
+    def __init__(self, weights: dict[bytes, float], limit: int = 100_000):
         super().__init__()
         self.weights, self.limit = weights, limit
 
@@ -269,6 +276,7 @@ def fit(rows: DataFrame, words: list[bytes], penalty: float = PENALTY) -> Model:
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
         weights, free = x[:size], x[size:]
 
+        @shared.tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loss, gradient = 0.0, np.zeros(len(weights) + len(free))
             for batch in batches:
@@ -314,6 +322,7 @@ def score(documents: DataFrame, model: Model, text: str = "text", least: float =
     shared.prepare(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model)
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         known = Known(own.weights)

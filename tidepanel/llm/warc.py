@@ -278,6 +278,7 @@ def read_archive(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
     """
     shared.prepare(archives.sparkSession)
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("path"), batch.column("content"), strict=True):

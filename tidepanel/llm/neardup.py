@@ -16,8 +16,8 @@ Work per bucket stays small without leaving pairs out:
 1. Documents with equal sets are one class; from here on classes are compared.
 2. Every class meets the smallest class of its buckets. Pairs within the threshold are confirmed on
    the full sets, and links found are joined into components.
-3. In buckets with several components, every class meets the closest class of another component in its
-   block of the bucket. Groups of near copies collapse here at the latest.
+3. In buckets with several components, every class outside the largest one meets the closest class of
+   another component in its block of the bucket. Groups of near copies collapse here at the latest.
 4. In buckets that still hold several components, every class outside the largest one meets all classes
    of other components, in blocks of bounded size; a longer signature screens the pairs, and those left
    are confirmed on the full sets.
@@ -110,9 +110,10 @@ def _set_hash(found: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(one).astype(np.int64)), int(np.uint64(two).astype(np.int64))
 
 
-def _groups(batch: pa.RecordBatch, text: str, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _groups(
+    batch: pa.RecordBatch, text: str, size: int, hashes: shared.WordHash
+) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Shingle sets of consecutive rows, some hundred thousand shingles at a time."""
-    hashes = shared.WordHash()
     first, sets, held = 0, [], 0
     for value in shared.texts_of(batch, text):
         sets.append(shingle_set(shared.lowered_words(value), hashes, size))
@@ -128,9 +129,11 @@ def signatures(documents: DataFrame, size: int = WORDS, positions: int = POSITIO
     """doc_id, hash of the text, set size, a 128-bit hash of the set and the signature of every whole text."""
     shared.prepare(documents.sparkSession)
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = shared.WordHash()
         for batch in batches:
-            for first, sets in _groups(batch, "text", size):
+            for first, sets in _groups(batch, "text", size, hashes):
                 signed = signatures_of(sets, positions)
                 keys = [_set_hash(s) for s in sets]
                 yield shared.arrow_of(SIGNED, {
@@ -150,9 +153,11 @@ def shingle_sets(documents: DataFrame, size: int = WORDS) -> DataFrame:
     shared.prepare(documents.sparkSession)
     schema = {"doc_id": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "shingles": pa.list_(pa.int64())}
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = shared.WordHash()
         for batch in batches:
-            for first, sets in _groups(batch, "text", size):
+            for first, sets in _groups(batch, "text", size, hashes):
                 keys = [_set_hash(s) for s in sets]
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64)
@@ -205,6 +210,7 @@ def bucket_keys(
     """(key, class): the class under every bucket key of its signature."""
     holds = left_out(positions, chunks, errors)
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signed = symbols(batch.column("sig"), positions).astype(np.uint64)
@@ -237,6 +243,7 @@ def _near_signatures(pairs: DataFrame, classes: DataFrame, threshold: int, simil
     two = classes.select(F.col("class").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
     allowed = 100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -298,6 +305,7 @@ def _by_group(rows: DataFrame, group: list[str], columns: list[str], binary: dic
         found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: pa.Table | None = None
         for batch in batches:
@@ -328,13 +336,32 @@ def _shifted(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, at + shift
 
 
-def _parts(i: np.ndarray, j: np.ndarray, size: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _parts(i: np.ndarray, j: np.ndarray, size: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for cut in range(0, len(i), size):
         yield i[cut : cut + size], j[cut : cut + size]
 
 
+def _in_largest(group: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Whether each row is of the component that has most rows in its group."""
+    order = np.lexsort((component, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (group[order][1:] != group[order][:-1]) | (component[order][1:] != component[order][:-1])
+    run = np.cumsum(new) - 1
+    size = np.bincount(run)
+    owner = group[order][new]
+    by_size = np.lexsort((-size, owner))
+    first = np.ones(len(by_size), bool)
+    first[1:] = owner[by_size][1:] != owner[by_size][:-1]
+    largest = np.zeros(len(size), bool)
+    largest[by_size[first]] = True
+    out = np.empty(len(order), bool)
+    out[order] = largest[run]
+    return out
+
+
 def _nearest(rows: DataFrame, threshold: int, similarity: int) -> DataFrame:
-    """For every class of a (key, block) group the closest class of another component within the threshold."""
+    """For every class outside the largest component of its (key, block) group the closest class of another
+    component within the threshold."""
 
     def compare(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
         best = np.full(len(rows["class"]), threshold + 1)
@@ -348,7 +375,7 @@ def _nearest(rows: DataFrame, threshold: int, similarity: int) -> DataFrame:
                 for x, y in ((one, two), (two, one)):
                     closer = apart < best[x]
                     best[x[closer]], to[x[closer]] = apart[closer], y[closer]
-        found = np.flatnonzero(to >= 0)
+        found = np.flatnonzero((to >= 0) & ~_in_largest(rows["group"], rows["component"]))
         return rows["class"][found], rows["class"][to[found]]
 
     return _by_group(
@@ -402,6 +429,7 @@ def _long_signatures(classes: DataFrame, wanted: DataFrame, documents: DataFrame
     """(class, long): signatures of ``LONG_POSITIONS`` 8-bit symbols for the wanted classes."""
     sets = _sets_of(wanted, classes, documents, size)
 
+    @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -432,7 +460,7 @@ def near_links(
         _near_signatures(star, classes, threshold, similarity, positions), classes, documents, similarity, size
     )
 
-    # Everyone with the closest class of another component in its block of the bucket.
+    # Whoever is outside the largest component of its block of the bucket, with the closest class of another.
     many = members.filter("_n > 2").select("key", "class", "_n")
     placed = _placed(many, links)
     mixed = placed.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l < h").select("key")

@@ -144,3 +144,62 @@ def test_panel_to_leaderboard(spark):
     assert [r.ticker for r in rows.select("ticker").distinct().collect()] == ["AAA"]
     board, _ = stages.run_benchmark(rows, "logit", feature_sets={"all": contract.ALL_FEATURES})
     assert board.first().n_features == 10
+
+
+def test_fits_run_whole(monkeypatch):
+    """The registered queries ask for all feature sets, all features and the operators' own settings."""
+    from tidepanel.bindings import fits
+
+    asked = {}
+
+    class Stop(Exception):
+        pass
+
+    def held(name):
+        def call(frame, *args, **named):
+            asked[name] = (args, named)
+            raise Stop
+
+        return call
+
+    monkeypatch.setattr(fits, "rows", lambda t: None)
+    for name in ("benchmark", "backward_selection", "grid_search"):
+        monkeypatch.setattr(models, name, held(name))
+    for query in ("forest_benchmark", "forest_importances", "rff_svm_benchmark", "mlp_benchmark", "boosted_benchmark"):
+        with pytest.raises(Stop):
+            fits.QUERIES[query](None)
+        args, named = asked["benchmark"]
+        assert args[1] == fits.SETS and not args[2:] and "settings" not in named
+    for query in ("backward_selection", "grid_search"):
+        with pytest.raises(Stop):
+            fits.QUERIES[query](None)
+    assert asked["backward_selection"] == ((fits.FEATURES,), {})
+    assert np.prod([len(v) for v in asked["grid_search"][0][2].values()]) == 48
+
+
+def test_stacking_uses_every_family(monkeypatch):
+    from tidepanel.bindings import fits
+
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def held(frame, folds, n, bases):
+        seen.update(bases)
+        raise Stop
+
+    for name in ("durable", "walk_forward", "frame"):
+        monkeypatch.setattr(fits, name, lambda *a: None)
+    monkeypatch.setattr(fits.fx, "labelled", lambda f: None)
+    monkeypatch.setattr(models, "out_of_fold", held)
+    with pytest.raises(Stop):
+        fits.QUERIES["stacking"](None)
+    assert seen == {f: (f, fits.FEATURES, {}) for f in models.FAMILIES}
+
+
+def test_models_of_given_keys(rows):
+    frame = rows.filter("split = 'train'").withColumn("label", F.when(F.col("ticker") == "B", 1).otherwise(F.col("target")))
+    got = {r.ticker: r for r in models.fit_per_key(frame, ["x1", "x2"]).collect()}
+    assert got["A"].n == got["B"].n == 120 and got["A"].x1 > 0.5 and got["B"].x1 is None
+    assert [r.ticker for r in models.fit_per_key(frame, ["x1"], keys=["A", "none"]).collect()] == ["A"]

@@ -1,6 +1,6 @@
 """Model queries over the region panel. Fits have no SQL oracle; their parts do, or are unit-tested.
 
-Fewer trees, rounds and steps than the defaults keep them quick; data and features are whole.
+Every family runs with its full settings (the operators' defaults) on all feature sets.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ SETS = {
     "Model X1 - price + news": [*PRICE, *NEWS],
     "Model X2 - price + forum": [*PRICE, "robust_z"],
 }
-TWO = {name: SETS[name] for name in ("Model A - price", "Model E - all")}
+# A grid of 48 settings of the network.
+GRID = {"hidden": [(4,), (8,), (16,), (32,), (8, 4), (16, 8)], "max_iter": [200, 400, 700, 1000], "tol": [1e-4, 1e-6]}
 
 
 def rows(t: Tables) -> DataFrame:
@@ -53,28 +54,28 @@ def logit_coefficients(t):
 
 
 def forest_benchmark(t):
-    done = models.benchmark(rows(t), "forest", TWO, {"trees": 20})
+    done = models.benchmark(rows(t), "forest", SETS)
     return rounded(leaderboard(done.results))
 
 
 def forest_importances(t):
-    done = models.benchmark(rows(t), "forest", TWO, {"trees": 20}, stages=["test"])
+    done = models.benchmark(rows(t), "forest", SETS, stages=["test"])
     table = done.per_feature.withColumnRenamed("value", "importance")
     return rounded(rank_by_size(table, "importance", absolute=False))
 
 
 def rff_svm_benchmark(t):
-    done = models.benchmark(rows(t), "rff_svm", TWO, {"size": 64, "max_iter": 30})
+    done = models.benchmark(rows(t), "rff_svm", SETS)
     return rounded(leaderboard(models.with_diagnostics(done, ["n_support_vectors"])))
 
 
 def mlp_benchmark(t):
-    done = models.benchmark(rows(t), "mlp", TWO, {"max_iter": 60})
+    done = models.benchmark(rows(t), "mlp", SETS)
     return rounded(leaderboard(models.with_diagnostics(done, ["iterations_used", "loss_final"])))
 
 
 def boosted_benchmark(t):
-    done = models.benchmark(rows(t), "boosted", TWO, {"rounds": 5})
+    done = models.benchmark(rows(t), "boosted", SETS)
     return rounded(leaderboard(done.results))
 
 
@@ -93,13 +94,13 @@ def tuned_thresholds(t):
 
 
 def backward_selection(t):
-    return rounded(models.backward_selection(rows(t), PRICE, least=2))
+    return rounded(models.backward_selection(rows(t), FEATURES))
 
 
 def stacking(t):
     labelled = durable(fx.labelled(frame(t)))
     folds = durable(walk_forward(labelled, 3))
-    bases = {"price": ("logit", PRICE, {}), "news": ("logit", NEWS, {})}
+    bases = {family: (family, FEATURES, {}) for family in models.FAMILIES}
     oof = models.out_of_fold(labelled, folds, 3, bases)
     stacked = models.stack(oof, list(bases), 2).withColumn("model", F.lit("stacked"))
     columns = ["model", "label", "pred"]
@@ -116,8 +117,7 @@ def lag_grid(t):
 
 
 def grid_search(t):
-    found = models.grid_search(rows(t), FEATURES, "logit", {"C": [0.01, 0.1, 1.0], "max_iter": [20, 100]})
-    return rounded(found)
+    return rounded(models.grid_search(rows(t), FEATURES, "mlp", GRID))
 
 
 QUERIES = {

@@ -448,36 +448,33 @@ def lag_grid_sets(base: list[str], first: str, second: str, lags: list[int]) ->
 
 def fit_per_key(
     frame: DataFrame, features: list[str], key: str = "ticker", label: str = "label",
-    C: float = 1.0, steps: int = 25,
+    C: float = 1.0, keys: list | None = None, parallelism: int = 4,
 ) -> DataFrame:
     """One balanced L2 logistic regression per key: (key, n, intercept, coefficients).
 
-    Keys are independent, so each is one group of a grouped map; a key holds one row per session.
-    Newton steps on a matrix of ``features`` columns; a key with one class gets NULLs.
+    Every key of ``keys`` (by default, all keys of ``frame``) is a distributed fit on its own rows, imputed
+    and scaled by them; only the loop over keys runs on the driver. A key with one class gets NULLs.
     """
+    kept = frame.select(key, F.col(label).cast("int").alias("label"), *[F.col(f).cast("double").alias(f) for f in features])
+    kept = durable(kept.filter(F.col("label").isNotNull()))
+    counts: dict = {}
+    for row in kept.groupBy(key, "label").count().collect():
+        counts.setdefault(row[key], {})[row["label"]] = row["count"]
+    wanted = [k for k in (list(counts) if keys is None else keys) if k in counts]
     schema = frame.select(key).schema.add("n", T.LongType()).add("intercept", T.DoubleType())
     for f in features:
         schema = schema.add(f, T.DoubleType())
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        y = group[label].to_numpy(dtype=float)
-        head = {key: group[key].iloc[0], "n": len(group)}
-        if len(np.unique(y)) < 2:
-            return pd.DataFrame([head | {"intercept": None} | dict.fromkeys(features)])
-        x = group[features].astype(float)
-        x = x.fillna(x.median()).fillna(0.0)
-        spread = x.std(ddof=0).replace(0.0, 1.0)
-        design = np.column_stack([np.ones(len(x)), ((x - x.mean()) / spread).to_numpy()])
-        share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) * C
-        penalty = np.diag([0.0] + [1.0] * len(features))
-        beta = np.zeros(design.shape[1])
-        for _ in range(steps):
-            p = 1.0 / (1.0 + np.exp(-np.clip(design @ beta, -30, 30)))
-            slope = design.T @ (share * (y - p)) - penalty @ beta
-            curve = (design * (share * p * (1 - p))[:, None]).T @ design + penalty
-            beta = beta + np.linalg.lstsq(curve, slope, rcond=None)[0]
-        return pd.DataFrame([head | {"intercept": beta[0]} | dict(zip(features, beta[1:]))])
-
-    return frame.select(key, label, *features).groupBy(key).applyInPandas(fit, schema)
-
-
+    def one(value) -> tuple:
+        n = sum(counts[value].values())
+        if len(counts[value]) < 2:
+            return (value, n, None, *[None] * len(features))
+        own = kept.filter(F.col(key).eqNullSafe(F.lit(value)))
+        middle = {f: m or 0.0 for f, m in medians(own, features).items()}
+        filled = impute(own, middle)
+        scaled = standardize(filled, moments(filled, features))
+        fitted = fit_logit(with_class_weights(scaled), features, {"C": C, "tol": 1e-12})
+        return (value, n, fitted.diagnostics["intercept"], *[fitted.per_feature[f] for f in features])
+
+    done = _in_parallel(frame.sparkSession, [lambda v=value: one(v) for value in wanted], parallelism)
+    return frame.sparkSession.createDataFrame(done, schema)

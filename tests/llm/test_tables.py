@@ -110,6 +110,29 @@ def test_main_text(page, text):
     assert extract.main_text(page) == text
 
 
+BODY = f"<div id=main><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+
+
+@pytest.mark.parametrize("tag", ["p", "blockquote", "pre", "h1", "div"])
+def test_branches_beside_the_article_count_by_density(tag):
+    lead = "The lead of the article stands in front. " * 8
+    assert extract.main_text(f"<body><{tag}>{lead}</{tag}>{BODY}").startswith("The lead of the article")
+
+
+def test_wrapped_branches_count():
+    page = f"<body>{BODY}<div><div><div><p>Second half. {LONG}</p><p>{LONG}</p></div></div></div>"
+    assert extract.main_text(page).count("Sentence number one") == 20 and "Second half." in extract.main_text(page)
+
+
+def test_words_of_chrome_inside_an_article():
+    page = (
+        f"<article><p>{LONG}</p><section id=discussion><h2 id='related-work'>Related</h2><p>{LONG}</p></section>"
+        f"<div class='share-of-market'><p>Market.</p></div><div class=share><p>Share it.</p></div></article>"
+    )
+    got = extract.main_text(page)
+    assert "Related" in got and got.count("Sentence number one") == 8 and "Market." in got and "Share it." not in got
+
+
 def test_deep_and_long_pages():
     assert extract.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     body = "".join(f"<p>paragraph {i} with some words" for i in range(20_000))

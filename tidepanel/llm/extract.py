@@ -3,10 +3,12 @@
 Every element of the page's tree gets a density: characters per tag, adjusted by how many of its
 characters and tags belong to links. An element's sum is that of its children's densities. The element
 with the largest sum below the body is the article; the least density on its path up to the body is
-the threshold at which other branches of the page are searched for further parts. Only containers
-compete for the sum: a paragraph or an inline element is text, not an article. Menus, headers,
+the threshold at which other branches of the page are searched for further parts, whatever their tags;
+a branch below it that only wraps one element is judged by that element. Only containers compete for the
+sum: a paragraph or an inline element is text, not an article. Menus, headers,
 footers, sidebars, notices, adverts, forms, comments and code are taken out of the tree first, by their
-tags and by the words of their classes, ids and roles.
+tags and by the words of their classes, ids and roles; inside an article only by whole names, and headings
+and sections there never by their ids.
 """
 
 from __future__ import annotations
@@ -63,6 +65,7 @@ CHROME = frozenset(
     "comment comments commentlist respond replies reply disqus discussion share sharing social related "
     "recommended recommendations complementary contentinfo search skip hidden".split()
 )
+ANCHORED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 HEADER_WORDS = frozenset(("header", "masthead", "site-header", "banner"))
 
 
@@ -84,10 +87,12 @@ def _chrome(tag: str, attributes: str, inside_article: bool) -> bool:
             if name == "hidden" or value == "true":
                 return True
             continue
+        if inside_article and name == "id" and tag in ANCHORED:
+            continue
         for word in value.split():
             if word in HEADER_WORDS and not inside_article:
                 return True
-            if word in CHROME or not CHROME.isdisjoint(re.split(r"[-_]+", word)):
+            if word in CHROME or not inside_article and not CHROME.isdisjoint(re.split(r"[-_]+", word)):
                 return True
     return False
 
@@ -246,7 +251,9 @@ def _article(order: list[Node], root: Node) -> list[Node]:
     queue = [root]
     while queue:
         node = queue.pop()
-        if node is not root and (node.density < threshold or not _is_part(node)):
+        while node is not None and node is not root and node.density < threshold:
+            node = _wrapped(node)
+        if node is None:
             continue
         found = best[id(node)]
         marked.append(found)
@@ -258,9 +265,10 @@ def _article(order: list[Node], root: Node) -> list[Node]:
     return marked
 
 
-def _is_part(node: Node) -> bool:
-    """A branch beside the path counts only if it holds two elements with text, as a part of an article does."""
-    return node.tag in CONTAINERS and sum(type(c) is Node and c.chars > 0 for c in node.children) > 1
+def _wrapped(node: Node) -> Node | None:
+    """The only element with text of a node without text of its own, if it is such a wrapper."""
+    held = [c for c in node.children if (c.chars if type(c) is Node else not c.isspace())]
+    return held[0] if len(held) == 1 and type(held[0]) is Node else None
 
 
 def text_of(root: Node, chosen: list[Node]) -> str:

@@ -79,6 +79,18 @@ def test_salvage_of_gzip_members():
     assert names(b"") == [] and names(b"nothing")[0][:3] == ("gap", 0, 7)
 
 
+def test_salvage_of_damaged_first_records_and_mixed_archives():
+    body = gzip.compress(b"gzip-encoded body " * 20, mtime=0)
+    one, two, three = (record(n, body) for n in (1, 2, 3))
+    got = names(b"X" + one[1:] + two + three)
+    assert [(g[0], g[3]) for g in got] == [("gap", "version line"), ("record", "2"), ("record", "3")]
+    member = gzip.compress(record(4, b"m" * 99), mtime=0)
+    got = names(member + two + member + b"junk" + member + two[:30] + three)
+    assert [g[0] for g in got] == ["record", "record", "record", "gap", "record", "gap", "record"]
+    assert [g[3] for g in got if g[0] == "record"] == ["4", "2", "4", "4", "3"]
+    assert [(a, b) for _, a, b, _ in got][1:3] == [(len(member), len(member + two)), (len(member + two), len(member + two + member))]
+
+
 def test_reader_reports_gaps(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(1, b"x") + b"broken" + record(2, b""))
     (tmp_path / "b.warc").write_bytes(b"")

@@ -7,7 +7,8 @@ fits a task.
 Reading takes whole archives (Spark's ``binaryFile``) and walks their members. A record must pass its
 checks: version line, header syntax, length inside the archive, terminator, block digest, payload
 digest. After a failed check the reader searches for the next version line (or gzip member) that
-starts a record passing all of them, goes on from there, and logs the bytes in between as a gap.
+starts a record passing all of them, whichever is nearer, goes on from there, and logs the bytes in
+between as a gap.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from tidepanel.session import checked_broadcast
 END = "\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
+START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)")
 RECORDS_PER_FILE = 1024
 HEADER_BYTES = 65_536
@@ -205,38 +207,51 @@ def _inflate(data: bytes, start: int) -> tuple[bytes, int]:
     return b"".join(parts), min(at, len(data)) - len(unzip.unused_data)
 
 
+def _member(data: bytes, start: int) -> tuple[bytes, int]:
+    """Content and end of the gzip member at ``start``; ValueError if it holds no valid record."""
+    content, end = _inflate(data, start)
+    if not any(kind == "record" for kind, *_ in salvage_plain(content)):
+        raise ValueError("no record in gzip member")
+    return content, end
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """As ``salvage_plain`` over plain archives and those of gzip members; offsets are the archive's.
+    """As ``salvage_plain`` over archives of plain records, gzip members, or both; offsets are the archive's.
 
-    Inside a member that inflates, records are salvaged as in a plain archive and carry the member's
-    offsets.
+    After a failed check the next valid start of either kind is searched for. Inside a member that inflates,
+    records are salvaged as in a plain archive and carry the member's offsets.
     """
-    if not data.startswith(GZIP) and (VERSION.match(data) or GZIP not in data):
-        yield from salvage_plain(data)
-        return
     at = 0
     while at < len(data):
         try:
-            if data[at : at + 3] != GZIP:
-                raise ValueError("gzip magic")
-            content, end = _inflate(data, at)
+            if data.startswith(GZIP, at):
+                content, end = _inflate(data, at)
+            else:
+                fields, block, end = parse_record(data, at)
+                content = None
         except ValueError as fault:
-            stop, probe = len(data), data.find(GZIP, at + 1)
-            while probe >= 0:
-                try:
-                    content, _ = _inflate(data, probe)
-                    if any(kind == "record" for kind, *_ in salvage_plain(content)):
-                        stop = probe
-                        break
-                except ValueError:
-                    pass
-                probe = data.find(GZIP, probe + 1)
+            stop = _next_start(data, at + 1)
             yield "gap", at, stop, str(fault)
             at = stop
+            continue
+        if content is None:
+            yield "record", at, end, (fields, block)
         else:
             for kind, _, _, rest in salvage_plain(content):
                 yield kind, at, end, rest
-            at = end
+        at = end
+
+
+def _next_start(data: bytes, at: int) -> int:
+    """The first version line or gzip member from ``at`` on that starts a valid record; else the data's end."""
+    for candidate in START.finditer(data, at):
+        begin = candidate.start()
+        try:
+            (_member if data.startswith(GZIP, begin) else parse_record)(data, begin)
+        except ValueError:
+            continue
+        return begin
+    return len(data)
 
 
 ROW = {

@@ -232,6 +232,17 @@ def test_graph_recall_without_scans():
     assert (found & true).sum() >= 0.97 * true.sum()
 
 
+def test_audit_without_links_in_the_sample():
+    """A graph without edges finds nothing; the audit tells so although no audited query has a link."""
+    draw = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    shard, queries = unit(draw.normal(size=(2000, 32))), unit(draw.normal(size=(1000, 32)))
+    queries[1::7] = shard[:143]
+    layers = [(np.arange(2000), np.full((2000, 4), -1, np.int64))]
+    at, to = hnsw.shard_links(queries, np.arange(5000, 6000), shard, np.arange(2000), layers, 0.98)
+    assert sorted(zip(at.tolist(), to.tolist())) == [(1 + 7 * i, i) for i in range(143)]
+
+
 def test_bit_slices_equal_integer_products(spark):
     draw = np.random.default_rng(9)
     rows = [(i, draw.normal(size=5).astype(np.float32).tolist()) for i in range(300)]

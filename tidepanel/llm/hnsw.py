@@ -7,8 +7,10 @@ are (label, shard, block of queries), each of bounded size, so a hot label only
 In a task a beam descends the layers and widens on the lowest one. Two things widen it further: an
 audit, which compares a sample of the block's queries with an exact scan of the shard and doubles the
 beam until every true link is found; and queries with half a beam or more above the threshold, which are
-asked again with twice the beam. A beam of an eighth of the shard gives way to an exact scan of it, so no
-number of links is out of reach. Links are verified by cosine in double precision.
+asked again with twice the beam. The sample grows until enough of its queries have a true link; where too
+few have one, it becomes the whole block, and the scan is the result. A beam of an eighth of the shard
+gives way to an exact scan of it, so no number of links is out of reach. Links are verified by cosine in
+double precision.
 
 Equal vectors are one class with a count and enter a graph once. Within a task links are joined to
 components, so that a group of n near copies leaves n rows and not n squared.
@@ -31,6 +33,7 @@ SHARD_ROWS = 8192
 DEGREE = 12
 BUILD_BEAM, FIRST_BEAM = 32, 32
 AUDITS, RECALL = 128, 1.0
+EVIDENCE = 32
 SCAN_SHARE = 8
 BATCH = 256
 EXPAND = 4
@@ -251,12 +254,24 @@ def shard_links(
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     everyone = np.arange(len(queries))
-    audited = everyone[:: max(1, len(queries) // audits)]
-    true = sum(len(scan(audited[i : i + BATCH])[0]) for i in range(0, len(audited), BATCH))
-    beam = FIRST_BEAM
-    while beam < widest and len(ask(audited, beam)[0]) < recall * true:
+    if FIRST_BEAM >= widest:
+        return ask(everyone, FIRST_BEAM)
+    audited = np.zeros(len(queries), bool)
+    audited[:: max(1, len(queries) // audits)] = True
+    order = np.concatenate([np.flatnonzero(audited), np.flatnonzero(~audited)])
+    seen, linked, true, size = [], 0, 0, int(audited.sum())
+    cut = 0
+    while cut < len(order) and (cut < size or linked < EVIDENCE):
+        upto = min(cut + BATCH, size if cut < size else len(order))
+        seen.append(scan(order[cut:upto]))
+        linked += len(np.unique(seen[-1][0]))
+        true += len(seen[-1][0])
+        cut = upto
+    beam, rest = FIRST_BEAM, order[cut:]
+    while len(rest) and beam < widest and len(ask(order[:cut], beam)[0]) < recall * true:
         beam *= 2
-    return ask(everyone, beam)
+    seen.append(ask(rest, beam))
+    return np.concatenate([p[0] for p in seen]), np.concatenate([p[1] for p in seen])
 
 
 def _least_of_component(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> np.ndarray:

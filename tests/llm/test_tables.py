@@ -91,6 +91,11 @@ def test_salvage_of_damaged_first_records_and_mixed_archives():
     assert [(a, b) for _, a, b, _ in got][1:3] == [(len(member), len(member + two)), (len(member + two), len(member + two + member))]
 
 
+def test_long_headers():
+    long = record(1, b"x", **{"WARC-Target-URI": "data:," + "a" * 100_000})
+    assert [(g[0], g[3]) for g in names(long + record(2, b"y"))] == [("record", "1"), ("record", "2")]
+
+
 def test_reader_reports_gaps(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(1, b"x") + b"broken" + record(2, b""))
     (tmp_path / "b.warc").write_bytes(b"")

@@ -145,6 +145,9 @@ def parse_record(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
     if version is None:
         raise ValueError("version line")
     head_end = data.find(b"\r\n\r\n", version.end() - 2, version.end() + HEADER_BYTES)
+    if head_end < 0:  # a long header ends before the next version line
+        following = VERSION.search(data, version.end())
+        head_end = data.find(b"\r\n\r\n", version.end() - 2, following.start() if following else len(data))
     if head_end < 0:
         raise ValueError("header end")
     fields: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bitslice, bpe, extract, hnsw, mixing, neardup, ppm, secrets, toxicity, warc
+from tidepanel.llm import bitslice, bpe, extract, hnsw, mixing, neardup, ppm, secrets, toxicity, urlrules, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_bitslice(spark: SparkSession, folder: str) -> DataFrame:
     return bitslice.neighbours(_table(spark, folder, "embeddings"))
 
 
+def op11_urlrules(spark: SparkSession, folder: str) -> DataFrame:
+    return urlrules.filter_urls(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_extract": op2_extract,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ppm": op8_ppm,
     "op9_bpe": op9_bpe,
     "op10_bitslice": op10_bitslice,
+    "op11_urlrules": op11_urlrules,
 }
 REACH = """
 reach(a, c) AS (SELECT id, id FROM nodes UNION SELECT e.a, r.c FROM edges e JOIN reach r ON e.b = r.a),
@@ -116,4 +121,37 @@ s AS (
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5""",
+    "op11_urlrules": rf"""
+WITH u AS (
+  SELECT ROW_NUMBER() OVER () AS r, page_id, COALESCE(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{urlrules.UPPER}', '{urlrules.LOWER}'), '') AS host,
+    COALESCE(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    COALESCE(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '') AS query FROM pages),
+list(verdict, h, p) AS (VALUES {", ".join(map(str, urlrules.RULES))}),
+hits AS (
+  SELECT r, arg_max(h || p, strlen(h || p)) AS rule, arg_max(verdict, strlen(h || p)) AS listed
+  FROM u JOIN list ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
+t AS (
+  SELECT u.r, page_id, host, path, rule, listed, list_sort(list_distinct(list_concat(
+    list_transform(regexp_extract_all(host, '{urlrules.WORDS}'), lambda w: 'h:' || w),
+    list_transform(regexp_extract_all(translate(path, '{urlrules.UPPER}', '{urlrules.LOWER}'), '{urlrules.WORDS}'), lambda w: 'p:' || w),
+    list_transform(regexp_extract_all(translate(query, '{urlrules.UPPER}', '{urlrules.LOWER}'), '{urlrules.WORDS}'), lambda w: 'q:' || w)))) AS tokens
+  FROM u LEFT JOIN hits ON u.r = hits.r),
+least AS (SELECT greatest({urlrules.MIN_ROWS}, ceil({urlrules.MIN_SUPPORT} * COUNT(*))) AS least FROM t WHERE listed IS NOT NULL),
+often AS (
+  SELECT token FROM (SELECT unnest(tokens) AS token FROM t WHERE listed IS NOT NULL) GROUP BY 1 HAVING COUNT(*) >= (SELECT least FROM least)),
+kept AS (
+  SELECT r, any_value(listed) AS listed, list(token ORDER BY token) AS f
+  FROM (SELECT r, listed, unnest(tokens) AS token FROM t WHERE listed IS NOT NULL) JOIN often USING (token) GROUP BY r),
+sets AS (
+  SELECT listed, list_filter(f, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items
+  FROM (SELECT listed, f, unnest(range(1, 1 << len(f))) AS m FROM kept)),
+mined AS (
+  SELECT items, COUNT(*) FILTER (listed = 'block') AS b, COUNT(*) FILTER (listed = 'allow') AS a, COUNT(*) AS n FROM sets GROUP BY 1),
+rules AS (
+  SELECT items, CASE WHEN b >= (SELECT least FROM least) AND b / n >= {urlrules.MIN_CONFIDENCE} THEN b / n ELSE 0 END AS b,
+    CASE WHEN a >= (SELECT least FROM least) AND a / n >= {urlrules.MIN_CONFIDENCE} THEN a / n ELSE 0 END AS a FROM mined),
+judged AS (
+  SELECT t.r FROM t JOIN rules ON rule IS NULL AND a + b > 0 AND list_has_all(tokens, items) GROUP BY t.r HAVING MAX(b) > MAX(a))
+SELECT page_id, host, path, rule, COALESCE(listed, CASE WHEN j.r IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM t LEFT JOIN judged j ON t.r = j.r""",
 }

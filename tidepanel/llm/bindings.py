@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bitslice, bpe, extract, hnsw, mixing, neardup, ppm, secrets, toxicity, urlrules, warc
+from tidepanel.llm import bitslice, bpe, crosstok, extract, hnsw, mixing, neardup, ppm, secrets, toxicity, urlrules, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_urlrules(spark: SparkSession, folder: str) -> DataFrame:
     return urlrules.filter_urls(_table(spark, folder, "pages"))
 
 
+def op12_crosstok(spark: SparkSession, folder: str) -> DataFrame:
+    return crosstok.align_documents(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_extract": op2_extract,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_bitslice": op10_bitslice,
     "op11_urlrules": op11_urlrules,
+    "op12_crosstok": op12_crosstok,
 }
 REACH = """
 reach(a, c) AS (SELECT id, id FROM nodes UNION SELECT e.a, r.c FROM edges e JOIN reach r ON e.b = r.a),

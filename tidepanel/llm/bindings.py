@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bitslice, bpe, crosstok, extract, hnsw, mixing, neardup, ppm, secrets, toxicity, urlrules, warc
+from tidepanel.llm import bitslice, bpe, crosstok, extract, hnsw, mixing, neardup, ppm, secrets, toxicity, urlrules, warc, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_crosstok(spark: SparkSession, folder: str) -> DataFrame:
     return crosstok.align_documents(_table(spark, folder, "documents"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_extract": op2_extract,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bitslice": op10_bitslice,
     "op11_urlrules": op11_urlrules,
     "op12_crosstok": op12_crosstok,
+    "op13_whitening": op13_whitening,
 }
 REACH = """
 reach(a, c) AS (SELECT id, id FROM nodes UNION SELECT e.a, r.c FROM edges e JOIN reach r ON e.b = r.a),

@@ -14,8 +14,10 @@ lies beyond it once in some hundred thousand times, and far more rarely at highe
 Work per bucket stays small without leaving pairs out:
 
 1. Documents with equal sets are one class; from here on classes are compared.
-2. Every class meets the smallest class of its buckets. Pairs within the threshold are confirmed on
-   the full sets, and links found are joined into components.
+2. Every class meets the smallest classes of its buckets, its leaders: first one leader, then eight of those left,
+   then 64 and so on. Pairs within the threshold are confirmed on the full sets, and links found are joined into components after
+   each round; a leader in a class's own component is left from then on. So a group of near copies costs about one
+   pair a class, however many buckets they share, and no bucket is left out.
 3. In buckets with several components, every class outside the largest one meets the closest class of
    another component in its block of the bucket. Groups of near copies collapse here at the latest.
 4. In buckets that still hold several components, every class outside the largest one meets all classes
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm import shared
@@ -386,8 +388,6 @@ def _nearest(rows: DataFrame, threshold: int, similarity: int) -> DataFrame:
 def _across(rows: DataFrame, threshold: int, similarity: int, holds: list[list[int]]) -> DataFrame:
     """Pairs of an outlying class with one of another component in a (key, block, chunk) group.
 
-    Both signatures have to be within their thresholds. A pair that shares several keys is taken under
-    the first of them, which its bucket has tested as well.
     Both signatures have to be within their thresholds. A pair that meets under several keys is taken
     under the first of them only.
     """
@@ -443,6 +443,36 @@ def _long_signatures(classes: DataFrame, wanted: DataFrame, documents: DataFrame
     return sets.mapInArrow(run, "class bigint, long binary")
 
 
+def _leader_links(
+    members: DataFrame, classes: DataFrame, documents: DataFrame, threshold: int, similarity: int, size: int, positions: int
+) -> DataFrame:
+    """Confirmed links (a, b) of classes with leaders of their buckets, asked in rounds of growing width.
+
+    Every (class, leader) is asked about, but for those that earlier rounds have put into one component.
+    """
+    open_pairs = members.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
+    links, width = None, 1
+    while True:
+        # A class has a leader per bucket at most, so its rows are few.
+        ranked = shared.stored(
+            open_pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("b").orderBy("a"))), "leaders"
+        )
+        asked = ranked.filter(F.col("_rank") <= width).select("a", "b")
+        found = _confirmed(
+            _near_signatures(asked, classes, threshold, similarity, positions), classes, documents, similarity, size
+        )
+        links = found if links is None else links.union(found)
+        rest = ranked.filter(F.col("_rank") > width).select("a", "b")
+        if rest.isEmpty():
+            return links
+        reached = shared.stored(components(links, "a", "b"), "reached")
+        for side in ("a", "b"):
+            named = reached.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+            rest = rest.join(named, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+        open_pairs = rest.filter("_a <> _b").select("a", "b")
+        width *= 8
+
+
 def near_links(
     classes: DataFrame, documents: DataFrame, similarity: int = SIMILARITY, size: int = WORDS,
     positions: int = POSITIONS, chunks: int = CHUNKS, errors: int = ERRORS, block: int = BLOCK,
@@ -454,11 +484,7 @@ def near_links(
     buckets = keys.groupBy("key").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     members = shared.stored(keys.join(buckets, "key"), "members")
 
-    # Everyone with the smallest class of the bucket.
-    star = members.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    links = _confirmed(
-        _near_signatures(star, classes, threshold, similarity, positions), classes, documents, similarity, size
-    )
+    links = _leader_links(members, classes, documents, threshold, similarity, size, positions)
 
     # Whoever is outside the largest component of its block of the bucket, with the closest class of another.
     many = members.filter("_n > 2").select("key", "class", "_n")
@@ -520,7 +546,10 @@ def resolved(
     names = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = shared.stored(linked.join(names, "component").select(*same, "component_id"), "named-classes")
     single = classes.select(*same, F.col("doc_id").alias("_own"))
-    placed = single.join(named, same, "left").select(*same, F.coalesce("component_id", "_own").alias("component_id"))
+    # Stored, so that the last join deals out both sides itself and can split a class of many copies.
+    placed = shared.stored(
+        single.join(named, same, "left").select(*same, F.coalesce("component_id", "_own").alias("component_id")), "placed-classes"
+    )
     return (
         signed.select("doc_id", "text_hash", *same).join(placed, same, "left")
         .select(

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.bindings import features, fits, joins, landing, posts, scores
+from tidepanel.bindings import experiments, features, fits, joins, landing, posts, scores
 from tidepanel.bindings.base import Tables
 
-MODULES = [joins, features, posts, landing, scores, fits]
+MODULES = [joins, features, posts, landing, scores, fits, experiments]
 
 
 def _bind(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -245,16 +245,16 @@ c AS (
     + 1 - COALESCE(SUM(n) FILTER (label = 0 AND score >= threshold), 0) / CAST(SUM(n) FILTER (label = 0) AS DOUBLE)) / 2, 10)
       AS balanced_accuracy
   FROM g, t GROUP BY 1, 2)"""
+# cumulative Poisson(1) probabilities times 65536
+POISSON_SQL = "(" + " + ".join(
+    f"CAST(u >= {s} AS INTEGER)" for s in (24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535)
+) + ")"
 BOOT_SQL = PREDICTIONS_SQL + f""", k AS (
   SELECT model, label, pred, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
          unnest(range({REPLICATES})) AS replicate FROM p),
 h AS (SELECT model, label, pred, replicate,
         CAST('0x' || substr(md5(id || '#' || replicate // 8), CAST(4 * (replicate % 8) + 1 AS BIGINT), 4) AS INTEGER) AS u FROM k),
-w AS (SELECT model, label, pred, replicate,
-        """ + " + ".join(
-    # cumulative Poisson(1) probabilities times 65536
-    f"CAST(u >= {s} AS INTEGER)" for s in (24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535)
-) + f""" AS w FROM h),
+w AS (SELECT model, label, pred, replicate, {POISSON_SQL} AS w FROM h),
 b AS (
   SELECT model, CAST(replicate AS INTEGER) AS replicate, CAST(SUM(w) AS BIGINT) AS n,
     SUM(w) FILTER (label = pred) / CAST(SUM(w) AS DOUBLE) AS accuracy, {recall_sql('w')} AS balanced_accuracy

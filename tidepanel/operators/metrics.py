@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,12 +132,17 @@ POISSON_STEPS = [24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535]
 DRAWS_PER_HASH = 8
 
 
-def poisson_draw(digits: Column) -> Column:
-    """Poisson(1) count for a uniform draw of four hex digits; they compare like the number."""
-    draw = F.when(digits < f"{POISSON_STEPS[0]:04x}", F.lit(0))
-    for k, step in enumerate(POISSON_STEPS[1:], start=1):
-        draw = draw.when(digits < f"{step:04x}", F.lit(k))
-    return draw.otherwise(F.lit(len(POISSON_STEPS)))
+def poisson_table() -> np.ndarray:
+    """Poisson(1) count of every 16-bit draw."""
+    return np.searchsorted(np.array(POISSON_STEPS), np.arange(1 << 16), side="right").astype(np.uint8)
+
+
+def replicate_weights(keys: Iterable[str], replicates: int, table: np.ndarray) -> np.ndarray:
+    """Rows by replicates: Poisson(1) counts from MD5 of key, ``#`` and block, two bytes a replicate."""
+    blocks = [b"#%d" % b for b in range(-(-replicates // DRAWS_PER_HASH))]
+    md5 = hashlib.md5
+    drawn = b"".join(md5(key + block).digest() for key in (k.encode() for k in keys) for block in blocks)
+    return table[np.frombuffer(drawn, ">u2").reshape(-1, len(blocks) * DRAWS_PER_HASH)[:, :replicates]]
 
 
 def bootstrap_metrics(
@@ -142,33 +151,190 @@ def bootstrap_metrics(
     """Class metrics of every bootstrap replicate.
 
     A row's weight in a replicate is a Poisson(1) count drawn from a hash of the row key, so reruns
-    and retried tasks draw the same sample. One MD5 serves eight replicates: a row is repeated once
-    per hash, and the eight weights are summed per confusion cell on the map side.
+    and retried tasks draw the same sample. Tasks add up the weights of all replicates per confusion cell and
+    batch; only those sums are shuffled. Rows without a key take no part.
     """
-    blocks = -(-replicates // DRAWS_PER_HASH)
-    hashed = (
-        frame.select(*by, "label", "pred", row_key.cast("string").alias("_key"))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(*by, "label", "pred", "_block", F.md5(F.concat("_key", F.lit("#"), "_block")).alias("_h"))
-    )
-    sums = [
-        F.sum(poisson_draw(F.substring("_h", 4 * k + 1, 4))).alias(f"_w{k}")
-        for k in range(DRAWS_PER_HASH)
-    ]
-    per_block = hashed.groupBy(*by, "label", "pred", "_block").agg(*sums)
-    unfolded = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    (F.col("_block") * DRAWS_PER_HASH + k).alias("replicate"),
-                    F.col(f"_w{k}").alias("n"),
+    cell = [*by, "label", "pred"]
+    rows = frame.select(*cell, row_key.cast("string").alias("_key")).filter(F.col("_key").isNotNull())
+    table = poisson_table()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            number = batch.groupby(cell, dropna=False, sort=False).ngroup().to_numpy()
+            weights = replicate_weights(batch["_key"], replicates, table)
+            order = np.argsort(number, kind="stable")
+            starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+            sums = np.add.reduceat(weights[order], starts, axis=0, dtype=np.int64)
+            yield batch.iloc[order[starts]][cell].assign(_w=list(sums))
+
+    kinds = T.StructType([frame.schema[c] for c in cell]).add("_w", T.ArrayType(T.LongType()))
+    sums = rows.mapInPandas(run, kinds).select(*cell, F.posexplode("_w").alias("replicate", "n"))
+    cells = sums.groupBy(*cell, "replicate").agg(F.sum("n").alias("n"))
+    return class_metrics(cells, [*by, "replicate"])
+
+
+class _Curve:
+    """Weights of one group in one task, in order of score: the first and the last score apart, the rest added up."""
+
+    def __init__(self, replicates: int):
+        self.first = self.open = None
+        self.middle = np.zeros((3, replicates), np.int64)  # positives, negatives, twice the pairs won
+
+    def close(self, score: float, positives: np.ndarray, negatives: np.ndarray) -> None:
+        if self.first is None:
+            self.first = (score, positives, negatives)
+        else:
+            self.middle[2] += positives * (2 * self.middle[1] + negatives)
+            self.middle[0] += positives
+            self.middle[1] += negatives
+
+    def add(self, scores: np.ndarray, positives: np.ndarray, negatives: np.ndarray) -> None:
+        """Sums per distinct score, ascending; the last one stays open for the next batch."""
+        if self.open is not None and self.open[0] == scores[0]:
+            positives[0] += self.open[1]
+            negatives[0] += self.open[2]
+        elif self.open is not None:
+            self.close(*self.open)
+        done = len(scores) - 1
+        at = 0
+        if done and self.first is None:
+            self.close(scores[0], positives[0], negatives[0])
+            at = 1
+        if at < done:
+            p, n = positives[at:done], negatives[at:done]
+            below = np.cumsum(n, axis=0) - n + self.middle[1]
+            self.middle[2] += (p * (2 * below + n)).sum(axis=0)
+            self.middle[0] += p.sum(axis=0)
+            self.middle[1] += n.sum(axis=0)
+        self.open = (scores[done], positives[done], negatives[done])
+
+    def pieces(self) -> Iterator[tuple[int, float | None, np.ndarray, np.ndarray, np.ndarray | None]]:
+        if self.first is not None:
+            yield 0, self.first[0], self.first[1], self.first[2], None
+            yield 1, None, *self.middle
+        yield 2, self.open[0], self.open[1], self.open[2], None
+
+
+def bootstrap_auc(
+    frame: DataFrame, by: list[str], row_key: Column, replicates: int = 200, score: str = "score", label: str = "label"
+) -> DataFrame:
+    """AUC of every bootstrap replicate, ties at half: (by, replicate, auc), all replicates in one pass over sorted rows.
+
+    Rows are dealt out by ranges of (by, score) and sorted; a task carries a vector of replicate weights through its
+    cumulative sums and returns three pieces per group: its first score, its last score, and the pairs won in between.
+    The pieces, some per task, are then put together in order, scores that several tasks share as one. So a score that many rows
+    share may be spread over tasks. Weights are those of ``bootstrap_metrics``: the same rows weigh the same in every model.
+    Rows without score, key or a label of 0 or 1 take no part; a replicate with one class has a NULL AUC.
+    """
+    value = F.col(score).cast("double")
+    rows = frame.select(*by, value.alias("_score"), F.col(label).cast("int").alias("_label"), row_key.cast("string").alias("_key")).filter(
+        F.col("_score").isNotNull() & ~F.isnan("_score") & F.col("_key").isNotNull() & F.col("_label").isin(0, 1)
+    ).withColumn("_score", F.col("_score") + F.lit(0.0))
+    dealt = rows.repartitionByRange(*by, "_score", F.xxhash64("_key")).sortWithinPartitions(*by, "_score")
+    table = poisson_table()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        curves: dict[tuple, _Curve] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            groups = batch.groupby(by, dropna=False, sort=False) if by else [((), batch)]
+            for key, part in groups:
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                weights = replicate_weights(part["_key"], replicates, table).astype(np.int64)
+                scores, up = part["_score"].to_numpy(), part["_label"].to_numpy() == 1
+                starts = np.flatnonzero(np.append(True, scores[1:] != scores[:-1]))
+                curves.setdefault(key, _Curve(replicates)).add(
+                    scores[starts], np.add.reduceat(weights * up[:, None], starts, axis=0),
+                    np.add.reduceat(weights * ~up[:, None], starts, axis=0),
                 )
-                for k in range(DRAWS_PER_HASH)
-            ]
-        )
+        number = TaskContext.get().partitionId()
+        out = [(*key, number, *piece) for key, curve in curves.items() for piece in curve.pieces()]
+        yield pd.DataFrame(out, columns=[*by, "_task", "_kind", "_score", "_pos", "_neg", "_won"])
+
+    longs = T.ArrayType(T.LongType())
+    kinds = T.StructType([frame.schema[c] for c in by])
+    pieces = kinds.fields + [
+        T.StructField("_task", T.IntegerType()), T.StructField("_kind", T.IntegerType()), T.StructField("_score", T.DoubleType()),
+        T.StructField("_pos", longs), T.StructField("_neg", longs), T.StructField("_won", longs),
+    ]
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        below, positives, won = (np.zeros(replicates) for _ in range(3))
+        waiting = None
+        for row in [*group.sort_values(["_task", "_kind"]).itertuples(index=False), None]:
+            single = row is not None and row[len(by) + 1] != 1
+            if single:
+                s, p, n = row[len(by) + 2], np.asarray(row[len(by) + 3], float), np.asarray(row[len(by) + 4], float)
+                if waiting is not None and waiting[0] == s:
+                    waiting = (s, waiting[1] + p, waiting[2] + n)
+                    continue
+            if waiting is not None:
+                won += waiting[1] * (2 * below + waiting[2])
+                positives += waiting[1]
+                below += waiting[2]
+                waiting = None
+            if single:
+                waiting = (s, p, n)
+            elif row is not None:
+                p, n, w = (np.asarray(v, float) for v in row[len(by) + 3 :])
+                won += w + 2 * p * below
+                positives += p
+                below += n
+        pairs = positives * below
+        auc_of = [float(w / 2 / x) if x else None for w, x in zip(won, pairs, strict=True)]
+        keys = {c: [group[c].iloc[0]] * replicates for c in by}
+        return pd.DataFrame({**keys, "replicate": np.arange(replicates, dtype=np.int32), "auc": pd.Series(auc_of, dtype="float64")})
+
+    done = dealt.mapInPandas(run, T.StructType(pieces))
+    result = T.StructType([*kinds.fields, T.StructField("replicate", T.IntegerType()), T.StructField("auc", T.DoubleType())])
+    # Pieces: some per task and group, whatever the rows.
+    return done.groupBy(*by).applyInPandas(merge, result)
+
+
+def bootstrap_auc_interval(
+    frame: DataFrame, by: list[str], row_key: Column, replicates: int = 200, level: float = 0.95
+) -> DataFrame:
+    """Percentile interval of the AUC: (by, mean, low, high)."""
+    return _interval(bootstrap_auc(frame, by, row_key, replicates), by, "auc", level)
+
+
+def bootstrap_auc_difference(
+    frame: DataFrame, by: list[str], row_key: Column, first: str, second: str, replicates: int = 200, level: float = 0.95,
+    model: str = "model",
+) -> DataFrame:
+    """Interval of AUC(first) - AUC(second) over the same replicates: (by, mean, low, high, share_above).
+
+    ``share_above`` is the share of replicates in which the first model is better.
+    """
+    wanted = frame.filter(F.col(model).isin(first, second))
+    drawn = bootstrap_auc(wanted, [*by, model], row_key, replicates)
+    pick = lambda name: F.max(F.when(F.col(model) == name, F.col("auc")))
+    paired = drawn.groupBy(*by, "replicate").agg((pick(first) - pick(second)).alias("difference"))
+    return _interval(paired, by, "difference", level, F.avg((F.col("difference") > 0).cast("int")).alias("share_above"))
+
+
+def _interval(replicated: DataFrame, by: list[str], value: str, level: float, *more: Column) -> DataFrame:
+    tail = (1.0 - level) / 2
+    return replicated.groupBy(*by).agg(
+        F.avg(value).alias("mean"), F.percentile(value, F.lit(tail)).alias("low"),
+        F.percentile(value, F.lit(1.0 - tail)).alias("high"), *more,
     )
-    cells = per_block.select(*by, "label", "pred", unfolded).filter(F.col("replicate") < replicates)
-    return class_metrics(cells, [*by, "replicate"])
+
+
+def one_vs_rest_auc(frame: DataFrame, by: list[str], classes: int, scores: str = "scores", label: str = "label") -> DataFrame:
+    """(by, class, auc): every class against the others by its entry of the array ``scores``.
+
+    One pass over the rows gives counts per (class, score); NULL where a class, or every other, does not occur.
+    """
+    sides = F.transform(
+        F.sequence(F.lit(0), F.lit(classes - 1)),
+        lambda c: F.struct(c.alias("class"), F.get(F.col(scores), c).alias("_score"), (F.col(label) == c).cast("int").alias("_is")),
+    )
+    long = frame.filter(F.col(label).isNotNull()).select(*by, F.inline(sides))
+    return auc(long, [*by, "class"], "_score", "_is")
 
 
 def bootstrap_interval(
@@ -176,12 +342,7 @@ def bootstrap_interval(
     replicates: int = 200, level: float = 0.95,
 ) -> DataFrame:
     """Percentile interval of a metric; the quantiles run over the replicates, not the rows."""
-    tail = (1.0 - level) / 2
-    return bootstrap_metrics(frame, by, row_key, replicates).groupBy(*by).agg(
-        F.avg(metric).alias("mean"),
-        F.percentile(metric, F.lit(tail)).alias("low"),
-        F.percentile(metric, F.lit(1.0 - tail)).alias("high"),
-    )
+    return _interval(bootstrap_metrics(frame, by, row_key, replicates), by, metric, level)
 
 
 def delong(

@@ -97,7 +97,7 @@ def fit_forest(frame: DataFrame, features: list[str], settings: dict) -> Fitted:
     """Random forest with balanced weights. Splits are binned; like, not equal to, exact splits."""
     model = RandomForestClassifier(
         numTrees=settings.get("trees", 500), maxDepth=settings.get("depth", 10),
-        minInstancesPerNode=settings.get("leaf", 10),
+        minInstancesPerNode=settings.get("leaf", 10), maxMemoryInMB=settings.get("memory_mb", 1024),
         featureSubsetStrategy=str(settings.get("share", 0.5)), weightCol="weight",
         seed=settings.get("seed", SEED),
     ).fit(_assemble(frame, features))
@@ -201,6 +201,21 @@ def prepare(frame: DataFrame, fit_where: Column, features: list[str], scale: boo
     return filled
 
 
+#: Rows of a partition of prepared fit rows; an iterative fit runs a task per partition in every pass.
+ROWS_PER_PARTITION = 100_000
+
+
+def stored_small(frame: DataFrame) -> DataFrame:
+    """The prepared rows, stored once for many fits and in no more partitions than their number needs.
+
+    Every pass of a solver, and every level of trees, runs a task per partition: thousands of rows in many
+    partitions would be all overhead. Large frames keep their partitions.
+    """
+    kept = durable(frame)
+    wanted = max(1, -(-kept.count() // ROWS_PER_PARTITION))
+    return kept.coalesce(wanted) if wanted < kept.rdd.getNumPartitions() else kept
+
+
 def _in_parallel(spark: SparkSession, jobs: list[Callable], parallelism: int) -> list:
     """Run independent Spark jobs from a few driver threads."""
     if parallelism <= 1 or len(jobs) <= 1:
@@ -246,17 +261,17 @@ def benchmark(
     )
 
     def one(name: str, stage: str, prepared: DataFrame):
-        fit_rows = prepared.filter(F.col("split").isin(STAGES[stage]))
-        fitted = FAMILIES[family](with_class_weights(fit_rows), sets[name], settings)
+        fitted = FAMILIES[family](weighted[stage], sets[name], settings)
         rows = prepared.filter(F.col("split") == stage).select(*keys, "label", *sets[name])
         scored = fitted.score(rows).select(
             F.lit(name).alias("model"), F.lit(stage).alias("stage"), *keys, "label", "pred", "score"
         )
         return name, stage, fitted, scored
 
-    jobs = []
+    jobs, weighted = [], {}
     for stage in stages:
-        prepared = prepare(base, F.col("split").isin(STAGES[stage]), features, family in SCALED)
+        prepared = stored_small(prepare(base, F.col("split").isin(STAGES[stage]), features, family in SCALED))
+        weighted[stage] = stored_small(with_class_weights(prepared.filter(F.col("split").isin(STAGES[stage]))))
         jobs += [lambda n=name, s=stage, p=prepared: one(n, s, p) for name in sets]
     done = _in_parallel(frame.sparkSession, jobs, parallelism)
 
@@ -361,10 +376,10 @@ def grid_search(
 ) -> DataFrame:
     """Every combination of settings, chosen on validation only: (settings, metrics), best first."""
     names = list(grid)
-    prepared = prepare(
+    prepared = stored_small(prepare(
         durable(frame), F.col("split") == "train", features, family in SCALED
-    ).withColumn("label", F.col("target").cast("int"))
-    fit_rows = with_class_weights(prepared.filter("split = 'train'"))
+    ).withColumn("label", F.col("target").cast("int")))
+    fit_rows = stored_small(with_class_weights(prepared.filter("split = 'train'")))
     rows = prepared.filter("split = 'validation'").select(*keys, "label", *features)
 
     def one(values: tuple):

@@ -7,7 +7,7 @@ partition and be broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.contract import GAP_DATES, MIN_VALIDATION_DATES, TEST_SIZE
@@ -99,3 +99,32 @@ def fold_rows(frame: DataFrame, folds: DataFrame, fold: int, date: str = "date")
     """Rows of one fold with their role."""
     dates = folds.filter(F.col("fold") == fold).select(date, "role")
     return frame.join(F.broadcast(dates), date)
+
+
+def nested_folds(
+    frame: DataFrame, outer: int = 3, inner: int = 3, min_train_fraction: float = 0.4, gap: int = GAP_DATES,
+    date: str = "date",
+) -> DataFrame:
+    """(date, outer, inner, role): walk-forward windows, each with walk-forward folds of its own training dates.
+
+    The outer windows are those of ``walk_forward``; ``inner`` -1 marks their own roles, train and test. Within
+    the training dates of an outer window the same rule gives the inner folds, with the roles train and
+    validation. So no date of an outer test block, nor of the gap before it, is in any of its inner folds.
+    """
+    n, i = F.col("n"), F.col("i")
+
+    def blocks(many: Column, count: int, number: Column) -> tuple[Column, Column]:
+        base = F.floor(many * F.lit(min_train_fraction))
+        size = F.floor((many - base) / F.lit(count))
+        start = base + number * size
+        return start, F.when(number == count - 1, many).otherwise(start + size)
+
+    start, stop = blocks(n, outer, F.col("outer"))
+    windows = date_index(frame, date).withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(outer - 1)))).select(
+        date, "i", "outer", start.alias("_start"), stop.alias("_stop"), F.greatest(start - gap, F.lit(0)).alias("_known")
+    ).withColumn("inner", F.explode(F.sequence(F.lit(-1), F.lit(inner - 1))))
+    first, last = blocks(F.col("_known"), inner, F.col("inner"))
+    own = F.when(i < F.col("_known"), "train").when((i >= F.col("_start")) & (i < F.col("_stop")), "test")
+    nested = F.when(i < first - gap, "train").when((i >= first) & (i < last), "validation")
+    role = F.when(F.col("inner") < 0, own).otherwise(nested)
+    return windows.select(date, "outer", "inner", role.alias("role")).filter(F.col("role").isNotNull())

@@ -372,7 +372,7 @@ def backward_selection(
 
 def grid_search(
     frame: DataFrame, features: list[str], family: str, grid: dict[str, list],
-    keys: list[str] = ("ticker", "date"), parallelism: int = 4,
+    keys: list[str] = ("ticker", "date"), parallelism: int = 8,
 ) -> DataFrame:
     """Every combination of settings, chosen on validation only: (settings, metrics), best first."""
     names = list(grid)

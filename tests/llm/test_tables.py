@@ -150,6 +150,66 @@ def test_words_of_chrome_inside_an_article():
     assert "Related" in got and got.count("Sentence number one") == 8 and "Market." in got and "Share it." not in got
 
 
+WRAPPERS = [
+    "<div data-id='nav-1'>", "<div data-role=search>", "<div title='my id=ad here'>", "<p data-hidden=x>", "<div style='overflow: hidden ;'>",
+    "<div style='overflow:hidden !important'>", "<div class='layout has-sidebar'>", "<div class='container overflow-hidden'>",
+    "<div class=social-history>", "<section id=search-theory>", "<my-article>", "<div class=widget>", "<form id=aspnetForm><div>", "<div hidden>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_keep_their_article(wrapper):
+    menu = "<div class=menu><a href=/>Home</a> <a href=/a>About</a></div><div class=ad>Buy this now.</div>"
+    page = f"<body>{menu}{wrapper}<p>One. {LONG}</p><p>Two. {LONG}</p></div><div class='site-nav'><a href=/>Top</a></div><div class=comments><p>Nice!</p></div>"
+    assert extract.main_text(page) == f"One. {LONG.strip()}\nTwo. {LONG.strip()}"
+
+
+def test_lists_of_terms_and_custom_elements_leave_menus_out():
+    terms = "".join(f"<dt>Term {i}<dd>{LONG}" for i in range(3))
+    menu = "<div><a href=/1>A</a> <a href=/2>B</a> <a href=/3>C</a> <a href=/4>D</a></div>"
+    for page in (f"{menu}<dl>{terms}</dl>", f"{menu}<x-page><p>{LONG}</p><p>{LONG}</p></x-page>"):
+        got = extract.main_text(page)
+        assert "A B" not in got and got.count("Sentence number one") in (8, 12)
+
+
+def test_adverts_of_a_short_page_stay_out():
+    assert extract.main_text(f"<div class=ad>{LONG}</div><article><p>Short.</article>") == "Short."
+    assert extract.main_text(f"<div class=ad>{LONG}</div>") == "" == extract.main_text(f"<div class=comments><p>{LONG}<p>{LONG}</div>")
+
+
+def plain_sums(node, share):
+    """Characters, tags, link characters, link tags, density of an element, and (element, sum) of all below: by recursion."""
+    chars = tags = link_chars = link_tags = 0
+    total, below = 0.0, []
+    for child in node.children:
+        if isinstance(child, str):
+            if child.strip():
+                chars += len(child)
+                total += len(child)
+            continue
+        c, t, lc, lt, density, sums = plain_sums(child, share)
+        chars, tags, link_chars, link_tags, total = chars + c, tags + t + 1, link_chars + lc, link_tags + lt, total + density
+        below += sums
+    if node.tag == "a":
+        link_chars, link_tags = chars, tags + 1
+    density = 0.0
+    if chars:
+        base = np.log(chars / max(1, chars - link_chars) * link_chars + share * chars + np.e)
+        density = chars / max(1, tags) * max(0.0, np.log(chars / max(1, link_chars) * max(1, tags) / max(1, link_tags))) / base
+    return chars, tags, link_chars, link_tags, density, [*below, (node, total)]
+
+
+def test_sums_equal_plain_recursion():
+    page = f"<div><p>{LONG}<a href=x>link <b>bold</b></a></p><ul><li><a href=y>one</a><li>two</ul></div><my-box>own text<div>{LONG}</div></my-box>"
+    root = extract.tree(page)
+    order = extract.measure(root)
+    share = root.link_chars / root.chars
+    found = {id(n): (n, s) for n, s in plain_sums(root, share)[5]}
+    assert len(found) == len(order) and root.density == pytest.approx(plain_sums(root, share)[4])
+    for node in order:
+        assert node.total == pytest.approx(found[id(node)][1] if node.container else 0.0)
+
+
 def test_deep_and_long_pages():
     assert extract.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     body = "".join(f"<p>paragraph {i} with some words" for i in range(20_000))

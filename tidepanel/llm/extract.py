@@ -5,10 +5,13 @@ characters and tags belong to links. An element's sum is that of its children's
 with the largest sum below the body is the article; the least density on its path up to the body is
 the threshold at which other branches of the page are searched for further parts, whatever their tags;
 a branch below it that only wraps one element is judged by that element. Only containers compete for the
-sum: a paragraph or an inline element is text, not an article. Menus, headers,
-footers, sidebars, notices, adverts, forms, comments and code are taken out of the tree first, by their
-tags and by the words of their classes, ids and roles; inside an article only by whole names, and headings
-and sections there never by their ids.
+sum: a paragraph or an inline element is text, not an article.
+
+Menus, headers, footers, sidebars, code and other parts beside the article are left out of the tree by their tags. Names
+(classes, ids, roles) are evidence only, weighed on the tree's own characters outside links: a whole name such as ``ad``
+takes its element out, unless the element holds most of the page, with paragraphs, and little is left without it (then
+it wraps the article). A part of a name, as in ``site-nav`` or ``has-sidebar``, takes out an element of less than ``PART_SHARE``
+of the page, outside an article. Headings and sections in an article are never judged by their ids.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ TOKEN = re.compile(
 RAW_END = {
     name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in ("script", "style", "textarea", "title", "xmp", "noembed", "noframes")
 }
-ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?=[\s/]|\Z))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 # Elements of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,11 +47,11 @@ BLOCK = frozenset(
     "table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = frozenset(
-    "applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input "
+    "applet aside audio button canvas datalist dialog embed footer frame frameset head iframe input "
     "label map math menu nav noembed noframes noscript object optgroup option script select style svg template "
     "textarea title video xmp".split()
 )
-CONTAINERS = frozenset("article body center div main section td".split())
+CONTAINERS = frozenset("article body center div dl form main section td".split())
 ENDS_P = BLOCK - {"br", "body", "html", "option", "select", "td", "th", "tr", "tbody", "thead", "tfoot"}
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -66,37 +69,103 @@ CHROME = frozenset(
     "recommended recommendations complementary contentinfo search skip hidden".split()
 )
 ANCHORED = frozenset("section h1 h2 h3 h4 h5 h6".split())
+READERS = frozenset("comment comments commentlist respond replies reply disqus discussion".split())
 HEADER_WORDS = frozenset(("header", "masthead", "site-header", "banner"))
 
 
+#: What a name says of an element: nothing, perhaps beside the article, beside it, from readers.
+NONE, PART, WHOLE, READER = range(4)
+#: Shares of the page's characters outside links: a part of a name counts below the first; an element of a whole name that holds
+#: more than the second is kept if less than the third is left without it.
+PART_SHARE, MOST, LITTLE = 0.1, 0.5, 0.2
+
+
 class Node:
-    __slots__ = ("tag", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "mark")
+
+    def __init__(self, tag: str, mark: int = NONE):
+        self.tag, self.children, self.mark = tag, [], mark
 
-    def __init__(self, tag: str):
-        self.tag, self.children = tag, []
+    @property
+    def plain(self) -> int:
+        """Characters outside links."""
+        return self.chars - self.link_chars
 
+    @property
+    def container(self) -> bool:
+        """Whether it may be the article: also an element of the page's own making."""
+        return self.tag in CONTAINERS or "-" in self.tag
 
-def _chrome(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag == "header":
-        return not inside_article
+
+def _evidence(tag: str, attributes: str, inside_article: bool) -> int:
+    """What the element's class, id, role or hidden attribute says of it."""
+    if tag in ("form", "fieldset"):
+        return WHOLE
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return NONE
+    found = NONE
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("hidden", "aria-hidden"):
-            if name == "hidden" or value == "true":
-                return True
-            continue
-        if inside_article and name == "id" and tag in ANCHORED:
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            found = max(found, WHOLE)
+        if name not in ("class", "id", "role") or inside_article and name == "id" and tag in ANCHORED:
             continue
         for word in value.split():
-            if word in HEADER_WORDS and not inside_article:
-                return True
-            if word in CHROME or not inside_article and not CHROME.isdisjoint(re.split(r"[-_]+", word)):
-                return True
+            if word in READERS:
+                return READER
+            if word in CHROME or word in HEADER_WORDS and not inside_article:
+                found = max(found, WHOLE)
+            elif not inside_article and not CHROME.isdisjoint(re.split(r"[-_]+", word)):
+                found = max(found, PART)
+    return found
+
+
+def _wraps(node: Node) -> bool:
+    """Whether an element holds an article of its own or two paragraphs."""
+    paragraphs, stack = 0, [node]
+    while stack:
+        at = stack.pop()
+        paragraphs += at.tag == "p" and at.plain > 0
+        if paragraphs > 1 or at.tag in ("article", "main") and at.plain > 0:
+            return True
+        stack.extend(c for c in at.children if type(c) is Node and c.mark != READER)
     return False
 
 
+def _outermost(root: Node) -> list[Node]:
+    """Marked elements that are in no other marked one."""
+    found, stack = [], [root]
+    while stack:
+        for child in stack.pop().children:
+            if type(child) is Node:
+                (found if child.mark else stack).append(child)
+    return found
+
+
+def pruned(root: Node) -> Node:
+    """The tree without the elements that their names put beside the article."""
+    count(root)
+    page = root.plain
+    marked = _outermost(root)
+    while True:
+        kept = [n for n in marked if n.mark == PART and n.plain >= PART_SHARE * page]
+        if not kept and page - sum(n.plain for n in marked) < LITTLE * page:
+            large = max((n for n in marked if n.mark != READER), key=lambda n: n.plain, default=None)
+            kept = [large] if large is not None and large.plain > MOST * page and _wraps(large) else []
+        if not kept:
+            break
+        for node in kept:
+            node.mark = NONE
+        marked = [n for n in marked if n.mark] + [n for node in kept for n in _outermost(node)]
+    gone = {id(n) for n in marked}
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if type(c) is not Node or id(c) not in gone]
+        stack.extend(c for c in node.children if type(c) is Node)
+    return root
+
+
 def tree(page: str) -> Node:
     """The page as elements and texts; dropped elements are left out with all they hold.
 
@@ -169,16 +238,16 @@ def tree(page: str) -> Node:
                     cut = depth
             if cut:
                 del stack[cut:]
-        if tag in DROPPED or _chrome(tag, attributes, articles > 0):
+        if tag in DROPPED or tag == "header" and not articles:
             if tag not in VOID:
                 skipped.append(tag)
             continue
-        node = Node(tag)
+        node = Node(tag, _evidence(tag, attributes, articles > 0))
         stack[-1].children.append(node)
         if tag not in VOID:
             stack.append(node)
             articles += tag in ("article", "main")
-    return root
+    return pruned(root)
 
 
 def _post_order(root: Node) -> list[Node]:
@@ -191,11 +260,8 @@ def _post_order(root: Node) -> list[Node]:
     return order[::-1]
 
 
-def measure(root: Node) -> list[Node]:
-    """Set characters, tags, density and children's sum of every element; returns them, parents last.
-
-    A container's own text counts in its sum as a child of one tag. An element without text has density 0. Ratios take 1 for a missing denominator.
-    """
+def count(root: Node) -> list[Node]:
+    """Set characters and tags, those of links among them, of every element; returns them, parents last."""
     order = _post_order(root)
     for node in order:
         chars = tags = link_chars = link_tags = 0
@@ -210,10 +276,20 @@ def measure(root: Node) -> list[Node]:
         if node.tag == "a":
             link_chars, link_tags = chars, tags + 1
         node.chars, node.tags, node.link_chars, node.link_tags = chars, tags, link_chars, link_tags
+    return order
+
+
+def measure(root: Node) -> list[Node]:
+    """Set density and children's sum of every element too; returns them, parents last.
+
+    A container's own text counts in its sum as a child of one tag. An element without text has density 0. Ratios take 1
+    for a missing denominator.
+    """
+    order = count(root)
     share = root.link_chars / max(1, root.chars)
     for node in order:
         node.density = composite(node.chars, node.tags, node.link_chars, node.link_tags, share)
-        node.total = 0.0 if node.tag not in CONTAINERS else sum(
+        node.total = 0.0 if not node.container else sum(
             child.density if type(child) is Node else 0 if child.isspace() else len(child) for child in node.children
         )
     return order
@@ -327,5 +403,9 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, main text and its code points."""
+    """page_id, url, main text and its code points, one row per row of ``pages`` (page_id, url, html).
+
+    A NULL or empty page, and one without text, has an empty text of 0 characters. Rows may repeat, ids may be NULL or repeat.
+    Pages are read whole, however long or deep. Other columns are passed over, whatever their names; no pages give no rows.
+    """
     return extract(pages.select("page_id", "url", "html")).withColumn("n_chars", F.char_length("text").cast("bigint"))

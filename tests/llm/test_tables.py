@@ -38,6 +38,18 @@ def test_archive_round_trip(spark):
     assert warc.archive_pages(frame.limit(0)).count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    rows = [(i, "u" * 40, "x" * (200 if i % 10 else 60_000 + i)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archive(frame, str(tmp_path), file_bytes=1 << 17, small_record=1 << 12)
+    files = warc.read_files(spark, str(tmp_path))
+    sizes = [r.length for r in files.select("length").collect()]
+    assert max(sizes) <= 1 << 17 and len(sizes) > 3
+    records = warc.read_archive(files, keep_payload=False)
+    got = {r.page_id: r.payload_bytes for r in warc.page_records(records).collect()}
+    assert got == {i: len(h) for i, _, h in rows}
+
+
 def test_repeated_and_missing_keys(spark):
     rows = [(4, "u", "x"), (4, "u", "x"), (None, "u", "x"), (None, None, "y")]
     got = warc.archive_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()

@@ -203,12 +203,16 @@ def mix_documents(documents: DataFrame) -> DataFrame:
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them; columns stay."""
+    """The documents as often as the mix takes them; columns stay, whatever their names.
+
+    Documents of one id, source and size are numbered by the hash of their text, so a rerun takes the same ones; of equal
+    texts it does not matter which is taken. NULL ids, sources and texts count as values; no documents give no rows.
+    """
     own = shared.free_prefix(documents.columns)
     planned = plan(document_sizes(documents)).filter("copies > 0").select(
         *(F.col(c).alias(f"{own}{c}") for c in ("doc_id", "source", "size", "n", "copies"))
     )
-    same = Window.partitionBy("doc_id", "source", f"{own}words").orderBy(F.lit(0))
+    same = Window.partitionBy("doc_id", "source", f"{own}words").orderBy(F.xxhash64("text"))
     rows = documents.withColumn(f"{own}words", shared.digest_words(F.col("text"))).withColumn(
         f"{own}row", F.row_number().over(same)
     )

@@ -20,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import shared
@@ -31,7 +31,8 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
 START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)")
-RECORDS_PER_FILE = 1024
+#: Bytes of an archive file, and of the records in the first size class.
+FILE_BYTES, SMALL_RECORD = 64 << 20, 64 << 10
 HEADER_BYTES = 65_536
 INFLATE_BYTES = 65_536
 
@@ -100,12 +101,13 @@ def record_text(key: Column, url: Column, payload: Column, digest: Column, refer
 
 def write_archive(
     pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html",
-    minimum_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE,
+    minimum_bytes: int = 0, file_bytes: int = FILE_BYTES, small_record: int = SMALL_RECORD,
 ) -> None:
-    """Write a record per row under ``path``; NULL html is an empty payload.
+    """Write a record per row under ``path``, in files of ``file_bytes`` at most; NULL html is an empty payload.
 
-    Equal payloads are found on their digests; texts are not shuffled while the repeated digests fit
-    a broadcast of checked size.
+    Rows are written by size class, each twice as large as the one before, a folder and a bound of records per file for
+    each class that occurs; a file of a larger record holds that alone. Equal payloads are found on their digests; texts
+    are not shuffled while the repeated digests fit a broadcast of checked size. Rows and keys may repeat or be NULL.
     """
     rows = pages.select(
         F.col(key).alias("_key"), F.col(url).alias("_url"),
@@ -114,15 +116,31 @@ def write_archive(
         {"payload_digest": base32_sha1(F.col("_payload").cast("binary")),
          "payload_bytes": F.octet_length("_payload").cast("bigint")}
     )
-    (
-        mark_revisits(rows, "_key", minimum_bytes)
-        .select(
-            record_text(
-                F.col("_key"), F.col("_url"), F.col("_payload"), F.col("payload_digest"), F.col("refers_to")
-            ).alias("value")
-        )
-        .write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    # Header fields besides the url stay below 2 KiB; a url may grow threefold when it is cleaned.
+    most = F.col("payload_bytes") + 3 * F.coalesce(F.octet_length("_url"), F.lit(0)) + 2048
+    sized = mark_revisits(rows, "_key", minimum_bytes).withColumn(
+        "_class", F.greatest(F.lit(0), F.ceil(F.log2(most / F.lit(float(small_record))))).cast("int")
     )
+    plain = pages.select(
+        F.col(url).alias("_url"), F.coalesce(F.octet_length(html), F.lit(0)).cast("bigint").alias("payload_bytes")
+    ).select(F.greatest(F.lit(0), F.ceil(F.log2(most / F.lit(float(small_record))))).cast("int").alias("_class"))
+    for row in plain.distinct().orderBy("_class").collect():  # a class per power of two
+        records = max(1, file_bytes // (small_record << row["_class"]))
+        (
+            sized.filter(F.col("_class") == row["_class"])
+            .select(
+                record_text(
+                    F.col("_key"), F.col("_url"), F.col("_payload"), F.col("payload_digest"), F.col("refers_to")
+                ).alias("value")
+            )
+            .write.option("lineSep", END).option("maxRecordsPerFile", records).text(f"{path}/size-{row['_class']}")
+        )
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The archive files below a folder as binary rows; a folder that no class was written to has none."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true")
+    return found.load(path)
 
 
 # --- reading --------------------------------------------------------------------------------------
@@ -321,7 +339,7 @@ def page_records(records: DataFrame) -> DataFrame:
     """One row per page record: a revisit takes length and digest from the response it refers to.
 
     The response is found by digest and, of equal ids, one row; the lengths of responses that revisits
-    need are narrow columns, joined by record id.
+    need are narrow columns, joined by payload digest.
     """
     rows = records.filter(F.col("kind") == "record").select(
         _page_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
@@ -342,10 +360,17 @@ def _page_id(name: Column) -> Column:
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Write the pages as archives to the shared folder, salvage them, and describe every record."""
+    """Write the pages as archives to the shared folder, salvage them, and describe every record.
+
+    One row per row of ``pages`` (page_id, url, html), repeated ones and those with a NULL id included; a NULL html is an
+    empty payload. Pages may be of any length. No pages give no rows. Other columns are passed over, whatever their names.
+    """
     spark = pages.sparkSession
     path = shared.fresh_path(spark, "warc")
     write_archive(pages, path)
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    if pages.isEmpty():
+        archives = spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
+    else:
+        archives = read_files(spark, path)
     records = shared.stored(read_archive(archives, keep_payload=False), "warc-records")
     return page_records(records)

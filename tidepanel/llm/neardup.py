@@ -14,10 +14,10 @@ lies beyond it once in some hundred thousand times, and far more rarely at highe
 Work per bucket stays small without leaving pairs out:
 
 1. Documents with equal sets are one class; from here on classes are compared.
-2. Every class meets the smallest classes of its buckets, its leaders: first one leader, then eight of those left,
-   then 64 and so on. Pairs within the threshold are confirmed on the full sets, and links found are joined into components after
-   each round; a leader in a class's own component is left from then on. So a group of near copies costs about one
-   pair a class, however many buckets they share, and no bucket is left out.
+2. Every class meets the smallest class of one of its buckets, a leader. Pairs within the threshold are confirmed on the full
+   sets, and links found are joined into components. Of the pairs with other leaders, those that lead from one
+   component to another are asked in rounds: one pair for every two components, then some 8, some 64 and so on, until the two
+   are joined or all are asked. So a group of near copies costs little more than one pair a class, and no bucket is left out.
 3. In buckets with several components, every class outside the largest one meets the closest class of
    another component in its block of the bucket. Groups of near copies collapse here at the latest.
 4. In buckets that still hold several components, every class outside the largest one meets all classes
@@ -446,30 +446,45 @@ def _long_signatures(classes: DataFrame, wanted: DataFrame, documents: DataFrame
 def _leader_links(
     members: DataFrame, classes: DataFrame, documents: DataFrame, threshold: int, similarity: int, size: int, positions: int
 ) -> DataFrame:
-    """Confirmed links (a, b) of classes with leaders of their buckets, asked in rounds of growing width.
+    """Confirmed links (a, b) of classes with the leaders of their buckets, asked in rounds.
 
-    Every (class, leader) is asked about, but for those that earlier rounds have put into one component.
+    First every class is asked about its smallest leader. From then on a round asks, for every two components that
+    pairs lead across, one pair, then some 8, some 64 and so on, until they are joined or no pair is left. So every
+    (class, leader) is asked about, but for those that earlier rounds have put into one component.
     """
-    open_pairs = members.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
+    pairs = shared.stored(
+        members.filter("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct(), "leaders"
+    )
+    # A class has a leader per bucket at most, so its rows are few.
+    ranked = shared.stored(
+        pairs.withColumn("asked", F.row_number().over(Window.partitionBy("b").orderBy("a")) == 1), "first-leaders"
+    )
     links, width = None, 1
     while True:
-        # A class has a leader per bucket at most, so its rows are few.
-        ranked = shared.stored(
-            open_pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("b").orderBy("a"))), "leaders"
-        )
-        asked = ranked.filter(F.col("_rank") <= width).select("a", "b")
         found = _confirmed(
-            _near_signatures(asked, classes, threshold, similarity, positions), classes, documents, similarity, size
+            _near_signatures(ranked.filter("asked").select("a", "b"), classes, threshold, similarity, positions),
+            classes, documents, similarity, size,
         )
         links = found if links is None else links.union(found)
-        rest = ranked.filter(F.col("_rank") > width).select("a", "b")
+        rest = ranked.filter("not asked").select("a", "b")
         if rest.isEmpty():
             return links
         reached = shared.stored(components(links, "a", "b"), "reached")
         for side in ("a", "b"):
             named = reached.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
             rest = rest.join(named, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-        open_pairs = rest.filter("_a <> _b").select("a", "b")
+        across = shared.stored(
+            rest.filter("_a <> _b").select("a", "b", F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y")), "across"
+        )
+        if across.isEmpty():
+            return links
+        between = shared.stored(
+            across.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("b", "a")).alias("first")), "between"
+        )
+        share = F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("n") / F.lit(width))) == 0
+        ranked = shared.stored(
+            across.join(between, ["x", "y"]).select("a", "b", (share | (F.struct("b", "a") == F.col("first"))).alias("asked")), "asked"
+        )
         width *= 8
 
 

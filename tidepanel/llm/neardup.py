@@ -46,9 +46,9 @@ SIMILARITY = 75  # per cent
 POSITIONS, CHUNKS, ERRORS = 72, 18, 1
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 BLOCK = 1024
-#: A longer signature screens the pairs of the last step: at the similarity 128 of its positions differ on
-#: average, with a deviation of 9.8.
-LONG_POSITIONS, LONG_THRESHOLD = 512, 180
+#: A longer signature screens the pairs of the last step: at the similarity 512 of its positions differ on
+#: average, with a deviation of 19.6.
+LONG_POSITIONS, LONG_THRESHOLD = 2048, 616
 SLICE = 1 << 18
 
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

@@ -62,15 +62,19 @@ def customer_regions(t: Tables) -> DataFrame:
 
 
 def prices(t: Tables) -> DataFrame:
-    """Lines are summed per order on the join key before the join, so one shuffle serves both."""
+    """Lines are summed per order on the join key before the join, so one shuffle serves both.
+
+    Orders of a weekend count on the Monday after it.
+    """
     lines = t.lineitem.groupBy("l_orderkey").agg(
         F.sum(whole(F.col("l_extendedprice"))).alias("cents"),
         F.sum("l_quantity").alias("quantity"),
         F.count(F.lit(1)).alias("lines"),
     )
+    day = F.to_date("o_orderdate")
     orders = t.orders.select(
-        "o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("date")
-    ).filter(F.weekday("date") < 5)
+        "o_orderkey", "o_custkey", F.date_add(day, F.when(F.weekday(day) < 5, 0).otherwise(7 - F.weekday(day))).alias("date")
+    )
     return (
         orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
         .join(customer_regions(t), F.col("o_custkey") == F.col("c_custkey"))
@@ -126,7 +130,7 @@ def event_posts(t: Tables) -> DataFrame:
 
 
 def raw_submissions(t: Tables) -> DataFrame:
-    return t.documents.join(t.events, F.col("doc_id") == F.col("event_id")).select(
+    return t.documents.join(t.events, F.col("doc_id") == F.col("event_id"), "left").select(
         F.col("doc_id").cast("string").alias("id"),
         event_epoch().cast("string").alias("created_utc"),
         F.col("source").alias("subreddit"),
@@ -141,7 +145,7 @@ def raw_submissions(t: Tables) -> DataFrame:
 
 def raw_comments(t: Tables) -> DataFrame:
     return t.conversations.join(
-        t.events, F.col("conv_id") * 10 + F.col("turn") == F.col("event_id")
+        t.events, F.col("conv_id") * 10 + F.col("turn") == F.col("event_id"), "left"
     ).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"),
         event_epoch().cast("string").alias("created_utc"),
@@ -152,24 +156,40 @@ def raw_comments(t: Tables) -> DataFrame:
     )
 
 
-def weekdays(spark: SparkSession, first: str, last: str) -> DataFrame:
-    """A shared session calendar: the weekdays, less one holiday."""
-    day = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date")))
+def event_days(t: Tables, before: int, after: int) -> DataFrame:
+    """One row: the first and the last UTC day of the events, with so many days of margin."""
+    day = F.to_date(F.col("ts").cast("timestamp"))
+    return t.events.agg(F.min(day).alias("first"), F.max(day).alias("last")).select(
+        F.date_sub("first", before).alias("first"), F.date_add("last", after).alias("last")
+    )
+
+
+def sessions(t: Tables) -> DataFrame:
+    """A shared session calendar around the events: the weekdays, less the third Monday of January."""
+    day = F.col("session_date")
+    holiday = (F.month(day) == 1) & (F.weekday(day) == 0) & F.dayofmonth(day).between(15, 21)
     return (
-        spark.range(1).select(day.alias("session_date"))
-        .filter((F.weekday("session_date") < 5) & (F.col("session_date") != "2024-01-15"))
+        event_days(t, 10, 10).select(F.explode(F.sequence("first", "last")).alias("session_date"))
+        .filter((F.weekday(day) < 5) & ~holiday)
     )
 
 
+def fill_bounds(t: Tables) -> tuple[Column, Column]:
+    """First day and the day after the last one of the dense grids around the events."""
+    days = event_days(t, 12, 16)
+    return days.select("first").scalar(), days.select("last").scalar()
+
+
 CTES = {
     "prices": """
-  SELECT r_name AS ticker, CAST(o_orderdate AS DATE) AS date,
+  SELECT r_name AS ticker,
+         CAST(o_orderdate AS DATE) + CASE isodow(o_orderdate) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS date,
          CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS DOUBLE)
            / CAST(100 AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS stock_price,
          SUM(l_quantity) AS stock_volume
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE isodow(o_orderdate) < 6 GROUP BY 1, 2""",
+  GROUP BY 1, 2""",
     "days": """
   SELECT l_orderkey, l_linenumber, l_partkey, r_name AS ticker, CAST(l_shipdate AS DATE) AS date,
          CAST(NULLIF(CAST(ROUND(l_discount * 100) AS BIGINT), 3) AS DOUBLE) AS interest,
@@ -202,8 +222,9 @@ CTES = {
   FROM events""",
     "calendar": """
   SELECT CAST(d AS DATE) AS session_date
-  FROM (SELECT unnest(generate_series(DATE '2023-12-22', DATE '2024-02-09', INTERVAL 1 DAY)) AS d)
-  WHERE isodow(d) < 6 AND CAST(d AS DATE) <> DATE '2024-01-15'""",
+  FROM (SELECT unnest(generate_series(MIN(CAST(ts AS DATE)) - 10, MAX(CAST(ts AS DATE)) + 10, INTERVAL 1 DAY)) AS d
+        FROM events)
+  WHERE isodow(d) < 6 AND NOT (month(d) = 1 AND isodow(d) = 1 AND day(d) BETWEEN 15 AND 21)""",
     "probed": """
   SELECT p.*, timezone('America/New_York', to_timestamp(created_utc)) AS local_ts,
          CAST(local_ts AS DATE)
@@ -221,12 +242,12 @@ CTES = {
          source AS subreddit, lang AS title, text AS selftext, value AS score,
          TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS num_comments,
          '/p/' || doc_id AS permalink, '/u/' || user_id AS url, event_type
-  FROM documents JOIN events ON doc_id = event_id
+  FROM documents LEFT JOIN events ON doc_id = event_id
   UNION ALL
   SELECT 'comm', conv_id || '-' || turn,
          CAST(FLOOR(epoch_us(ts) / CAST(1000000 AS DOUBLE)) AS BIGINT),
          role, '', text, value, CAST(0 AS DOUBLE), '/c/' || conv_id, NULL, event_type
-  FROM conversations JOIN events ON conv_id * 10 + turn = event_id""",
+  FROM conversations LEFT JOIN events ON conv_id * 10 + turn = event_id""",
 }
 NEEDS = {
     "sessions": ["prices"],

@@ -9,8 +9,9 @@ from tidepanel.bindings.base import (
     Tables,
     day_rows,
     event_posts,
+    fill_bounds,
     prices,
-    weekdays,
+    sessions,
     with_ctes,
 )
 from tidepanel.operators.calendar import align_posts, fill_calendar, map_to_next_session, sessions_of
@@ -47,18 +48,14 @@ def asof_forward(t: Tables) -> DataFrame:
 
 
 def cutoff_align(t: Tables) -> DataFrame:
-    aligned = align_posts(
-        event_posts(t), weekdays(t._spark, "2023-12-22", "2024-02-09"), key=None
-    )
+    aligned = align_posts(event_posts(t), sessions(t), key=None)
     return aligned.select("id", "created_utc", "aligned_date")
 
 
 def aligned_posts(t: Tables) -> DataFrame:
     from tidepanel.operators.posts import add_weights
 
-    aligned = align_posts(
-        event_posts(t), weekdays(t._spark, "2023-12-22", "2024-02-09"), key=None
-    )
+    aligned = align_posts(event_posts(t), sessions(t), key=None)
     return add_weights(aligned)
 
 
@@ -81,7 +78,7 @@ def panel_contract(t: Tables) -> DataFrame:
     posts = event_posts(t).drop("ticker").join(
         regions, F.pmod("event_id", F.lit(5)) == F.col("r_regionkey")
     )
-    aligned = align_posts(posts, weekdays(t._spark, "2023-12-22", "2024-02-09"), key=None)
+    aligned = align_posts(posts, sessions(t), key=None)
     daily_posts = daily_metrics(add_weights(aligned)).withColumn("date", F.date_sub("date", SHIFT_DAYS))
     days = day_rows(t)
     search = days.select("ticker", "date", F.col("interest").alias("trends_score"))
@@ -115,7 +112,7 @@ def calendar_fill(t: Tables) -> DataFrame:
         "ticker", "kind", "date", "reddit_posts", "reddit_score_sum", "reddit_vader_mean"
     )
     keys = event_posts(t).select("ticker", "kind").distinct()
-    dense = fill_calendar(daily, keys, "2023-12-20", "2024-02-15", ["ticker", "kind"])
+    dense = fill_calendar(daily, keys, *fill_bounds(t), ["ticker", "kind"])
     return dense.select(
         "ticker", "kind", "date",
         F.coalesce("reddit_posts", F.lit(0).cast("bigint")).alias("reddit_posts"),
@@ -149,9 +146,7 @@ def daily(t: Tables) -> DataFrame:
 
 def daily_filled(t: Tables) -> DataFrame:
     keys = event_posts(t).select("ticker", "kind").distinct()
-    return _rounded(
-        fill_daily(daily_metrics(aligned_posts(t)), keys, "2023-12-20", "2024-02-15")
-    )
+    return _rounded(fill_daily(daily_metrics(aligned_posts(t)), keys, *fill_bounds(t)))
 
 
 def weighted(t: Tables) -> DataFrame:
@@ -234,7 +229,8 @@ GRID_SQL = """
 grid AS (
   SELECT k.ticker, k.kind, CAST(d AS DATE) AS date
   FROM (SELECT DISTINCT ticker, kind FROM posts) k,
-       (SELECT unnest(generate_series(DATE '2023-12-20', DATE '2024-02-14', INTERVAL 1 DAY)) AS d))"""
+       (SELECT unnest(generate_series(MIN(CAST(ts AS DATE)) - 12, MAX(CAST(ts AS DATE)) + 15, INTERVAL 1 DAY)) AS d
+        FROM events))"""
 
 DEDUPE_SQL = """
 WITH w AS (

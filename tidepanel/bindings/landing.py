@@ -10,6 +10,7 @@ from tidepanel.bindings.base import (
     customer_regions,
     day_rows,
     event_posts,
+    fill_bounds,
     prices,
     with_ctes,
 )
@@ -155,7 +156,7 @@ def source_audits(t: Tables) -> DataFrame:
 
 def _coverage(t: Tables) -> DataFrame:
     keys = event_posts(t).select("ticker", "kind").distinct()
-    daily = fill_daily(daily_metrics(aligned_posts(t)), keys, "2023-12-20", "2024-02-15")
+    daily = fill_daily(daily_metrics(aligned_posts(t)), keys, *fill_bounds(t))
     # A mean of zero is only exact up to the order of addition.
     rounded = daily.withColumn("reddit_finbert_mean", F.round("reddit_finbert_mean", 8))
     return coverage_audit(rounded, ["subm", "comm"])

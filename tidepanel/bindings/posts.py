@@ -10,7 +10,7 @@ from tidepanel.bindings.base import (
     event_posts,
     raw_comments,
     raw_submissions,
-    weekdays,
+    sessions,
     with_ctes,
 )
 from tidepanel.bindings.joins import METRIC_DIGITS, aligned_posts
@@ -121,9 +121,8 @@ def enriched_daily(t: Tables) -> DataFrame:
     """Match, score twice, align, weigh, aggregate: the whole chain over both kinds of text post."""
     text = title_and_body(F.col("title"), F.col("selftext"))
     named = unified(t).withColumn("_keys", keyword_hits(text, KEYWORDS)).filter(F.size("_keys") > 0)
-    sessions = weekdays(t._spark, "2023-12-22", "2024-02-09")
     daily = daily_metrics(
-        enrich_posts(named, sessions, lexicon(t), letter_classifier, required=True, key=None, keys="_keys")
+        enrich_posts(named, sessions(t), lexicon(t), letter_classifier, required=True, key=None, keys="_keys")
     )
     return daily.select(
         "ticker", "kind", "date", "reddit_posts",

@@ -316,8 +316,27 @@ def test_audit_without_links_in_the_sample():
     shard, queries = unit(draw.normal(size=(2000, 32))), unit(draw.normal(size=(1000, 32)))
     queries[1::7] = shard[:143]
     layers = [(np.arange(2000), np.full((2000, 4), -1, np.int64))]
-    at, to = hnsw.shard_links(queries, np.arange(5000, 6000), shard, np.arange(2000), layers, 0.98)
+    at, to, beam, _ = hnsw.shard_links(queries, np.arange(5000, 6000), shard, np.arange(2000), layers, 0.98)
     assert sorted(zip(at.tolist(), to.tolist())) == [(1 + 7 * i, i) for i in range(143)]
+    assert beam == 2000
+
+
+def test_graphs_are_asked_and_their_recall_is_reported(spark):
+    """5,000 vectors in several graphs: no task scans its shard, audits pass, and links equal brute force."""
+    draw = np.random.default_rng(10)
+    x = np.repeat(draw.normal(size=(2500, 16)), 2, axis=0) + 0.03 * draw.normal(size=(5000, 16))
+    x = x.astype(np.float32)
+    rows = [("a", 16, i, 1, v.tolist()) for i, v in enumerate(x)]
+    classes = spark.createDataFrame(rows, "label string, width int, class bigint, copies bigint, vector array<float>")
+    found = hnsw.searched(classes, shard_rows=1250)
+    tasks = hnsw.audits(found).collect()
+    assert len(tasks) == 16 and all(t.graph and t.rows > 300 and t.recall >= 0.95 for t in tasks)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    got = {r["class"]: r.n for r in found.filter("class >= 0").groupBy("class").agg({"weight": "sum"}).toDF("class", "n").collect() if r.n}
+    true = {i: int(n) for i, n in enumerate(near.sum(axis=1)) if n}
+    assert sum(got.values()) >= 0.995 * sum(true.values()) and all(n <= true[i] for i, n in got.items())
 
 
 def test_bit_slices_equal_integer_products(spark):

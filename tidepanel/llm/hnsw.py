@@ -5,12 +5,12 @@ graph, built in one task and stored as rows. Every vector then queries every sha
 are (label, shard, block of queries), each of bounded size, so a hot label only means more tasks.
 
 In a task a beam descends the layers and widens on the lowest one. Two things widen it further: an
-audit, which compares a sample of the block's queries with an exact scan of the shard and doubles the
-beam until every true link is found; and queries with half a beam or more above the threshold, which are
-asked again with twice the beam. The sample grows until enough of its queries have a true link; where too
-few have one, it becomes the whole block, and the scan is the result. A beam of an eighth of the shard
-gives way to an exact scan of it, so no number of links is out of reach. Links are verified by cosine in
-double precision.
+audit, which compares the graph's ``NEIGHBOURS`` closest vectors of a fixed number of the block's queries
+with those of an exact pass, and doubles the beam until ``RECALL`` of them are found and every true link
+of these queries is; and queries with half a beam or more above the threshold, which are asked again with
+twice the beam. Only a beam that would hold the whole shard gives way to an exact scan of it, so no
+number of links is out of reach. Links are verified by cosine in double precision. Every task also leaves
+a row with its last beam and the recall that its audit measured (``audits``).
 
 Equal vectors are one class with a count and enter a graph once. Within a task links are joined to
 components, so that a group of n near copies leaves n rows and not n squared.
@@ -32,9 +32,7 @@ COSINE = 0.98
 SHARD_ROWS = 8192
 DEGREE = 12
 BUILD_BEAM, FIRST_BEAM = 32, 32
-AUDITS, RECALL = 128, 1.0
-EVIDENCE = 32
-SCAN_SHARE = 8
+AUDITS, NEIGHBOURS, RECALL = 64, 10, 0.95
 BATCH = 256
 EXPAND = 4
 
@@ -215,11 +213,42 @@ def search(
     return beam_search(queries, vectors, layers[-1][1], entry, beam)
 
 
+def audit(
+    queries: np.ndarray, query_keys: np.ndarray, vectors: np.ndarray, keys: np.ndarray,
+    layers: list[tuple[np.ndarray, np.ndarray]], loose: np.float32, recall: float = RECALL,
+) -> tuple[int, float]:
+    """The beam whose audit passes, and the recall it reached; a beam of the shard's size means a scan.
+
+    A query's own vector does not count. Neighbours as close as the last true one count as true ones.
+    """
+    near = queries @ vectors.T
+    near[query_keys[:, None] == keys[None, :]] = -np.inf
+    true = min(NEIGHBOURS, len(vectors) - 1)
+    last = -np.partition(-near, true - 1, axis=1)[:, true - 1]
+    linked = near >= loose
+    beam = FIRST_BEAM
+    while beam < len(vectors):
+        found, _ = search(queries, vectors, layers, beam)
+        seen = np.zeros(near.shape, bool)
+        at, place = np.nonzero(found >= 0)
+        seen[at, found[at, place]] = True
+        reached = float(np.minimum((seen & (near >= last[:, None])).sum(axis=1), true).sum()) / (true * len(queries))
+        # Queries with more links than half a beam are asked again anyway.
+        few = linked.sum(axis=1) <= beam // 2
+        if reached >= recall and not (linked & ~seen)[few].any():
+            return beam, reached
+        beam *= 2
+    return len(vectors), 1.0
+
+
 def shard_links(
     queries: np.ndarray, query_keys: np.ndarray, vectors: np.ndarray, keys: np.ndarray,
     layers: list[tuple[np.ndarray, np.ndarray]], cosine: float, recall: float = RECALL, audits: int = AUDITS,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links (query row, shard row) of a block of queries. Vectors are unit length, in double."""
+) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Verified links (query row, shard row) of a block of queries, the beam that passed and its recall.
+
+    Vectors are unit length, in double.
+    """
     small, own = queries.astype(np.float32), vectors.astype(np.float32)
     loose = np.float32(cosine - 1e-4)  # single precision decides nothing: the verification does
 
@@ -230,48 +259,29 @@ def shard_links(
         exact &= query_keys[at] != keys[hit]
         return at[exact], hit[exact]
 
-    widest = max(1, len(own) // SCAN_SHARE)
-
     def scan(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         everyone = np.broadcast_to(np.arange(len(own)), (len(rows), len(own)))
         return verified(rows, everyone, small[rows] @ own.T)
 
-    def ask(rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        while len(rows):
-            again = [rows[:0]]
-            for cut in range(0, len(rows), BATCH):
-                part = rows[cut : cut + BATCH]
-                if beam >= widest:
-                    parts.append(scan(part))
-                    continue
-                found, near = search(small[part], own, layers, beam)
-                full = near[:, beam // 2] >= loose
-                at, hit = verified(part[~full], found[~full], near[~full])
-                parts.append((at, hit))
-                again.append(part[full])
-            rows, beam = np.concatenate(again), 2 * beam
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-    everyone = np.arange(len(queries))
-    if FIRST_BEAM >= widest:
-        return ask(everyone, FIRST_BEAM)
-    audited = np.zeros(len(queries), bool)
-    audited[:: max(1, len(queries) // audits)] = True
-    order = np.concatenate([np.flatnonzero(audited), np.flatnonzero(~audited)])
-    seen, linked, true, size = [], 0, 0, int(audited.sum())
-    cut = 0
-    while cut < len(order) and (cut < size or linked < EVIDENCE):
-        upto = min(cut + BATCH, size if cut < size else len(order))
-        seen.append(scan(order[cut:upto]))
-        linked += len(np.unique(seen[-1][0]))
-        true += len(seen[-1][0])
-        cut = upto
-    beam, rest = FIRST_BEAM, order[cut:]
-    while len(rest) and beam < widest and len(ask(order[:cut], beam)[0]) < recall * true:
-        beam *= 2
-    seen.append(ask(rest, beam))
-    return np.concatenate([p[0] for p in seen]), np.concatenate([p[1] for p in seen])
+    beam, reached = len(own), 1.0
+    if FIRST_BEAM < len(own):
+        sample = np.arange(0, len(queries), max(1, -(-len(queries) // audits)))
+        beam, reached = audit(small[sample], query_keys[sample], own, keys, layers, loose, recall)
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    rows, width = np.arange(len(queries)), beam
+    while len(rows):
+        again = [rows[:0]]
+        for cut in range(0, len(rows), BATCH):
+            part = rows[cut : cut + BATCH]
+            if width >= len(own):
+                parts.append(scan(part))
+                continue
+            found, near = search(small[part], own, layers, width)
+            full = near[:, width // 2] >= loose
+            parts.append(verified(part[~full], found[~full], near[~full]))
+            again.append(part[full])
+        rows, width = np.concatenate(again), 2 * width
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), beam, reached
 
 
 def _least_of_component(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -322,35 +332,15 @@ def _layers(links: pd.Series, keys: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return made
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = COSINE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per row of ``embeddings`` (vec_id, embedding, label).
+FOUND = {"class": "int64", "peer": "int64", "weight": "int64", "beam": "int64", "recall": "float64"}
 
-    Vectors are compared with those of the same non-NULL label and length. Vectors that are NULL, empty,
-    zero, or hold NULL or non-finite components link with nothing. Rows with equal vectors and labels are
-    linked with each other. ``component_id`` is the smallest vec_id reachable; rows that repeat an id count
-    as vectors of their own and share it as their name. A row with a NULL vec_id takes part under the
-    name of its component; alone its component is NULL, and it is kept. Other columns are passed over.
+
+def searched(classes: DataFrame, cosine: float = COSINE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(class, peer, weight, beam, recall): per class its links' copies, and pairs that join components.
+
+    ``classes`` is (label, width, class, copies, vector), one row per different vector. A task adds one row
+    of class -1 with its shard's size as weight, its beam and its audit's recall.
     """
-    spark = embeddings.sparkSession
-    shared.prepare(spark)
-    e = F.col("embedding")
-    fit = F.coalesce(F.col("label").isNotNull() & usable(e) & F.exists(e, lambda x: x != 0), F.lit(False))
-    rows = shared.stored(
-        embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
-        .withColumn("fit", fit)
-        .select(
-            "vec_id", "fit", "label", F.size("embedding").alias("width"), F.xxhash64("embedding").alias("h1"),
-            F.xxhash64(F.lit(1), "embedding").alias("h2"), F.when(F.col("fit"), e).alias("embedding"),
-            F.monotonically_increasing_id().alias("row"),
-        ), "vectors",
-    )
-    same = ["label", "width", "h1", "h2"]
-    classes = shared.stored(
-        rows.filter("fit").groupBy(*same).agg(
-            F.min("row").alias("class"), F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"),
-            F.first("embedding").alias("vector"),
-        ), "classes",
-    )
     shards = classes.groupBy("label", "width").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
     dealt = classes.join(shards, ["label", "width"]).withColumn(
         "shard", F.pmod(F.xxhash64("class"), F.col("shards")).cast("int")
@@ -368,12 +358,11 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, shard_rows: int
     held = graphs.join(shards, ["label", "width"]).withColumn("block", every_block).drop("shards")
 
     def link(stored_shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        names = ["class", "peer", "weight"]
         if not len(stored_shard) or not len(block):
-            return pd.DataFrame([], columns=names).astype("int64")
+            return pd.DataFrame({name: pd.Series([], dtype=kind) for name, kind in FOUND.items()})
         shard = stored_shard.sort_values("class").reset_index(drop=True)
         keys, asking = shard["class"].to_numpy(), block["class"].to_numpy()
-        at, to = shard_links(
+        at, to, beam, recall = shard_links(
             _unit(block["vector"]), asking, _unit(shard["vector"]), keys, _layers(shard["links"], keys), cosine
         )
         weight = np.bincount(at, shard["copies"].to_numpy()[to], len(asking)).astype(np.int64)
@@ -382,13 +371,55 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, shard_rows: int
         linked = np.unique(np.concatenate([place[at], place[len(asking) + to]])).astype(np.int64)
         counted = pd.DataFrame({"class": asking, "peer": asking, "weight": weight})
         joined = pd.DataFrame({"class": nodes[linked], "peer": label[linked], "weight": 0})
-        return pd.concat([counted[counted["weight"] > 0], joined]).astype("int64")
+        links = pd.concat([counted[counted["weight"] > 0], joined]).assign(beam=0, recall=0.0)
+        audited = pd.DataFrame({"class": [-1], "peer": [-1], "weight": [len(keys)], "beam": [beam], "recall": [recall]})
+        return pd.concat([links, audited]).astype(FOUND)
 
     keys = [*GROUP, "block"]
-    found = shared.stored(
-        held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(link, "class bigint, peer bigint, weight bigint"),
-        "links",
+    return shared.stored(
+        held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
+            link, "class bigint, peer bigint, weight bigint, beam bigint, recall double"
+        ), "links",
+    )
+
+
+def audits(found: DataFrame) -> DataFrame:
+    """(rows, beam, recall, graph) of every task of ``searched``; without ``graph`` the shard was scanned."""
+    return found.filter("class < 0").select(
+        F.col("weight").alias("rows"), "beam", "recall", (F.col("beam") < F.col("weight")).alias("graph")
+    )
+
+
+def near_vectors(embeddings: DataFrame, cosine: float = COSINE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row per row of ``embeddings`` (vec_id, embedding, label).
+
+    Vectors are compared with those of the same non-NULL label and length. Vectors that are NULL, empty,
+    zero, or hold NULL or non-finite components link with nothing. Rows with equal vectors and labels are
+    linked with each other. ``component_id`` is the smallest vec_id reachable; rows that repeat an id count
+    as vectors of their own and share it as their name. A row with a NULL vec_id takes part under the
+    name of its component; alone its component is NULL, and it is kept. Other columns are passed over.
+    """
+    spark = embeddings.sparkSession
+    shared.prepare(spark)
+    e = F.col("embedding")
+    fit = F.coalesce(F.col("label").isNotNull() & usable(e) & F.exists(e, lambda x: x != 0), F.lit(False))
+    rows = shared.stored(
+        embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
+        .withColumn("fit", fit)
+        .select(
+            "vec_id", "fit", "label", F.size("embedding").alias("width"), F.xxhash64("embedding").alias("h1"),
+            F.xxhash64(F.lit(1), "embedding").alias("h2"), F.when(F.col("fit"), e).alias("embedding"),
+            F.monotonically_increasing_id().alias("row"),
+        ), "vectors",
+    )
+    same = ["label", "width", "h1", "h2"]
+    classes = shared.stored(
+        rows.filter("fit").groupBy(*same).agg(
+            F.min("row").alias("class"), F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"),
+            F.first("embedding").alias("vector"),
+        ), "classes",
     )
+    found = searched(classes, cosine, shard_rows).filter("class >= 0")
     weights = found.groupBy("class").agg(F.sum("weight").alias("_links"))
     reached = components(found.filter("class <> peer"), "class", "peer").withColumnRenamed("node", "class")
     placed = classes.select(*same, "class", "first_id", "copies").join(weights, "class", "left").join(

@@ -4,9 +4,13 @@ All work on rows is DataFrame functions. A pattern's places come from two passes
 matches, and the pieces between them, whose lengths add up to the matches' starts.
 
 The models are first-order chains over printable ASCII, fitted to labelled samples: random strings
-(label 1) and ordinary identifiers (label 0). A candidate is a run of characters that keys are made of;
-it is a secret if the log-likelihood ratio of the two models passes ``MINIMUM_RATIO`` in total and
-``MINIMUM_MEAN`` per character. Model spans that touch a base span are not reported beside it.
+(label 1) and ordinary identifiers (label 0). A candidate is a run of characters that keys are made of, of
+8 or more if it holds a digit or a capital after a small letter, else of 20 or more. What base spans
+leave of it is cut at separators, and the pieces are scored by the log-likelihood ratio of the two models.
+Pieces in favour of the random model join across pieces that hardly speak against it; a joined stretch
+of ``MINIMUM_LENGTH`` characters is a secret if its ratio passes ``MINIMUM_RATIO`` in total and
+``MINIMUM_MEAN`` per character. So a random tail of a path is found without the path, and a random rest
+beside a base span is found too.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # a run of 16 or more; shorter ones fail whole
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "model")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-MINIMUM_RATIO, MINIMUM_MEAN = 14.0, 0.5
+CANDIDATE = r"(?=[A-Za-z0-9+/_=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_=-]{8,}|[A-Za-z0-9+/_=-]{20,}"
+PIECE = r"[A-Za-z0-9+]+"
+MINIMUM_RATIO, MINIMUM_MEAN, MINIMUM_LENGTH = 14.0, 0.5, 8
+AGAINST = -2.0  # a piece below this ends a stretch
 SAMPLE_DOCUMENTS = 2000
 FIRST, SYMBOLS = 32, 95
 LEAN = 10.0
@@ -156,9 +162,9 @@ def fit(samples: DataFrame) -> list[float]:
 
 
 def ratio(value: Column, table: list[float]) -> Column:
-    """Sum of the pairs' log-likelihood ratios over a string of printable ASCII."""
+    """Sum of the pairs' log-likelihood ratios over a string of printable ASCII, not empty."""
     held = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")
-    pairs = F.sequence(F.lit(1), F.char_length(value) - 1)
+    pairs = F.slice(F.sequence(F.lit(1), F.greatest(F.char_length(value), F.lit(1))), F.lit(1), F.char_length(value) - 1)
 
     def of(i: Column) -> Column:
         a, b = F.ascii(F.substr(value, i, F.lit(1))), F.ascii(F.substr(value, i + 1, F.lit(1)))
@@ -167,6 +173,65 @@ def ratio(value: Column, table: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + of(i))
 
 
+def uncovered(candidate: Column, base: Column) -> Column:
+    """(start, end) of the parts of a candidate that no base span covers."""
+    begin = F.struct(candidate["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def add(acc: Column, upto: Column) -> Column:
+        part = F.array(F.struct(acc["at"].alias("start"), upto.alias("end")))
+        return F.when(upto > acc["at"], F.concat(acc["out"], part)).otherwise(acc["out"])
+
+    touching = F.filter(base, lambda b: (b["start"] < candidate["end"]) & (candidate["start"] < b["end"]))
+    return F.aggregate(
+        touching, begin,
+        lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), add(acc, b["start"]).alias("out")),
+        lambda acc: add(acc, candidate["end"]),
+    )
+
+
+def scored_pieces(candidate: Column, part: Column, table: list[float]) -> Column:
+    """(start, end, score) of the pieces between separators of a part of a candidate."""
+    value = F.substr(candidate["value"], part["start"] - candidate["start"] + 1, part["end"] - part["start"])
+    return F.transform(
+        located(value, PIECE, F.regexp_extract_all(value, F.lit(PIECE), F.lit(0))),
+        lambda p: F.struct(
+            (part["start"] + p["start"]).alias("start"), (part["start"] + p["end"]).alias("end"),
+            ratio(p["value"], table).alias("score"),
+        ),
+    )
+
+
+def stretches(pieces: Column) -> Column:
+    """(start, end, score, size) of joined pieces: from one in favour to the last one in favour.
+
+    ``late`` and ``more`` are score and size of the pieces since the last one in favour.
+    """
+    kind = "array<struct<start:int,end:int,score:double,size:int,late:double,more:int>>"
+    begin = F.struct(F.lit(False).alias("open"), F.array().cast(kind).alias("out"))
+
+    def stretch(start: Column, end: Column, score: Column, size: Column, late: Column, more: Column) -> Column:
+        names = ("start", "end", "score", "size", "late", "more")
+        return F.array(F.struct(*[c.alias(n) for c, n in zip((start, end, score, size, late, more), names)]))
+
+    def step(acc: Column, p: Column) -> Column:
+        size, none, zero = p["end"] - p["start"], F.lit(0.0), F.lit(0)
+        last = F.get(acc["out"], F.size(acc["out"]) - 1)
+        before = F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0)))
+        grown = stretch(
+            last["start"], p["end"], last["score"] + last["late"] + p["score"], last["size"] + last["more"] + size, none, zero
+        )
+        waiting = stretch(last["start"], last["end"], last["score"], last["size"], last["late"] + p["score"], last["more"] + size)
+        fresh = stretch(p["start"], p["end"], p["score"], size, none, zero)
+        favour, neutral = p["score"] > 0, p["score"] >= AGAINST
+        out = (
+            F.when(favour & acc["open"], F.concat(before, grown)).when(favour, F.concat(acc["out"], fresh))
+            .when(neutral & acc["open"], F.concat(before, waiting)).otherwise(acc["out"])
+        )
+        return F.struct((favour | (neutral & acc["open"])).alias("open"), out.alias("out"))
+
+    return F.aggregate(pieces, begin, step, lambda acc: acc["out"])
+
+
 def scan(
     documents: DataFrame, table: list[float], text: str = "text", own: str = "",
     minimum_ratio: float = MINIMUM_RATIO, minimum_mean: float = MINIMUM_MEAN,
@@ -177,14 +242,14 @@ def scan(
     Columns stay; ``own`` goes in front of the two names.
     """
     made = base_spans(documents, text, own)
-    score = lambda s: ratio(s["value"], table)
-    apart = F.filter(
-        f"{own}candidates",
-        lambda c: ~F.exists(f"{own}base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
+    pieces = F.transform(
+        F.col(f"{own}candidates"),
+        lambda c: F.flatten(F.transform(uncovered(c, F.col(f"{own}base")), lambda part: stretches(scored_pieces(c, part, table)))),
     )
     likely = F.filter(
-        apart,
-        lambda c: (score(c) >= minimum_ratio) & (score(c) >= minimum_mean * F.char_length(c["value"])),
+        F.flatten(pieces),
+        lambda s: (s["score"] >= minimum_ratio) & (s["score"] >= minimum_mean * s["size"])
+        & (s["end"] - s["start"] >= MINIMUM_LENGTH),
     )
     return made.withColumn(f"{own}spans", F.array_sort(F.concat(f"{own}base", _ranked(likely, "model")))).drop(
         f"{own}candidates"

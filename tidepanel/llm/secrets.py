@@ -29,7 +29,9 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # a run of 16 or more; shorter ones fail whole
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "model")
 
-CANDIDATE = r"(?=[A-Za-z0-9+/_=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_=-]{8,}|[A-Za-z0-9+/_=-]{20,}"
+RUN = "[A-Za-z0-9+/_=-]"
+# Only tried where a run begins, and only if it has eight characters.
+CANDIDATE = f"(?<!{RUN})(?={RUN}{{8}})(?:(?=[A-Za-z+/_=-]*+[0-9]|[A-Za-z+/_=-]*?[a-z][A-Z]){RUN}{{8,}}|{RUN}{{20,}})"
 PIECE = r"[A-Za-z0-9+]+"
 MINIMUM_RATIO, MINIMUM_MEAN, MINIMUM_LENGTH = 14.0, 0.5, 8
 AGAINST = -2.0  # a piece below this ends a stretch

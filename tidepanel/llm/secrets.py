@@ -38,16 +38,21 @@ AGAINST = -2.0  # a piece below this ends a stretch
 SAMPLE_DOCUMENTS = 2000
 FIRST, SYMBOLS = 32, 95
 LEAN = 10.0
+BLOCK = 256
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
 def located(text: Column, pattern: str, matches: Column) -> Column:
-    """Start, end (exclusive, code points) and value of each match, in order."""
+    """Start, end (exclusive, code points) and value of each match, in order.
+
+    Matches are walked in blocks of ``BLOCK``, so that a long text costs no square of its matches.
+    """
+    kind = "array<struct<start:int,end:int,value:string>>"
     pieces = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
     paired = F.zip_with(pieces, matches, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
-    empty = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")
-    )
+
+    def moved(span: Column, by: Column) -> Column:
+        return F.struct((span["start"] + by).alias("start"), (span["end"] + by).alias("end"), span["value"].alias("value"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -55,10 +60,20 @@ def located(text: Column, pattern: str, matches: Column) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    walked = F.aggregate(F.slice(paired, F.lit(1), F.size(matches)), empty, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, walked).otherwise(
-        F.array().cast("array<struct<start:int,end:int,value:string>>")
+    def walked(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step)
+
+    def after(acc: Column, block: Column) -> Column:
+        shifted = F.transform(block["out"], lambda span: moved(span, acc["at"]))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(shifted)).alias("out"))
+
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")),
+        lambda k: walked(F.slice(paired, k * BLOCK + 1, F.least(F.lit(BLOCK), F.size(matches) - k * BLOCK))),
     )
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    every = F.flatten(F.aggregate(blocks, begin, after, lambda acc: acc["out"]))
+    return F.when(F.size(matches) > 0, every).otherwise(F.array().cast(kind))
 
 
 def _ranked(spans: Column, kind: str) -> Column:
@@ -140,13 +155,12 @@ def fit(samples: DataFrame) -> list[float]:
     pseudo-counts, and a character counts half once more than seen; without samples of a label its model is
     uniform.
     """
-    at = F.explode(F.sequence(F.lit(1), F.char_length("value") - 1))
+    codes, size = F.transform(F.split("value", ""), lambda c: F.ascii(c)), F.char_length("value") - 1
+    both = F.zip_with(
+        F.slice(codes, F.lit(1), size), F.slice(codes, F.lit(2), size), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    )
     pairs = (
-        samples.filter(F.char_length("value") > 1).select("label", "value", at.alias("at"))
-        .select(
-            "label", F.ascii(F.substr("value", "at", F.lit(1))).alias("a"),
-            F.ascii(F.substr("value", F.col("at") + 1, F.lit(1))).alias("b"),
-        )
+        samples.filter(F.char_length("value") > 1).select("label", F.explode(both).alias("p")).select("label", "p.a", "p.b")
         .filter(F.col("a").between(FIRST, FIRST + SYMBOLS - 1) & F.col("b").between(FIRST, FIRST + SYMBOLS - 1))
         .groupBy("label", "a", "b").count()
     )
@@ -166,13 +180,9 @@ def fit(samples: DataFrame) -> list[float]:
 def ratio(value: Column, table: list[float]) -> Column:
     """Sum of the pairs' log-likelihood ratios over a string of printable ASCII, not empty."""
     held = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")
-    pairs = F.slice(F.sequence(F.lit(1), F.greatest(F.char_length(value), F.lit(1))), F.lit(1), F.char_length(value) - 1)
-
-    def of(i: Column) -> Column:
-        a, b = F.ascii(F.substr(value, i, F.lit(1))), F.ascii(F.substr(value, i + 1, F.lit(1)))
-        return F.get(held, (a - FIRST) * SYMBOLS + (b - FIRST))
-
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + of(i))
+    codes, pairs = F.transform(F.split(value, ""), lambda c: F.ascii(c) - FIRST), F.char_length(value) - 1
+    places = F.zip_with(F.slice(codes, F.lit(1), pairs), F.slice(codes, F.lit(2), pairs), lambda a, b: a * SYMBOLS + b)
+    return F.aggregate(places, F.lit(0.0), lambda acc, place: acc + F.get(held, place))
 
 
 def uncovered(candidate: Column, base: Column) -> Column:

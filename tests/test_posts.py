@@ -2,11 +2,14 @@
 
 import datetime as dt
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.contract import POST_COLUMNS, POST_METRICS
+from tidepanel.functions.text import keyword_hits
 from tidepanel.operators import posts as px
 from tidepanel.plans.stages import import_posts
 
@@ -96,7 +99,7 @@ def test_lexicon_scores(spark):
     data = spark.createDataFrame(rows, "id string, text string")
     lexicon = spark.createDataFrame(LEXICON, "token string, valence double")
     got = sorted((r.id, r.text, round(r.vader_sentiment, 9) if r.vader_sentiment is not None else None)
-                 for r in px.add_lexicon_score(data, lexicon, ["id"]).filter("text is not null").collect())
+                 for r in px.add_lexicon_score(data, lexicon).filter("text is not null").collect())
     one, two = 1 / math.sqrt(16), 2 / math.sqrt(19)
     assert got == sorted([
         ("1", "Good good BAD day", round(one, 9)), ("1", "Good good BAD day", round(one, 9)),
@@ -195,3 +198,52 @@ def test_whole_import(spark):
         ("TSLA", "subm", "a", 5, round(two, 6), 0.5), ("TSLA", "subm", "b", 8, round(-three, 6), -0.25),
     ]
     assert daily.count() == 4 * 9 and daily.agg(F.sum("reddit_posts")).first()[0] == 4
+
+
+def test_keywords_equal_runs_compared_one_by_one(spark):
+    """Random texts and terms over few characters, so that terms overlap, begin and contain each other."""
+    draw = random.Random(5)
+    alphabet = ["a", "b", "A", "é", "_", "1", " ", ".", "-", "\n", "\U00010400"]
+    texts = ["".join(draw.choices(alphabet, k=draw.randrange(0, 30))) for _ in range(400)]
+    terms = {"".join(draw.choices(alphabet, k=draw.randrange(1, 6))) for _ in range(150)}
+    keywords = {f"k{i}": [term] for i, term in enumerate(sorted(terms))}
+
+    def cut(text):
+        return re.findall(r"[^\W]+|[\W]+", text.lower())
+
+    def named(text):
+        pieces, found = cut(text), set()
+        for key, (term,) in keywords.items():
+            run = cut(term)
+            for i in range(len(pieces) - len(run) + 1):
+                if pieces[i : i + len(run)] == run:
+                    open_start = i == 0 and not re.match(r"\w", run[0])
+                    open_end = i + len(run) == len(pieces) and not re.match(r"\w", run[-1])
+                    if not open_start and not open_end:
+                        found.add(key)
+        return found
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").withColumn(
+        "hits", keyword_hits(F.col("t"), keywords)
+    ).collect()
+    assert len(rows) == len(texts) and any(len(r.hits) > 3 for r in rows)
+    for row in rows:
+        assert set(row.hits) == named(row.t) and len(row.hits) == len(set(row.hits)), row.t
+
+
+def test_a_copied_text_is_scored_once(spark):
+    texts = [(i, f"text {i % 7}") for i in range(70)] + [(70, None), (71, ""), (72, None)]
+    data = spark.createDataFrame(texts, "id long, text string").repartition(5)
+    lexicon = spark.createDataFrame([("text", 1.0)], "token string, valence double")
+
+    def factory():
+        # Another value at every call: equal scores can only come from one call.
+        return lambda texts: [(random.SystemRandom().random(), 0.0) for _ in texts]
+
+    rows = px.add_scores(data, lexicon, factory, required=True).collect()
+    assert sorted(r.id for r in rows) == list(range(73))
+    scores = {}
+    for row in rows:
+        scores.setdefault(row.text or "", set()).add((row.vader_sentiment, row.finbert_sentiment))
+    assert len(scores) == 8 and all(len(found) == 1 for found in scores.values())
+    assert {v for text, found in scores.items() for v, _ in found if text} == {0.25}

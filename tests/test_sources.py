@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.errors import PySparkException
@@ -236,3 +237,19 @@ def test_coverage_summary_and_document(spark):
     assert made["tickers_included"] == ["A"] and made["rows"] == 3 and made["notes"] == ["n1"] and made["output_path"] == "o"
     assert made["raw_source_rows"][0]["selected_file"] == "p.csv" and made["coverage_rows"][0]["subm_days"] == 2
     assert audit.metadata_records(sources, coverage).count() == 2
+
+
+def test_an_ordered_table_reads_back_in_order(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), F.lit("a").alias("_note")).repartition(7)
+    path = str(tmp_path / "ordered")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_ordered(rows, path, ["x"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    found = sinks.read_ordered(spark, path)
+    assert found.columns == ["x", "_note", "position"]
+    assert all(r.position == r.x + 1 for r in found.collect()) and found.count() == 1000
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) > 1
+    sinks.write_ordered(rows.filter("x < 0"), path, ["x"])
+    assert sinks.read_ordered(spark, path).count() == 0

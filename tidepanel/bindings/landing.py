@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from tidepanel.functions.text import slug
 from tidepanel.contract import ALIGNMENT_POLICY
 from tidepanel.operators.audit import coverage_audit, metadata_document, panel_summary, source_audit
 from tidepanel.operators.posts import daily_metrics, fill_daily
-from tidepanel.session import durable
+from tidepanel.session import durable, shared_folder
 from tidepanel.sources.landed import choose_sources, coerce_numbers, parse_json_lines
 from tidepanel.sources.landing import (
     missing_windows,
@@ -28,6 +30,7 @@ from tidepanel.sources.landing import (
     resolve_profiles,
     split_keys,
 )
+from tidepanel.sources.sinks import read_ordered, write_ordered
 
 
 def expand_keys(t: Tables) -> DataFrame:
@@ -198,7 +201,18 @@ def exchange_share(t: Tables) -> DataFrame:
     )
 
 
+ROW_ORDER = ["ticker", "date", "l_orderkey", "l_linenumber"]
+
+
+def ordered_sink(t: Tables) -> DataFrame:
+    """All calendar-day rows, written in panel order and read back with their positions in the files."""
+    path = f"{shared_folder(t._spark)}/ordered-{uuid.uuid4().hex}"
+    write_ordered(day_rows(t).select(*ROW_ORDER), path, ROW_ORDER)
+    return read_ordered(t._spark, path)
+
+
 QUERIES = {
+    "ordered_sink": ordered_sink,
     "expand_keys": expand_keys,
     "resolve_profile": resolve_profile,
     "window_plan": window_plan,
@@ -324,6 +338,9 @@ SELECT ticker, kind, ROUND(turnover / CAST(1000000 AS DOUBLE), 8) AS millions,
        ROUND(turnover / SUM(turnover) OVER (), 10) AS share FROM v""",
 }
 
+ORACLE["ordered_sink"] = with_ctes(
+    ["days"], f"SELECT {', '.join(ROW_ORDER)}, ROW_NUMBER() OVER (ORDER BY {', '.join(ROW_ORDER)}) AS position FROM days"
+)
 ORACLE["metadata_doc"] = (
     f"WITH a AS ({ORACLE['source_audit']}), q AS (" + with_ctes(["panel"], "SELECT ticker FROM panel") + f""")
 SELECT '{ALIGNMENT_POLICY}' AS alignment_policy, (SELECT COUNT(*) FROM q) AS panel_rows,

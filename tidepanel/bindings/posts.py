@@ -16,7 +16,7 @@ from tidepanel.bindings.base import (
 from tidepanel.bindings.joins import METRIC_DIGITS, aligned_posts
 from tidepanel.functions.clock import local_date, local_second_of_day, seconds_of, utc_date
 from tidepanel.functions.numeric import count_or_zero, engagement_weight
-from tidepanel.functions.text import WORD, keyword_hits, run_grams, runs, title_and_body
+from tidepanel.functions.text import WORD, run_grams, runs
 from tidepanel.operators.posts import (
     classifier_scores,
     comments,
@@ -26,6 +26,7 @@ from tidepanel.operators.posts import (
     lexicon_scores,
     match_keyword_table,
     match_keywords,
+    score_texts,
     submissions,
     union_kinds,
 )
@@ -111,7 +112,8 @@ def letter_classifier():
 
 
 def scored_posts(t: Tables) -> DataFrame:
-    scored = classifier_scores(t.documents, letter_classifier, ["doc_id"])
+    """A text goes through the classifier once, however many documents carry it."""
+    scored = score_texts(t.documents.select("doc_id", "text"), lambda d: classifier_scores(d, letter_classifier, ["_key"]))
     return scored.select(
         "doc_id", *[F.round(c, 8).alias(c) for c in ("p_pos", "p_neg", "finbert_sentiment")]
     )
@@ -119,11 +121,8 @@ def scored_posts(t: Tables) -> DataFrame:
 
 def enriched_daily(t: Tables) -> DataFrame:
     """Match, score twice, align, weigh, aggregate: the whole chain over both kinds of text post."""
-    text = title_and_body(F.col("title"), F.col("selftext"))
-    named = unified(t).withColumn("_keys", keyword_hits(text, KEYWORDS)).filter(F.size("_keys") > 0)
-    daily = daily_metrics(
-        enrich_posts(named, sessions(t), lexicon(t), letter_classifier, required=True, key=None, keys="_keys")
-    )
+    named = match_keywords(unified(t), KEYWORDS)
+    daily = daily_metrics(enrich_posts(named, sessions(t), lexicon(t), letter_classifier, required=True, key=None))
     return daily.select(
         "ticker", "kind", "date", "reddit_posts",
         *[

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
+from collections.abc import Iterable
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 # Written out rather than \b, whose meaning for non-ASCII letters depends on the Java release.
 WORD = r"[\p{L}\p{N}_]"
 TOKEN = r"[\p{L}\p{N}_]+"
+# Java looks behind by 16-bit units unless the pattern holds a literal beyond them; this one is a letter.
+WORD_BEHIND = "[\\p{L}\\p{N}_\U00010400]"
 
 
 def or_empty(x: Column) -> Column:
@@ -58,16 +63,53 @@ def run_grams(pieces: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, F.lit(n)), ""))
 
 
-def run_count(term: str) -> int:
-    """Number of runs of a term."""
-    kinds = [c == "_" or unicodedata.category(c)[0] in "LN" for c in term]
-    return sum(i == 0 or kinds[i] != kinds[i - 1] for i in range(len(kinds)))
+def _word(c: str) -> bool:
+    return c == "_" or unicodedata.category(c)[0] in "LN"
+
+
+def _literal(text: str) -> str:
+    return "".join(c if c.isascii() and c.isalnum() else rf"\x{{{ord(c):x}}}" for c in text)
+
+
+def _trie(terms: list[str]) -> str:
+    """Pattern of a prefix tree over sorted distinct terms, the longest way down first.
+
+    A term that ends here must be bounded: no word character after a word character, else one.
+    """
+    ways = []
+    if terms[0] == "":
+        terms = terms[1:]
+    for _, group in groupby(terms, key=lambda t: t[0]):
+        same = list(group)
+        shared = os.path.commonprefix([same[0], same[-1]])
+        below = _trie([t[len(shared):] for t in same]) if len(same) > 1 else ""
+        if same[0] == shared:
+            end = rf"(?!{WORD})" if _word(shared[-1]) else rf"(?={WORD})"
+            below = f"(?:{below}|{end})" if below else end
+        ways.append(_literal(shared) + below)
+    return f"(?:{'|'.join(ways)})"
+
+
+def term_pattern(terms: Iterable[str]) -> str:
+    """Pattern whose group 1 is the longest of the lower-case terms at each place where one begins as a word does."""
+    words, others = [], []
+    for term in sorted(set(terms)):
+        (words if _word(term[0]) else others).append(term)
+    ways = [edge + _trie(group) for edge, group in ((f"(?<!{WORD_BEHIND})", words), (f"(?<={WORD_BEHIND})", others)) if group]
+    return f"(?=({'|'.join(ways)}))"
+
+
+def begun_terms(term: str, terms: Iterable[str]) -> list[str]:
+    """The terms found wherever ``term`` is: those that it begins with, up to an edge between words and others."""
+    return [t for t in terms if term.startswith(t) and (t == term or _word(t[-1]) != _word(term[len(t)]))]
 
 
 def keyword_hits(text: Column, keywords: dict[str, list[str]]) -> Column:
     """Names of the keys that a text names: whole words, case-insensitive, any number of keys and terms.
 
-    Runs of the text as long as the terms are intersected with them inside the row.
+    One pass over the text walks a prefix tree of all terms from every place where a word, or what stands
+    between two, begins. It yields the longest term of the place; the shorter ones there are its
+    beginnings and come with it. NULL for a NULL text.
     """
     names: dict[str, list[str]] = {}
     for name, terms in keywords.items():
@@ -75,16 +117,14 @@ def keyword_hits(text: Column, keywords: dict[str, list[str]]) -> Column:
             names.setdefault(term.lower(), []).append(name)
     if not names:
         raise ValueError("no keyword given")
-    lengths = sorted({run_count(t) for t in names})
-    terms = F.array(*[F.lower(F.lit(t)) for t in names])
-    owners = F.create_map(
-        *[x for t, own in names.items() for x in (F.lower(F.lit(t)), F.array(*map(F.lit, own)))]
-    )
-
-    def hits(pieces: Column) -> Column:
-        grams = F.flatten(F.array(*[run_grams(pieces, n) for n in lengths]))
-        found = F.transform(F.array_intersect(grams, terms), lambda t: F.element_at(owners, t))
-        return F.array_distinct(F.flatten(found))
-
-    # As an argument the runs are cut once per text, however often they are used.
-    return F.get(F.transform(F.array(runs(text)), hits), F.lit(0))
+    beginnings: dict[str, list[str]] = {}
+    for term in names:
+        beginnings.setdefault(term[0], []).append(term)
+    owners = F.create_map(*[
+        x for term in names
+        for x in (F.lit(term), F.array(*[
+            F.lit(name) for name in dict.fromkeys(n for t in begun_terms(term, beginnings[term[0]]) for n in names[t])
+        ]))
+    ])
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(term_pattern(names)), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(found, lambda t: F.element_at(owners, t))))

@@ -85,10 +85,12 @@ def match_keywords(
 ) -> DataFrame:
     """Posts that name a key, once per key: whole-word, case-insensitive, ticker or company.
 
-    All keys are found inside one projection, however many there are: no join, no shuffle.
+    All keys are found inside one projection, however many there are: no join, no shuffle. Terms are part
+    of the plan; for more than some ten thousand ``match_keyword_table`` takes them as a table.
     """
     text = title_and_body(F.col("title"), F.col("selftext")) if text is None else text
-    return posts.withColumn(key, F.explode(keyword_hits(text, keywords)))
+    # An inner explode would have the plan test the matches for emptiness first, and so find them twice.
+    return posts.withColumn(key, F.explode_outer(keyword_hits(text, keywords))).filter(F.col(key).isNotNull())
 
 
 def match_keyword_table(
@@ -154,17 +156,23 @@ def lexicon_scores(
     )
 
 
+def score_texts(posts: DataFrame, score: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
+    """Posts with the columns that ``score`` finds for their texts; every distinct text is scored once.
+
+    ``score`` gets (``_key``, ``text``), a row per distinct text, and returns ``_key`` with its columns.
+    Copies are reduced on the map side and take their score by the hash of the text, whatever number of
+    posts carries it. A NULL text counts as an empty one.
+    """
+    keyed = posts.withColumn("_key", F.sha2(or_empty(F.col(text)), 256))
+    distinct = keyed.select("_key", or_empty(F.col(text)).alias("text")).distinct()
+    return keyed.join(score(distinct), "_key", "left").drop("_key")
+
+
 def add_lexicon_score(
-    posts: DataFrame, lexicon: DataFrame, id_columns: list[str], text: str = "text",
-    output: str = "vader_sentiment",
+    posts: DataFrame, lexicon: DataFrame, text: str = "text", output: str = "vader_sentiment",
 ) -> DataFrame:
-    """Posts with their lexicon score joined back on id and text hash."""
-    scores = lexicon_scores(posts, lexicon, id_columns, text, output)
-    return (
-        posts.withColumn("_hash", F.xxhash64(text))
-        .join(scores, [*id_columns, "_hash"], "left")
-        .drop("_hash")
-    )
+    """Posts with the lexicon score of their text."""
+    return score_texts(posts, lambda d: lexicon_scores(d, lexicon, ["_key"], output=output).drop("_hash"), text)
 
 
 Scorer = Callable[[list[str]], "list[tuple[float, float]]"]
@@ -204,17 +212,8 @@ def classifier_scores(
     return posts.select(*names).mapInPandas(run, schema)
 
 
-def optional_score(
-    posts: DataFrame,
-    factory: Callable[[], Scorer] | None,
-    required: bool = False,
-    text: str = "text",
-    output: str = "finbert_sentiment",
-) -> DataFrame:
-    """The classifier's score, or a NULL column when it cannot be loaded and is not required.
-
-    The factory is tried once on the driver, before any task starts.
-    """
+def loadable(factory: Callable[[], Scorer] | None, required: bool = False) -> bool:
+    """Whether the classifier can be loaded; tried once on the driver, an error only where it is required."""
     try:
         if factory is None:
             raise RuntimeError("no classifier given")
@@ -222,8 +221,35 @@ def optional_score(
     except Exception:
         if required:
             raise
+        return False
+    return True
+
+
+def optional_score(
+    posts: DataFrame,
+    factory: Callable[[], Scorer] | None,
+    required: bool = False,
+    text: str = "text",
+    output: str = "finbert_sentiment",
+) -> DataFrame:
+    """The classifier's score, or a NULL column when it cannot be loaded and is not required."""
+    if not loadable(factory, required):
         return posts.withColumn(output, F.lit(None).cast("double"))
-    return classifier_scores(posts, factory, posts.columns, text, output).drop("p_pos", "p_neg")
+    return score_texts(posts, lambda d: classifier_scores(d, factory, ["_key"], output=output).select("_key", output), text)
+
+
+def add_scores(
+    posts: DataFrame, lexicon: DataFrame, factory: Callable[[], Scorer] | None, required: bool = False, text: str = "text",
+) -> DataFrame:
+    """Both scores of the texts, found on the same frame of distinct texts."""
+    if not loadable(factory, required):
+        return add_lexicon_score(posts, lexicon, text).withColumn("finbert_sentiment", F.lit(None).cast("double"))
+
+    def score(distinct: DataFrame) -> DataFrame:
+        first = lexicon_scores(distinct, lexicon, ["_key"]).drop("_hash")
+        return first.join(classifier_scores(distinct, factory, ["_key"]).select("_key", "finbert_sentiment"), "_key")
+
+    return score_texts(posts, score, text)
 
 
 def add_weights(posts: DataFrame, sentiments: list[str] = ("vader", "finbert")) -> DataFrame:
@@ -246,18 +272,13 @@ def enrich_posts(
     factory: Callable[[], Scorer] | None = None,
     required: bool = False,
     key: str | None = "ticker",
-    id_columns: list[str] = ("kind", "id"),
-    keys: str | None = None,
 ) -> DataFrame:
     """Build the text, score it twice, align to sessions, weigh it. Empty in, empty out.
 
-    Scores hang on the post. With ``keys``, an array column of the keys that a post names, posts become
-    a row per key (``ticker``) only after they are scored.
+    Posts may come once per key that they name: scores hang on the text, which is scored once.
     """
     texts = posts.withColumn("text", title_and_body(F.col("title"), F.col("selftext")))
-    scored = optional_score(add_lexicon_score(texts, lexicon, list(id_columns)), factory, required)
-    if keys is not None:
-        scored = scored.withColumn("ticker", F.explode(keys)).drop(keys)
+    scored = add_scores(texts, lexicon, factory, required)
     return add_weights(align_posts(scored, sessions, key=key))
 
 

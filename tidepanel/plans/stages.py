@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.contract import NEUTRAL_BAND, PANEL_COLUMNS, VALIDATION_FRACTION, ZSCORES
-from tidepanel.functions.text import keyword_hits, title_and_body
 from tidepanel.operators import models
 from tidepanel.operators.calendar import sessions_of
 from tidepanel.operators.features import feature_frame, labelled
@@ -26,6 +25,7 @@ from tidepanel.operators.posts import (
     enrich_posts,
     fill_daily,
     in_window,
+    match_keywords,
     union_kinds,
 )
 from tidepanel.operators.split import date_split
@@ -50,9 +50,7 @@ def import_posts(
     """
     spark = subm.sparkSession
     posts = in_window(union_kinds(subm, comm), start, end)
-    text = title_and_body(F.col("title"), F.col("selftext"))
-    named = posts.withColumn("_keys", keyword_hits(text, keywords)).filter(F.size("_keys") > 0)
-    enriched = enrich_posts(named, sessions, lexicon, factory, required, session_key, keys="_keys")
+    enriched = enrich_posts(match_keywords(posts, keywords), sessions, lexicon, factory, required, session_key)
     wanted = spark.createDataFrame(
         [(key, kind) for key in keywords for kind in ("subm", "comm")], "ticker string, kind string"
     )

@@ -30,13 +30,11 @@ def build_session(app: str = "tidepanel", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def durable(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, set for checkpoints too.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary folder is
-    made only for a local master that names none.
+    A temporary folder is made only for a local master that names none.
     """
-    spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +43,12 @@ def durable(frame: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="tidepanel-checkpoint-")
         context.setCheckpointDir(folder)
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def durable(frame: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, so lost executors cost no recomputation."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.text import slug
@@ -31,6 +31,30 @@ def write_panel(panel: DataFrame, path: str, key: str = "ticker", mode: str = "o
     )
 
 
+def write_ordered(frame: DataFrame, path: str, order: list[str], mode: str = "overwrite") -> None:
+    """Parquet whose files, in order of their names, hold the rows in order: cut by range, sorted inside.
+
+    Rows of one value of ``order`` may follow each other in any order.
+    """
+    frame.orderBy(*order).write.mode(mode).parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """Rows of an ordered table with their position, from 1.
+
+    A file's first position is the number of rows in the files before it, summed over a row per file;
+    inside a file rows are counted by the reader. No row of the table is shuffled or sorted again.
+    """
+    rows = spark.read.parquet(path)
+    placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+    )
+    found = placed.join(files, "_file").withColumn(position, F.col("_before") + F.col("_row") + 1)
+    return found.select(*rows.columns, position)
+
+
 def write_json(document: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per row."""
     document.write.mode(mode).json(path)

@@ -9,7 +9,7 @@ from tidepanel.bindings.base import Tables, with_ctes
 from tidepanel.bindings.joins import panel
 from tidepanel.operators import features as fx
 from tidepanel.operators.audit import split_summary
-from tidepanel.operators.metrics import feature_correlations, rank_by_size, top_features
+from tidepanel.operators.metrics import correlation, feature_correlations, rank_by_size, top_features
 from tidepanel.operators.split import date_split, only_split, split_map, walk_forward
 from tidepanel.operators.stats import (
     impute,
@@ -88,7 +88,7 @@ def labelled_rows(t) -> DataFrame:
 
 def split_rows(t) -> DataFrame:
     rows = labelled_rows(t)
-    return date_split(rows)
+    return date_split(rows, refuse=False)
 
 
 def date_splits(t):
@@ -97,7 +97,7 @@ def date_splits(t):
 
 def split_semi(t):
     rows = labelled_rows(t)
-    return only_split(rows, split_map(rows), ["train", "validation"]).select(*KEYS, "target")
+    return only_split(rows, split_map(rows, refuse=False), ["train", "validation"]).select(*KEYS, "target")
 
 
 def split_summaries(t):
@@ -114,7 +114,7 @@ def robust(t):
 
 def median_impute(t):
     rows = durable(split_rows(t))
-    values = medians(rows.filter("split = 'train'"), ["sparse", "stock_volume"])
+    values = medians(rows.filter("split = 'train'"), ["sparse", "stock_volume"], unknown=None)
     return out(impute(rows, values), "sparse", "stock_volume")
 
 
@@ -204,7 +204,7 @@ def rank_abs(t):
     table = rows.groupBy(F.col("ticker").alias("model")).agg(
         F.array(
             *[
-                F.struct(F.lit(f).alias("feature"), F.corr(f, "target").alias("coefficient"))
+                F.struct(F.lit(f).alias("feature"), correlation(f, "target").alias("coefficient"))
                 for f in FEATURES
             ]
         ).alias("r")

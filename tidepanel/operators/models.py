@@ -183,6 +183,26 @@ FAMILIES: dict[str, Family] = {
     "boosted": fit_boosted,
 }
 SCALED = {"logit", "rff_svm", "mlp"}
+
+
+def fit(family: str, frame: DataFrame, features: list[str], settings: dict, classes: list[int]) -> Fitted:
+    """The family's model on rows of both classes; ``classes`` are those among the rows, see ``classes_of``.
+
+    Rows of one class give a model that always answers it, without weight on any feature. Without rows there is
+    no model: it scores no row.
+    """
+    if len(classes) > 1:
+        return FAMILIES[family](frame, features, settings)
+    answer = classes[0] if classes else None
+    columns = {"score": F.lit(answer).cast("double"), "pred": F.lit(answer).cast("int")}
+    return Fitted(
+        lambda rows: rows.filter(F.lit(bool(classes))).withColumns(columns), dict.fromkeys(features, 0.0) if classes else {}
+    )
+
+
+def classes_of(frame: DataFrame) -> list[int]:
+    """The labels that occur: one or two numbers, on the driver."""
+    return sorted(row[0] for row in frame.select("label").distinct().collect())
 DEFAULT_SETS = {
     "logit": FEATURE_SETS, "mlp": FEATURE_SETS, "forest": NESTED_FEATURE_SETS,
     "rff_svm": NESTED_FEATURE_SETS, "boosted": NESTED_FEATURE_SETS,
@@ -261,17 +281,18 @@ def benchmark(
     )
 
     def one(name: str, stage: str, prepared: DataFrame):
-        fitted = FAMILIES[family](weighted[stage], sets[name], settings)
+        fitted = fit(family, weighted[stage], sets[name], settings, classes[stage])
         rows = prepared.filter(F.col("split") == stage).select(*keys, "label", *sets[name])
         scored = fitted.score(rows).select(
             F.lit(name).alias("model"), F.lit(stage).alias("stage"), *keys, "label", "pred", "score"
         )
         return name, stage, fitted, scored
 
-    jobs, weighted = [], {}
+    jobs, weighted, classes = [], {}, {}
     for stage in stages:
         prepared = stored_small(prepare(base, F.col("split").isin(STAGES[stage]), features, family in SCALED))
         weighted[stage] = stored_small(with_class_weights(prepared.filter(F.col("split").isin(STAGES[stage]))))
+        classes[stage] = classes_of(weighted[stage])
         jobs += [lambda n=name, s=stage, p=prepared: one(n, s, p) for name in sets]
     done = _in_parallel(frame.sparkSession, jobs, parallelism)
 
@@ -363,8 +384,10 @@ def backward_selection(
         sets = {f: [g for g in left if g != f] for f in left}
         results = benchmark(frame, family, sets, settings, keys, stages=["validation"]).results
         best = results.orderBy(F.desc_nulls_last(metric), "model").select("model", metric).first()
-        left = sets[best["model"]]
-        trail.append((len(trail) + 1, best["model"], ", ".join(left), best[metric]))
+        # Without validation rows all sets are equal: the first by name, as on any tie.
+        dropped, reached = best or (min(sets), None)
+        left = sets[dropped]
+        trail.append((len(trail) + 1, dropped, ", ".join(left), reached))
     return frame.sparkSession.createDataFrame(
         trail, "step int, dropped string, features string, validation_balanced_accuracy double"
     )
@@ -380,12 +403,13 @@ def grid_search(
         durable(frame), F.col("split") == "train", features, family in SCALED
     ).withColumn("label", F.col("target").cast("int")))
     fit_rows = stored_small(with_class_weights(prepared.filter("split = 'train'")))
+    classes = classes_of(fit_rows)
     rows = prepared.filter("split = 'validation'").select(*keys, "label", *features)
 
     def one(values: tuple):
         settings = dict(zip(names, values))
         text = ", ".join(f"{n}={v}" for n, v in settings.items())
-        scored = FAMILIES[family](fit_rows, features, settings).score(rows)
+        scored = fit(family, fit_rows, features, settings, classes).score(rows)
         return scored.select(F.lit(text).alias("settings"), "label", "pred", "score")
 
     jobs = [lambda v=values: one(v) for values in itertools.product(*grid.values())]
@@ -407,7 +431,7 @@ def out_of_fold(
 ) -> DataFrame:
     """Out-of-fold scores of several base models, long: (keys, label, fold, model, score, pred).
 
-    ``sets`` maps a model name to (family, features, settings).
+    ``sets`` maps a model name to (family, features, settings). Folds without training rows have no scores.
     """
     features = sorted({f for _, names, _ in sets.values() for f in names})
     base = durable(
@@ -416,11 +440,9 @@ def out_of_fold(
         .join(F.broadcast(folds), "date")
     )
 
-    def one(fold: int, name: str, prepared: DataFrame):
+    def one(fold: int, name: str, prepared: DataFrame, classes: list[int]):
         family, names, settings = sets[name]
-        fitted = FAMILIES[family](
-            with_class_weights(prepared.filter("role = 'train'")), names, settings
-        )
+        fitted = fit(family, with_class_weights(prepared.filter("role = 'train'")), names, settings, classes)
         rows = prepared.filter("role = 'test'").select(*keys, "label", *names)
         return fitted.score(rows).select(
             *keys, "label", F.lit(fold).alias("fold"), F.lit(name).alias("model"), "score", "pred"
@@ -430,7 +452,8 @@ def out_of_fold(
     for fold in range(n_folds):
         rows = base.filter(F.col("fold") == fold).drop("fold")
         prepared = prepare(rows, F.col("role") == "train", features, True)
-        jobs += [lambda k=fold, n=name, p=prepared: one(k, n, p) for name in sets]
+        classes = classes_of(rows.filter("role = 'train'"))
+        jobs += [lambda k=fold, n=name, p=prepared, c=classes: one(k, n, p, c) for name in sets]
     return durable(reduce(DataFrame.unionByName, _in_parallel(frame.sparkSession, jobs, parallelism)))
 
 
@@ -445,7 +468,8 @@ def stack(
     names = [f"s{k}" for k in range(len(models))]
     # Scores may hardly vary; the solver needs them on one scale.
     scaled = prepare(wide, F.col("fold") < last_fold, names, True)
-    fitted = fit_logit(with_class_weights(scaled.filter(F.col("fold") < last_fold)), names, {})
+    known = scaled.filter(F.col("fold") < last_fold)
+    fitted = fit("logit", with_class_weights(known), names, {}, classes_of(known))
     return fitted.score(scaled.filter(F.col("fold") == last_fold)).select(*keys, "label", "score", "pred")
 
 

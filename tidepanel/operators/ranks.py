@@ -39,9 +39,12 @@ def cumulative(
     """
     counts = durable(counts) if lineage_cut else counts
     cuts = _cuts(counts, value)
-    splits = [-float("inf"), *cuts, float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol=value, outputCol="_range").transform(counts)
-    ranged = ranged.withColumn("_range", F.col("_range").cast("int"))
+    if cuts:
+        splits = [-float("inf"), *cuts, float("inf")]
+        ranged = Bucketizer(splits=splits, inputCol=value, outputCol="_range").transform(counts)
+        ranged = ranged.withColumn("_range", F.col("_range").cast("int"))
+    else:  # no values
+        ranged = counts.withColumn("_range", F.lit(0))
 
     whole = Window.partitionBy(*by)
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

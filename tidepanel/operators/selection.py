@@ -101,8 +101,9 @@ def count_sweep(
     The order of features is selected on the training rows only.
     """
     paths = feature_paths(frame.filter("split = 'train'"), sources, label)
-    sets = count_sets(paths)
-    results = models.benchmark(frame, family, sets, settings, keys, label).results
+    # Without any training row that has all features of a source there is no path, and nothing to fit.
+    sets = count_sets(paths) or {"": [f for names in sources.values() for f in names]}
+    results = models.benchmark(frame, family, sets, settings, keys, label).results.filter("model <> ''")
     named = F.create_map(*[F.lit(x) for name, names in sets.items() for x in (name, ", ".join(names))])
     return results.withColumns({"source": F.split("model", ": ")[0], "features": named[F.col("model")]}).select(
         "source", "n_features", "features", *[c for c in results.columns if c not in ("model", "n_features")]
@@ -174,7 +175,8 @@ def nested_benchmark(
 
     ``folds`` is that of ``split.nested_folds``. Every setting is fitted in every inner fold; imputation, scaling and class
     weights are those of the rows fitted on. One row per outer window: what was chosen, its mean inner balanced
-    accuracy, row counts and the test results at the chosen threshold and at 0.5.
+    accuracy, row counts and the test results at the chosen threshold and at 0.5. A fold without training rows scores
+    nothing; a window without inner scores is left out.
     """
     names = list(grid)
     told = {", ".join(f"{n}={v}" for n, v in zip(names, values, strict=True)): dict(zip(names, values, strict=True))
@@ -185,13 +187,14 @@ def nested_benchmark(
     )
     cells = [(r.outer, r.inner) for r in base.select("outer", "inner").distinct().orderBy("outer", "inner").collect()]
 
-    def prepared(outer: int, inner: int) -> tuple[DataFrame, DataFrame]:
+    def prepared(outer: int, inner: int) -> tuple[DataFrame, list[int], DataFrame]:
         rows = base.filter((F.col("outer") == outer) & (F.col("inner") == inner))
         made = models.stored_small(models.prepare(rows, F.col("role") == "train", features, family in models.SCALED))
-        return with_class_weights(made.filter("role = 'train'")), made.filter("role <> 'train'").select("label", *features)
+        fit = made.filter("role = 'train'")
+        return with_class_weights(fit), models.classes_of(fit), made.filter("role <> 'train'").select("label", *features)
 
-    def score(outer: int, inner: int, settings: str, fit: DataFrame, rows: DataFrame) -> DataFrame:
-        scored = models.FAMILIES[family](fit, features, told[settings]).score(rows)
+    def score(outer: int, inner: int, settings: str, fit: DataFrame, classes: list[int], rows: DataFrame) -> DataFrame:
+        scored = models.fit(family, fit, features, told[settings], classes).score(rows)
         return scored.select(
             F.lit(outer).alias("outer"), F.lit(inner).alias("inner"), F.lit(settings).alias("settings"), "label", "score"
         )
@@ -199,13 +202,14 @@ def nested_benchmark(
     jobs = []
     for outer, inner in cells:
         if inner >= 0:
-            fit, rows = prepared(outer, inner)
-            jobs += [lambda o=outer, i=inner, s=s, f=fit, r=rows: score(o, i, s, f, r) for s in told]
-    inner_scores = durable(reduce(DataFrame.unionByName, models._in_parallel(frame.sparkSession, jobs, parallelism)))
+            parts = prepared(outer, inner)
+            jobs += [lambda o=outer, i=inner, s=s, p=parts: score(o, i, s, *p) for s in told]
+    none = frame.sparkSession.createDataFrame([], "outer int, inner int, settings string, label int, score double")
+    inner_scores = durable(reduce(DataFrame.unionByName, models._in_parallel(frame.sparkSession, jobs, parallelism), none))
     chosen = durable(choose(inner_scores, cuts))
     tested = [score(r.outer, -1, r.settings, *prepared(r.outer, -1)) for r in chosen.collect()]  # a row per window
     counts = base.filter("inner = -1 and role = 'train'").groupBy("outer").agg(F.count(F.lit(1)).alias("train_rows"))
-    result = outer_scores(chosen, durable(reduce(DataFrame.unionByName, tested)).drop("inner"))
+    result = outer_scores(chosen, durable(reduce(DataFrame.unionByName, tested, none)).drop("inner"))
     return result.join(counts, "outer", "left")
 
 

@@ -30,10 +30,13 @@ def split_map(
     min_validation_dates: int = MIN_VALIDATION_DATES,
     gap: int = GAP_DATES,
     date: str = "date",
+    refuse: bool = True,
 ) -> DataFrame:
     """(date, split) for the dates that belong to a split; gap dates belong to none.
 
-    Fails when so few dates exist that the blocks would touch or overlap.
+    Fails when so few dates exist that the blocks would touch or overlap. With ``refuse`` off the clamped
+    blocks are taken as they are, a date of several blocks in the first of train, validation and test: no date is
+    in two splits, but there may be no gap, and no validation or test dates.
     """
     n, i = F.col("n"), F.col("i")
     at = date_index(frame, date).withColumn(
@@ -53,11 +56,14 @@ def split_map(
         & (F.col("validation_at") < F.col("pretest"))
     )
     name = (
-        F.when(~apart, F.raise_error(F.lit("too few dates for a split with this gap")).cast("string"))
-        .when(i < F.col("train_end"), "train")
+        F.when(i < F.col("train_end"), "train")
         .when((i >= F.col("validation_at")) & (i < F.col("pretest")), "validation")
         .when(i >= F.col("test_at"), "test")
     )
+    if refuse:
+        name = F.when(
+            ~apart, F.raise_error(F.lit("too few dates for a split with this gap")).cast("string")
+        ).otherwise(name)
     return at.select(date, name.alias("split")).filter(F.col("split").isNotNull())
 
 

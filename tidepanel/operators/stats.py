@@ -39,15 +39,15 @@ def robust_scale(
     return with_q.withColumn(output, (F.col(value) - F.col("_q")[1]) / scale).drop("_q")
 
 
-def medians(frame: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Exact medians of the columns: one number each, on the driver."""
+def medians(frame: DataFrame, columns: list[str], unknown: float | None = 0.0) -> dict[str, float | None]:
+    """Exact medians of the columns: one number each, on the driver; ``unknown`` for a column without values."""
     rows = exact_quantiles(frame, columns, [0.5]).collect()
     found = {row["feature"]: row["quantile"] for row in rows}
-    return {c: found.get(c, 0.0) for c in columns}
+    return {c: found.get(c, unknown) for c in columns}
 
 
-def impute(frame: DataFrame, values: dict[str, float]) -> DataFrame:
-    return frame.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()})
+def impute(frame: DataFrame, values: dict[str, float | None]) -> DataFrame:
+    return frame.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items() if v is not None})
 
 
 def moments(frame: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:

@@ -131,6 +131,13 @@ def test_split_refuses_too_few_dates(spark):
             blocks(n)(spark)
 
 
+def test_few_dates_are_split_when_asked(spark):
+    assert blocks(1, refuse=False)(spark) == {"train": (0, 0)}
+    assert blocks(2, refuse=False)(spark) == {"train": (0, 0), "test": (1, 1)}
+    assert blocks(4, refuse=False)(spark) == {"train": (0, 0), "validation": (1, 1), "test": (3, 3)}
+    assert blocks(100, refuse=False)(spark) == blocks(100)(spark)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.integers(40, 200), st.integers(0, 5))
 def test_split_follows_its_arithmetic(spark, n, gap):

@@ -1,5 +1,6 @@
 """Ranks, quantiles, scaling and metrics against numpy and pair counting."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -189,3 +190,34 @@ def test_three_classes_and_missing_scores(spark):
     rows = [("m", 1, 0.1), ("m", 0, None), ("m", 0, 0.2), ("k", 1, 0.3), ("k", 1, None), ("k", 0, 0.2)]
     data = spark.createDataFrame(rows, "model string, label int, score double")
     assert {x.model: x.auc for x in metrics.auc(data, ["model"]).collect()} == {"m": 0.0, "k": 1.0}
+
+
+def test_hashes_side_by_side_are_md5():
+    keys = [f"{i}-{i % 7}".encode() for i in range(50)] + [b"", b"a\x00", b"a"] + [b"x" * n for n in range(48, 70)]
+    tails = [b"#0", b"#17"]
+    want = [[hashlib.md5(key + tail).digest() for tail in tails] for key in keys]
+    got = metrics.md5_digests(keys, tails, rows=16)
+    assert [[bytes(got[i, k]) for k in range(2)] for i in range(len(keys))] == want
+
+
+def test_rows_of_one_key_are_hashed_once(monkeypatch):
+    asked = []
+    plain = metrics.md5_digests
+    monkeypatch.setattr(metrics, "md5_digests", lambda keys, tails: asked.extend(keys) or plain(keys, tails))
+    made = metrics.replicate_weights(["a", "b", "a", "a\x00"], 11, metrics.poisson_table())
+    assert asked == [b"a", b"b", b"a\x00"] and (made[0] == made[2]).all()
+
+
+def test_correlation_with_a_constant_is_no_error(spark):
+    data = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 2.0), (1, 4.0, None)], "target int, x double, y double")
+    found = {r.feature: r.correlation for r in metrics.feature_correlations(data, ["x", "y"], "target").collect()}
+    assert math.isnan(found["x"]) and math.isnan(found["y"])
+    up = spark.createDataFrame([(0, 1.0), (1, 3.0), (1, None), (None, 9.0)], "target int, x double")
+    assert metrics.feature_correlations(up, ["x"], "target").first().correlation == pytest.approx(1.0)
+
+
+def test_no_values_have_no_quantiles(spark):
+    none = spark.createDataFrame([(None,)], "x double")
+    assert ranks.exact_quantiles(none, ["x"], [0.5]).count() == 0
+    assert stats.medians(none, ["x"]) == {"x": 0.0} and stats.medians(none, ["x"], unknown=None) == {"x": None}
+    assert stats.impute(none, {"x": None}).first().x is None

@@ -221,3 +221,30 @@ def test_no_values_have_no_quantiles(spark):
     assert ranks.exact_quantiles(none, ["x"], [0.5]).count() == 0
     assert stats.medians(none, ["x"]) == {"x": 0.0} and stats.medians(none, ["x"], unknown=None) == {"x": None}
     assert stats.impute(none, {"x": None}).first().x is None
+
+
+def test_bootstrap_auc_pieces_join_ties():
+    """Pieces of three rows, with ties inside and across them, give what one pass over all pairs gives."""
+    draw = np.random.default_rng(3)
+    scores = np.sort(draw.integers(0, 6, 40).astype(float))
+    labels, weights = draw.integers(0, 2, 40) == 1, draw.integers(0, 9, (40, 5))
+    curve = metrics._Curve(5)
+    for cut in range(0, 40, 3):
+        part, up = scores[cut : cut + 3], labels[cut : cut + 3, None]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        piece = weights[cut : cut + 3].astype(np.int32)
+        curve.add(part[starts], *(np.add.reduceat(piece * side, starts, axis=0) for side in (up, ~up)))
+    pieces = list(curve.pieces())
+    assert all(values.dtype == np.int64 for piece in pieces for values in piece[2:4])
+    middle = (scores > scores[0]) & (scores < scores[-1])
+    p, n = weights * (labels & middle)[:, None], weights * (~labels & middle)[:, None]
+    won = sum(p[i] * n[j] * (2 * (scores[j] < scores[i]) + (scores[j] == scores[i])) for i in range(40) for j in range(40))
+    assert (pieces[1][2] == p.sum(axis=0)).all() and (pieces[1][3] == n.sum(axis=0)).all() and (pieces[1][4] == won).all()
+    for piece, at in ((pieces[0], scores == scores[0]), (pieces[2], scores == scores[-1])):
+        assert (piece[2] == weights[at & labels].sum(axis=0)).all() and (piece[3] == weights[at & ~labels].sum(axis=0)).all()
+
+
+def test_hashes_of_tails_of_any_order_and_length():
+    keys, tails = [b"", b"a-1", b"x" * 50, b"y" * 60], [b"#7", b"#123", b"#8"]
+    got = metrics.md5_digests(keys, tails)
+    assert [[bytes(d) for d in row] for row in got] == [[hashlib.md5(k + t).digest() for t in tails] for k in keys]

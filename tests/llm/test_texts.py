@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -132,6 +133,23 @@ def test_signatures_estimate_similarity():
     assert abs((signed[0] != signed[1]).mean() - 1200 / 3600) < 0.07
 
 
+def test_superseded_tables_are_deleted(spark):
+    """Rounds and comparisons leave one table each in the shared folder, not one of every step."""
+    folder = shared.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    path = spark.range(1, 40).selectExpr("id as a", "id + 1 as b")
+    assert {r.component for r in components.components(path, "a", "b").collect()} == {1}
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before] == ["edges"]
+    one = [f"w{i}" for i in range(60)]
+    frame = documents(spark, [" ".join(one), " ".join([*one[:-1], "x"]), " ".join([*one[:-1], "y"])])
+    assert len({r.component_id for r in neardup.near_duplicates(frame).collect()}) == 1
+    names = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
+    assert not names & {"near", "named", "sets", "members", "rest", "long", "leaders"}
+    kept = spark.range(3)
+    shared.discard(kept)  # only stored tables go
+    assert kept.count() == 3
+
+
 def test_components(spark):
     draw = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in draw.integers(0, 300, (250, 2))] + [(i, i + 1) for i in range(1000, 1060)]

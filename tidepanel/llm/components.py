@@ -26,8 +26,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) for every node of a link: the smallest id that links reach from it.
 
     The number of rounds grows with the logarithm of the longest path. Each round's edges are written
-    to the shared folder, so a lost executor costs one round at most. Links to itself and NULLs are
-    passed over; no links give no rows.
+    to the shared folder, so a lost executor costs one round at most, and those of the round before are deleted.
+    Links to itself and NULLs are passed over; no links give no rows.
     """
     edges = shared.stored(
         links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
@@ -36,7 +36,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     )
     state = None
     while True:
-        edges = shared.stored(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, shared.stored(_small_star(_large_star(edges)), "edges")
+        shared.discard(before)
         now = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()

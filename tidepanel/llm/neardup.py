@@ -257,29 +257,33 @@ def _near_signatures(pairs: DataFrame, classes: DataFrame, threshold: int, simil
     )
 
 
-def _sets_of(wanted: DataFrame, classes: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+def _sets_of(wanted: DataFrame, classes: DataFrame, documents: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(class, shingles): full sets of the wanted classes, built anew from the documents that stand for them.
 
-    The list of these documents is broadcast only while its counted rows allow it.
+    The list of these documents is broadcast only while its counted rows allow it. Beside the sets comes the stored
+    table that they read.
     """
     named = shared.stored(wanted.join(classes.select("class", "doc_id", "h1", "h2"), "class"), "named")
     ids = checked_broadcast(named.select("doc_id").distinct(), 32)
     sets = shingle_sets(documents.select("doc_id", "text").join(ids, "doc_id", "left_semi"), size)
-    return named.join(sets, ["doc_id", "h1", "h2"]).select("class", "shingles").dropDuplicates(["class"])
+    return named.join(sets, ["doc_id", "h1", "h2"]).select("class", "shingles").dropDuplicates(["class"]), named
 
 
 def _confirmed(near: DataFrame, classes: DataFrame, documents: DataFrame, similarity: int, size: int) -> DataFrame:
     """Pairs of classes whose full sets reach the similarity."""
     near = shared.stored(near, "near")
     named = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
-    sets = shared.stored(_sets_of(named, classes, documents, size), "sets")
+    sets, listed = _sets_of(named, classes, documents, size)
+    sets = shared.stored(sets, "sets")
     common = F.size(F.array_intersect("sa", "sb"))
-    return shared.stored(
+    links = shared.stored(
         near.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb")), "b")
         .filter(100 * common >= similarity * (F.size("sa") + F.size("sb") - common))
         .select("a", "b"), "links",
     )
+    shared.discard(near, listed, sets)
+    return links
 
 
 Rows = dict[str, np.ndarray]
@@ -426,8 +430,8 @@ def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _long_signatures(classes: DataFrame, wanted: DataFrame, documents: DataFrame, size: int) -> DataFrame:
-    """(class, long): signatures of ``LONG_POSITIONS`` 8-bit symbols for the wanted classes."""
-    sets = _sets_of(wanted, classes, documents, size)
+    """(class, long): signatures of ``LONG_POSITIONS`` 8-bit symbols for the wanted classes, stored."""
+    sets, listed = _sets_of(wanted, classes, documents, size)
 
     @shared.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,7 +444,9 @@ def _long_signatures(classes: DataFrame, wanted: DataFrame, documents: DataFrame
                     [part.column("class"), pa.array([row.tobytes() for row in signed], pa.binary())], names=["class", "long"]
                 )
 
-    return sets.mapInArrow(run, "class bigint, long binary")
+    long = shared.stored(sets.mapInArrow(run, "class bigint, long binary"), "long")
+    shared.discard(listed)
+    return long
 
 
 def _leader_links(
@@ -459,6 +465,7 @@ def _leader_links(
     ranked = shared.stored(
         pairs.withColumn("asked", F.row_number().over(Window.partitionBy("b").orderBy("a")) == 1), "first-leaders"
     )
+    shared.discard(pairs)
     links, width = None, 1
     while True:
         found = _confirmed(
@@ -482,9 +489,10 @@ def _leader_links(
             across.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("b", "a")).alias("first")), "between"
         )
         share = F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("n") / F.lit(width))) == 0
-        ranked = shared.stored(
+        before, ranked = ranked, shared.stored(
             across.join(between, ["x", "y"]).select("a", "b", (share | (F.struct("b", "a") == F.col("first"))).alias("asked")), "asked"
         )
+        shared.discard(before, reached, across, between)
         width *= 8
 
 
@@ -524,7 +532,7 @@ def near_links(
         placed.select("key", "class", "component").join(largest, "key")
         .withColumn("outlying", (F.col("component") != F.col("_largest")).cast("int")), "rest",
     )
-    long = shared.stored(_long_signatures(classes, rest.select("class").distinct(), documents, size), "long")
+    long = _long_signatures(classes, rest.select("class").distinct(), documents, size)
     hashed = F.xxhash64("class")
     asking = rest.filter("outlying = 1").withColumns(
         {"role": F.lit(0), "chunk": F.pmod(hashed, F.col("_chunks")).cast("int"),
@@ -535,9 +543,11 @@ def near_links(
          "chunk": F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))}
     )
     both = asking.unionByName(asked).join(signed, "class").join(long, "class")
-    return links.union(_confirmed(
+    last = _confirmed(
         _across(both, threshold, similarity, left_out(positions, chunks, errors)), classes, documents, similarity, size
-    ))
+    )
+    shared.discard(members, placed, rest, long)
+    return links.union(last)
 
 
 def resolved(

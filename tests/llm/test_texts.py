@@ -160,6 +160,30 @@ def test_components(spark):
     assert components.components(frame.filter("a < 0"), "a", "b").count() == 0
 
 
+def test_components_in_pieces(spark, monkeypatch):
+    """Few links meet in one task, whatever number of tasks they come from; many are joined in pieces and rounds."""
+    draw = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in draw.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1090)]
+    want = reach({x for p in pairs for x in p}, pairs)
+    want = {x: want[x] for a, b in pairs if a != b for x in (a, b)}
+    frame = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(8)
+    folder = shared.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert {r.node: r.component for r in components.components(frame, "a", "b").collect()} == want
+    (made,) = set(os.listdir(folder)) - before
+    assert len([n for n in os.listdir(f"{folder}/{made}") if n.startswith("part-")]) == 1
+    monkeypatch.setattr(components, "PIECE_EDGES", 40)
+    assert {r.node: r.component for r in components.components(frame, "a", "b").collect()} == want
+
+
+def test_packed_signatures_count_symbols():
+    signed = np.random.default_rng(5).integers(0, 1 << 16, (2, 50, neardup.LONG_POSITIONS), np.uint16)
+    one, two = (neardup.packed(x) for x in signed)
+    assert one.shape == (50, neardup.LONG_POSITIONS // 4)
+    assert (neardup.packed_apart(one, two) == ((signed[0] & 3) != (signed[1] & 3)).sum(axis=1)).all()
+    assert not neardup.packed_apart(one, one).any()
+
+
 # --- language model -------------------------------------------------------------------------------
 
 

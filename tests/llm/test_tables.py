@@ -296,6 +296,22 @@ def test_vectors_repeated_and_missing(spark):
     assert hnsw.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_wide_beams_take_few_steps(monkeypatch):
+    """Each step orders the whole beam, so the steps of a wide beam must not grow with it; it finds what a scan finds."""
+    draw = np.random.default_rng(9)
+    vectors = draw.normal(size=(1500, 16)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    layers = hnsw.build(vectors, np.arange(1500))
+    steps, order = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: steps.append(1) or order(*a, **b))
+    found, near = hnsw.beam_search(vectors[:64], vectors, layers[-1][1], np.full((64, 1), layers[0][0][0]), 256)
+    monkeypatch.undo()
+    assert len(steps) < 40
+    assert (np.diff(near, axis=1) <= 0).all() and all(len(set(row)) == 256 for row in found.tolist())
+    best = order(-(vectors[:64] @ vectors.T), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(best.tolist(), found.tolist(), strict=True)]) >= 0.98
+
+
 def test_graph_recall_without_scans():
     """The graph alone, before audits widen the beam, finds nearly all close pairs of random clusters."""
     draw = np.random.default_rng(8)

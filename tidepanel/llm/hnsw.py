@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import shared
 from tidepanel.llm.bitslice import usable
-from tidepanel.llm.components import components
+from tidepanel.llm.components import components, least_reached
 from tidepanel.llm.neardup import mix
 
 COSINE = 0.98
@@ -42,9 +42,11 @@ def beam_search(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Ids and similarities of each query's ``beam`` best nodes found, best first; -1 where there are fewer.
 
-    All queries of a batch advance together. ``entry`` holds start nodes per query.
+    All queries of a batch advance together, by an eighth of the beam at a time, so that the number of steps, each of which
+    orders the whole beam, does not grow with it. ``entry`` holds start nodes per query.
     """
     q, width = len(queries), max(beam, entry.shape[1])
+    expand = max(EXPAND, width // 8)
     seen = np.zeros((q, len(vectors)), bool)
     ids = np.full((q, width), -1, np.int64)
     near = np.full((q, width), -np.inf, np.float32)
@@ -71,33 +73,40 @@ def beam_search(
                 break
             own_ids, own_near, own_done, open_ = own_ids[go], own_near[go], own_done[go], open_[go]
         turn = np.cumsum(open_, axis=1)
-        pick = open_ & (turn <= EXPAND)
+        pick = open_ & (turn <= expand)
         own_done |= pick
-        # The picked nodes of each query, the last one repeated where there are fewer.
-        place = np.argsort(~pick, axis=1, kind="stable")[:, :EXPAND]
-        chosen = np.take_along_axis(own_ids, place, 1)
-        chosen = np.where(np.take_along_axis(pick, place, 1), chosen, chosen[:, :1])
-        reached = np.sort(links[chosen].reshape(len(active), -1), axis=1)
-        new = reached >= 0
-        new[:, 1:] &= reached[:, 1:] != reached[:, :-1]
-        new &= ~seen[active[:, None], reached]
-        at, to = np.nonzero(new)
-        seen[active[at], reached[at, to]] = True
-        close = np.full(reached.shape, -np.inf, np.float32)
-        close[at, to] = np.einsum("nd,nd->n", queries[active[at]], vectors[reached[at, to]])
-        every = np.concatenate([own_near, close], axis=1)
+        # Neighbours of the picked nodes that their query has not seen, each once and in order.
+        at, place = np.nonzero(pick)
+        reached = links[own_ids[at, place]]
+        code = (at[:, None] * len(vectors) + reached)[reached >= 0]
+        code = np.sort(code)
+        at, to = np.divmod(code[np.append(True, code[1:] != code[:-1])[: len(code)]], len(vectors))
+        new = ~seen[active[at], to]
+        at, to = at[new], to[new]
+        seen[active[at], to] = True
+        close = np.einsum("nd,nd->n", queries[active[at]], vectors[to])
+        # Only what is closer than the last of the beam can enter it.
+        enters = close > own_near[at, -1]
+        at, to, close = at[enters], to[enters], close[enters]
+        counts = np.bincount(at, minlength=len(active))
+        slot = width + np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        most = width + int(counts.max(initial=0))
+        every, names = np.full((len(active), most), -np.inf, np.float32), np.full((len(active), most), -1, np.int64)
+        over = np.zeros((len(active), most), bool)
+        every[:, :width], names[:, :width], over[:, :width] = own_near, own_ids, own_done
+        every[at, slot], names[at, slot] = close, to
         best = np.argsort(-every, axis=1, kind="stable")[:, :width]
         near[active] = np.take_along_axis(every, best, 1)
-        names = np.take_along_axis(np.concatenate([own_ids, reached], axis=1), best, 1)
-        ids[active] = np.where(np.isfinite(near[active]), names, -1)
-        done[active] = np.take_along_axis(np.concatenate([own_done, np.zeros(reached.shape, bool)], axis=1), best, 1)
+        ids[active] = np.take_along_axis(names, best, 1)
+        done[active] = np.take_along_axis(over, best, 1)
     return ids[:, :beam], near[:, :beam]
 
 
 def diverse(vectors: np.ndarray, nodes: np.ndarray, found: np.ndarray, near: np.ndarray, degree: int) -> np.ndarray:
     """Up to ``degree`` neighbours per node: a candidate closer to the node than to any chosen before it."""
     out = np.full((len(nodes), degree), -1, np.int64)
-    between = np.einsum("ncd,nkd->nck", vectors[found], vectors[found])
+    own = vectors[found]
+    between = own @ own.transpose(0, 2, 1)
     chosen = np.zeros(found.shape, bool)
     for c in range(found.shape[1]):
         rival = np.where(chosen, between[:, c, :], -np.inf).max(axis=1)
@@ -128,6 +137,11 @@ def _add_back(vectors: np.ndarray, links: np.ndarray, nodes: np.ndarray, degree:
     incoming[np.repeat(np.arange(len(heads)), counts), np.arange(len(target)) - np.repeat(first, counts)] = source
     every = np.sort(np.concatenate([links[heads], incoming], axis=1), axis=1)
     every[:, 1:][every[:, 1:] == every[:, :-1]] = -1
+    # A list that holds them all needs no choice.
+    fits = (every >= 0).sum(axis=1) <= links.shape[1]
+    few = every[fits]
+    links[heads[fits]] = np.take_along_axis(few, np.argsort(few < 0, axis=1, kind="stable")[:, : links.shape[1]], 1)
+    heads, every = heads[~fits], every[~fits]
     near = np.where(every >= 0, np.einsum("nd,nkd->nk", vectors[heads], vectors[every]), -np.inf)
     keep = min(every.shape[1], 3 * degree)
     best = np.argsort(-near, axis=1, kind="stable")[:, :keep]
@@ -284,18 +298,6 @@ def shard_links(
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), beam, reached
 
 
-def _least_of_component(a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Smallest label that links reach from every node of a task."""
-    while len(a):
-        before = labels.copy()
-        low = np.minimum(labels[a], labels[b])
-        np.minimum.at(labels, a, low)
-        np.minimum.at(labels, b, low)
-        if (labels == before).all():
-            break
-    return labels
-
-
 GROUP = ["label", "width", "shard"]
 
 
@@ -367,7 +369,7 @@ def searched(classes: DataFrame, cosine: float = COSINE, shard_rows: int = SHARD
         )
         weight = np.bincount(at, shard["copies"].to_numpy()[to], len(asking)).astype(np.int64)
         nodes, place = np.unique(np.concatenate([asking, keys]), return_inverse=True)
-        label = nodes[_least_of_component(place[at], place[len(asking) + to], np.arange(len(nodes)))]
+        label = nodes[least_reached(place[at], place[len(asking) + to], len(nodes))]
         linked = np.unique(np.concatenate([place[at], place[len(asking) + to]])).astype(np.int64)
         counted = pd.DataFrame({"class": asking, "peer": asking, "weight": weight})
         joined = pd.DataFrame({"class": nodes[linked], "peer": label[linked], "weight": 0})

@@ -248,3 +248,31 @@ def test_hashes_of_tails_of_any_order_and_length():
     keys, tails = [b"", b"a-1", b"x" * 50, b"y" * 60], [b"#7", b"#123", b"#8"]
     got = metrics.md5_digests(keys, tails)
     assert [[bytes(d) for d in row] for row in got] == [[hashlib.md5(k + t).digest() for t in tails] for k in keys]
+
+
+def test_tails_of_a_key_share_the_rounds_over_its_own_words(monkeypatch):
+    work, plain = [], metrics._md5_rounds
+
+    def counted(first, last, state, words):
+        work.append((last - first) * state[0].size)
+        return plain(first, last, state, words)
+
+    monkeypatch.setattr(metrics, "_md5_rounds", counted)
+    keys, tails = [f"{i}-1-{i % 13}-{i % 7}".encode() for i in range(100000, 100300)], [b"#%d" % b for b in range(25)]
+    got = metrics.md5_digests(keys, tails)
+    assert [[bytes(d) for d in row] for row in got] == [[hashlib.md5(k + t).digest() for t in tails] for k in keys]
+    # Rounds a message: 64, less those over whole words of the key. All tails go through them in one call for each length in words.
+    assert sum(work) < 62.5 * len(keys) * len(tails) and len(work) <= 4
+
+
+def test_bootstrap_auc_keeps_its_ranges_and_groups_of_equal_numbers(spark, monkeypatch):
+    """The tasks of the hashing are not merged, and groups whose numbers are the same stay apart."""
+    draw = np.random.default_rng(4)
+    rows = [(m, k, f"r{i}", int(draw.random() < 0.5), float(draw.integers(0, 9))) for i in range(120) for m, k in (("a", 1), ("b", None), (None, 1))]
+    frame = spark.createDataFrame(rows, "model string, k int, id string, label int, score double")
+    want = {(r.model, r.k, r.replicate): r.auc for r in metrics.bootstrap_auc(frame, ["model", "k"], F.col("id"), 9).collect()}
+    monkeypatch.setattr(metrics.F, "xxhash64", lambda *columns: F.lit(7).cast("bigint"))
+    made = metrics.bootstrap_auc(frame, ["model", "k"], F.col("id"), 9)
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().toString()
+    got = {(r.model, r.k, r.replicate): r.auc for r in made.collect()}
+    assert len(got) == 27 and got == want
